@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreloom.llm import copies, leaks, packing
+from loreloom.llm import copies, leaks, packing, pairs, splitting, survivor
 from loreloom.session import table
 
 
@@ -15,6 +15,34 @@ def limit_of(spark: SparkSession, d: str, name: str) -> int:
     return table(spark, d, "limits").filter(F.col("limit_name") == name).first()["limit_value"]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found(table(spark, d, "evaluation_results"))
+
+
+def p3_defects(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "evaluation_results"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.found(table(spark, d, "character_extractions"), table(spark, d, "location_extractions"), table(spark, d, "extractors"))
+
+
+def p4_characters(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivors(table(spark, d, "character_extractions"), table(spark, d, "extractors"), "char_key")
+
+
+def p4_locations(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivors(table(spark, d, "location_extractions"), table(spark, d, "extractors"), "loc_key")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.found(table(spark, d, "chunks"), limit_of(spark, d, "chunk_max"), limit_of(spark, d, "chunk_overlap"))
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split(table(spark, d, "chunks"), limit_of(spark, d, "chunk_max"), limit_of(spark, d, "chunk_overlap"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "relationship_extractions"))
 
