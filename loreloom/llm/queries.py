@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreloom.llm import copies, leaks, packing, pairs, splitting, survivor
+from loreloom.llm import copies, leaks, packing, pairs, sentences, splitting, survivor
 from loreloom.session import table
 
 
@@ -63,6 +63,14 @@ def p9_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return leaks.overlaps(table(spark, d, "documents"), table(spark, d, "test_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.found(table(spark, d, "documents"))
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
