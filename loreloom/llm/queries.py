@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreloom.llm import copies, leaks, packing, pairs, sentences, splitting, survivor
+from loreloom.llm import copies, leaks, packing, pairs, scans, sentences, splitting, survivor
 from loreloom.session import table
 
 
@@ -43,6 +43,14 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "chunks"), limit_of(spark, d, "chunk_max"), limit_of(spark, d, "chunk_overlap"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(table(spark, d, "chunks"), table(spark, d, "books"))
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "chunks"), table(spark, d, "books"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "relationship_extractions"))
 
