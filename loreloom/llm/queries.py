@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreloom.llm import copies, leaks, names, packing, pairs, scans, sentences, splitting, survivor
+from loreloom.llm import copies, leaks, names, nearby, packing, pairs, scans, sentences, splitting, survivor
 from loreloom.session import table
 
 
@@ -15,6 +15,14 @@ def limit_of(spark: SparkSession, d: str, name: str) -> int:
     return table(spark, d, "limits").filter(F.col("limit_name") == name).first()["limit_value"]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearby.found(table(spark, d, "event_extractions"))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return nearby.groups(table(spark, d, "event_extractions"), 0.6)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return names.found(table(spark, d, "character_extractions"), table(spark, d, "semantic_entity_aliases"))
 
