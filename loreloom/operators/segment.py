@@ -42,17 +42,17 @@ def split_blocks(blocks: DataFrame) -> DataFrame:
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Greedy chunks over rows sorted by island and order, with two integers of state."""
-    at, cur, prev, seq = None, 0, 0, 0
+    at, cur, prev, seq, last = None, 0, 0, 0, 0
     for pdf in batches:
         out = []
         for d, i, o, w in zip(pdf["d"], pdf["island"], pdf["o"], pdf["words"], strict=True):
             if (d, i) != at:
                 at, cur, prev, seq = (d, i), 0, 0, 0
             elif cur >= TARGET:
-                out.append((d, i, last, seq + 1))  # noqa: F821  the block before opens the next chunk
+                out.append((d, i, last, seq + 1))  # the block before opens the next chunk
                 cur, seq = prev, seq + 1
             out.append((d, i, o, seq))
-            cur, prev, last = cur + w, w, o  # noqa: F841
+            cur, prev, last = cur + w, w, o
         yield pd.DataFrame(out, columns=["d", "island", "o", "seq"])
 
 
