@@ -79,36 +79,44 @@ def _bare(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def script(c: Column) -> Column:
     """The script of most letters: latin unless another one has three in ten of them (kana counts together with han)."""
-    letters = F.greatest(F.regexp_count(c, F.lit(r"\p{L}")), F.lit(1))
-    out = F.lit("latin")
-    for name, pattern in reversed(SCRIPTS.items()):
-        share = F.regexp_count(c, F.lit(pattern)) / letters
-        out = F.when(share >= (0.1 if name == "kana" else 0.3), F.lit(name)).otherwise(out)
-    return out
 
+    def of(x: Column) -> Column:
+        letters = F.greatest(F.regexp_count(x, F.lit(r"\p{L}")), F.lit(1))
+        out = F.lit("latin")
+        for name, pattern in reversed(SCRIPTS.items()):
+            out = F.when(F.regexp_count(x, F.lit(pattern)) >= letters * (0.1 if name == "kana" else 0.3), F.lit(name)).otherwise(out)
+        return F.when(x.rlike(r"[\u0370-\uffff&&\p{L}]"), out).otherwise("latin")
 
-def _hits(words: Column, lang: str) -> Column:
-    """How many different frequent words of a language occur."""
-    known = F.array(*[F.lit(w) for w in FUNCTION_WORDS[lang].split()])
-    return F.size(F.array_intersect(words, known))
+    return let(c, of)
 
 
 def _words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}]+)"), F.lit(1))
 
 
-def language(c: Column, floor: int = 1) -> Column:
-    """The Latin-script language with most frequent words in c, null below floor or in a tie."""
-    w = _words(c)
-    n = {k: _hits(w, k) for k in FUNCTION_WORDS}
-    top = F.greatest(*n.values())
-    out = F.lit(None).cast("string")
-    for k, v in n.items():
-        others = F.greatest(*[x for j, x in n.items() if j != k])
-        out = F.when((v == top) & (v > others) & (v >= floor), F.lit(k)).otherwise(out)
-    return out
+def hits(words: Column) -> Column:
+    """How many different frequent words of each language occur, in the order of FUNCTION_WORDS."""
+    return let(words, lambda w: F.array(*[F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in v.split()]))) for v in FUNCTION_WORDS.values()]))
+
+
+def language(c: Column) -> Column:
+    """The Latin-script language with most frequent words in c, null where there are none or in a tie."""
+
+    def of(h: Column) -> Column:
+        top = F.array_max(h)
+        out = F.lit(None).cast("string")
+        for k, name in enumerate(FUNCTION_WORDS):
+            out = F.when(h[k] == top, F.lit(name)).otherwise(out)
+        return F.when((top >= 1) & (F.size(F.filter(h, lambda x: x == top)) == 1), out)
+
+    return let(hits(_words(c)), of)
 
 
 def arms(results: DataFrame, key: str = "result_key") -> DataFrame:
@@ -154,10 +162,11 @@ def signals(pairs: DataFrame) -> DataFrame:
     t = t.withColumn("script_a", F.when(s_a == "latin", script(F.col("t"))).otherwise(s_a)).withColumn("script_q", s_q).withColumn("lang_q", lang_q)
     w = _words(F.when(F.size(_words(F.col("said"))) < 4, F.col("t")).otherwise(F.col("said")))
     t = t.withColumn("w", w)
-    hits = F.create_map(*[x for k in FUNCTION_WORDS for x in (F.lit(k), _hits(F.col("w"), k))])
-    t = t.withColumn("hits", hits)
-    own = F.coalesce(F.try_element_at("hits", F.col("lang_q")), F.lit(0))
-    most = F.array_max(F.map_values("hits"))
+    t = t.withColumn("hits", hits(F.col("w")))
+    own = F.lit(0)
+    for k, name in enumerate(FUNCTION_WORDS):
+        own = F.when(F.col("lang_q") == name, F.col("hits")[k]).otherwise(own)
+    most = F.array_max("hits")
     # most letters of the answer itself; a text with a heading of its own (a name and a dash) counts without it
     other = (F.col("script_a") != F.col("script_q")) & F.when(s_a == "latin", F.col("said").rlike(r"\p{L}\W*$") & (F.size(F.col("w")) < 4)).otherwise(F.lit(True)) | (F.col("script_a") == "latin") & (F.col("script_q") == "latin") & (most >= 2) & (most > 2 * own)
     t = t.withColumn("other_language", ~F.col("empty") & ~F.col("copied_question") & ~F.col("declines") & other)
