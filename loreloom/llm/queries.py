@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreloom.llm import copies, leaks, names, nearby, packing, pairs, scans, sentences, splitting, survivor
+from loreloom.llm import copies, leaks, names, nearby, oracles, packing, pairs, scans, sentences, splitting, survivor
 from loreloom.session import table
 
 
@@ -100,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
