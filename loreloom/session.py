@@ -50,3 +50,9 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """df in at least as many partitions as the session has cores, for CPU-bound Python stages over small files; larger inputs keep their splits."""
     want = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """df shuffled by key into as many partitions as the session is set to, which adaptive execution then leaves alone: for CPU-bound stages whose
+    input is small in bytes. An aggregate on the same key needs no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
