@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.session import by_key
+
 DEFECTS = ("empty", "copied_question", "refusal", "other_language", "truncated")
 
 #: Contents without content, after white space, brackets, quotes and signs are taken off.
@@ -127,7 +129,7 @@ def arms(results: DataFrame, key: str = "result_key") -> DataFrame:
         (F.coalesce(F.col("unanswerable"), F.lit(False)) | (F.coalesce(F.col("category"), F.lit("")) == "unanswerable") & F.col("unanswerable").isNull()).alias("unanswerable"),
         F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"{a}.answer").alias("answer")) for a in ("story_only", "hybrid")])).alias("x"),
     )
-    return one.select("result_key", "question", "unanswerable", "x.arm", "x.answer").dropDuplicates(["result_key", "arm"])
+    return by_key(one.select("result_key", "question", "unanswerable", "x.arm", "x.answer"), "result_key").dropDuplicates(["result_key", "arm"])
 
 
 def word_endings(answers: DataFrame, questions: DataFrame) -> DataFrame:
