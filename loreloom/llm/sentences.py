@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.session import spread
+
 OUT = "doc_id bigint, sent_no int, sent_start int, sent_end int"
 
 _CLOSE = r"[\"'”’»)\]}」』）】›“‘*_]"
@@ -182,7 +184,7 @@ def split(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     Null and blank texts have no rows. Equal rows give equal rows. Language labels are not used: the writing system about each candidate decides.
     """
     src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    return src.mapInArrow(_scan, OUT)
+    return spread(src).mapInArrow(_scan, OUT)
 
 
 def found(docs: DataFrame) -> DataFrame:
