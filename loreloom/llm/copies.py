@@ -53,19 +53,29 @@ def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (u & mask).astype(np.int64), ((u >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) & mask).astype(np.int64)
 
 
+def _get(f: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (f[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _set(f: np.ndarray, x: np.ndarray) -> None:
+    np.bitwise_or.at(f, x >> 3, (1 << (7 - (x & 7))).astype(np.uint8))
+
+
 def _filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    once, again = np.zeros(bits, bool), np.zeros(bits, bool)
+    """The two filters of one partition, packed, block by block; blocks without a bit are left out."""
+    once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
     for b in batches:
         h, n = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_counts=True)
         i, j = _bits(h, bits)
-        seen = once[i] & once[j] | (n > 1)
-        again[i[seen]] = True
-        again[j[seen]] = True
-        once[i] = True
-        once[j] = True
-    for k in range(0, bits, BLOCK_BITS):
-        if once[k : k + BLOCK_BITS].any():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK_BITS], pa.int32()), "once": pa.array([np.packbits(once[k : k + BLOCK_BITS]).tobytes()], pa.binary()), "again": pa.array([np.packbits(again[k : k + BLOCK_BITS]).tobytes()], pa.binary())})
+        seen = _get(once, i) & _get(once, j) | (n > 1)
+        for x in (i, j):
+            _set(again, x[seen])
+        for x in (i, j):
+            _set(once, x)
+    size = BLOCK_BITS // 8
+    for k in range(0, bits // 8, size):
+        if once[k : k + size].any():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k // size], pa.int32()), "once": pa.array([once[k : k + size].tobytes()], pa.binary()), "again": pa.array([again[k : k + size].tobytes()], pa.binary())})
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -97,10 +107,8 @@ def mark_repeats(rows: DataFrame, total: int, **sizes: int) -> DataFrame:
 
     @F.pandas_udf(T.BooleanType())
     def maybe(h: pd.Series) -> pd.Series:
-        f = shared.value
         i, j = _bits(h.to_numpy(), bits)
-        get = lambda x: f[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1
-        return pd.Series((get(i) & get(j)).astype(bool))
+        return pd.Series(_get(shared.value, i) & _get(shared.value, j))
 
     return rows.withColumn("maybe", maybe(h))
 
