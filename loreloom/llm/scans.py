@@ -4,7 +4,8 @@ Line-pair classifiers (logistic regression) decide which lines are running furni
 misread words come from an inverted join on positional character q-grams between rare and common words, ranked by gradient boosting.
 
 Corpus statistics cover all chunks. Common words, which every executor holds, are those with a share of at least ``COMMON_SHARE`` of all words, so there
-can be at most 1 / COMMON_SHARE of them. All models are trained on made examples of common words: at most ``TRAIN_WORDS`` of them.
+can be at most 1 / COMMON_SHARE of them. That share bounds memory only: what line ends need to know of other words is looked up by a join, and a correction
+may be any word with at least ``LEAST`` occurrences. All models are trained on made examples of common words: at most ``TRAIN_WORDS`` of them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,8 @@ from loreloom.llm.learners import Boosted, Logistic
 from loreloom.session import by_key, cut, spread
 
 COMMON_SHARE = 2e-6
-COMMON_LEAST = 4
+#: A word with fewer occurrences counts as none, however large the corpus.
+LEAST = 4
 TRAIN_WORDS = 1500
 #: A correction must be this many times as frequent as the word it replaces.
 RATIO = 6
@@ -38,6 +41,7 @@ _SIDE = re.compile(r"^[\W_]*(\d{1,5})(?=\s{2,}|\s*[—–|·-])|(?:\s{2,}|[—
 _CHAPTER = re.compile(r"^\s*(?:chapter\s+(?:[ivxlcdm]+|\d+)\.?:?|(?:[ivxlcdm]+|\d+)\.)\s*", re.I)
 _LISTED = re.compile(r"^\s*(?:[*•—–-]|\d{1,3}[.)])\s")
 _WORD = re.compile(r"\S+")
+STRIPPED = "chunk_key bigint, noise array<string>, body string, asked array<string>"
 PARSED = "chunk_key bigint, noise array<string>, rare array<string>, clean string"
 
 
@@ -120,7 +124,7 @@ def train_furniture(names: list[str], seed: int = 7) -> Logistic:
     return Logistic().fit(np.array(x), np.array(y, float))
 
 
-def join_features(a: str, b: str, hyphen: bool, space: bool, count: dict[str, int]) -> list[float]:
+def join_features(a: str, b: str, hyphen: bool, space: bool, count: Mapping[str, int]) -> list[float]:
     """What tells a broken word from two words or a compound: how frequent the whole, the compound and the parts are."""
     whole, compound = count.get(a + b, 0), count.get(f"{a}-{b}", 0)
     ca, cb = count.get(a, 0), count.get(b, 0)
@@ -242,10 +246,10 @@ def _grams(c: str = "word"):
     return F.concat(grams, ends)
 
 
-def corrections(counts: DataFrame, rare: DataFrame, common_least: int, model: Boosted) -> DataFrame:
-    """(word, fixed): misread words with the best-ranked common word, by an inverted join on q-grams."""
+def corrections(counts: DataFrame, rare: DataFrame, model: Boosted) -> DataFrame:
+    """(word, fixed): misread words with the best-ranked word of at least RATIO times their count, by an inverted join on q-grams."""
     shared = rare.sparkSession.sparkContext.broadcast(model)
-    common = counts.filter((F.col("n") >= common_least) & F.col("word").rlike(r"^[\p{L}'’-]{4,30}$")).select(F.col("word").alias("clean"), F.col("n").alias("n_clean"))
+    common = counts.filter((F.col("n") >= max(LEAST, RATIO)) & F.col("word").rlike(r"^[\p{L}'’-]{4,30}$")).select(F.col("word").alias("clean"), F.col("n").alias("n_clean"))
     seen = rare.filter(F.length("word").between(4, 30)).join(counts, "word").filter(F.col("word").rlike(r"\p{L}"))
     a = seen.select("word", "n", F.explode(F.array_distinct(_grams("word"))).alias("g"))
     b = common.select("clean", "n_clean", F.explode(F.array_distinct(_grams("clean"))).alias("g"))
@@ -267,8 +271,8 @@ def corrections(counts: DataFrame, rare: DataFrame, common_least: int, model: Bo
 # --- chunks -----------------------------------------------------------------------------------------------------
 
 
-def parse(text: str, title: str | None, chapter: str | None, others: list[str], pages: tuple[int | None, int | None], common: dict[str, int], furniture: Logistic, joins: Logistic) -> tuple[list[str], list[str], str]:
-    """(kinds of noise but misread, rare words, text without furniture, with joined words and paragraphs on one line)."""
+def strip(text: str, title: str | None, chapter: str | None, others: list[str], pages: tuple[int | None, int | None], furniture: Logistic) -> tuple[list[str], str]:
+    """(kinds of furniture, text without it)."""
     noise: set[str] = set()
     lines = text.split("\n")
     kept: list[str] = []
@@ -294,10 +298,11 @@ def parse(text: str, title: str | None, chapter: str | None, others: list[str],
             if f[2]:
                 noise.add("page_number")
     kept = [x for k, x in enumerate(lines) if k not in out]
-    body = "\n".join(kept)
-    # broken words: a line end, or the space it has become, within a word
-    spans = [m.span() for m in _WORD.finditer(body)]
-    glue, asked, where = {}, [], []
+    return sorted(noise), "\n".join(kept)
+
+
+def breaks(body: str, spans: list[tuple[int, int]], common: dict[str, int]) -> Iterator[tuple[int, str, str, bool, bool]]:
+    """(k, a, b, hyphen, space): where a line end, or the space it has become, may stand within the word a + b, from span k to the next."""
     for k in range(len(spans) - 1):
         (a0, a1), (b0, b1) = spans[k], spans[k + 1]
         gap = body[a1:b0]
@@ -308,20 +313,38 @@ def parse(text: str, title: str | None, chapter: str | None, others: list[str],
         a, b = bare(left[:-1] if hyphen else left), bare(right)
         if not a or not b or not right[0].isalnum() or not hyphen and (not left[-1].isalnum() or "\n" not in gap and (a in common and b in common)):
             continue
-        if not hyphen and (a in common and b in common and common[a] > 30 and common[b] > 30):
-            continue
-        if not hyphen and (a + b not in common or common[a + b] < 3 * min(common.get(a, 0), common.get(b, 0)) or right[0].isupper()):
+        if not hyphen and (a in common and b in common and common[a] > 30 and common[b] > 30 or right[0].isupper()):
             continue
-        if not (a[-1].isalpha() and b[0].isalpha()):
+        if a[-1].isalpha() and b[0].isalpha():
+            yield k, a, b, hyphen, "\n" not in gap
+
+
+def asked(body: str, common: dict[str, int]) -> list[str]:
+    """The words beyond the common ones whose counts mend() needs. Parts that are both common make no whole that is rarer than they are."""
+    out: set[str] = set()
+    for _, a, b, hyphen, _ in breaks(body, [m.span() for m in _WORD.finditer(body)], common):
+        if hyphen or a + b in common or a not in common or b not in common:
+            out.update(w for w in (a, b, a + b, f"{a}-{b}") if w not in common)
+    return sorted(out)
+
+
+def mend(body: str, common: dict[str, int], others: dict[str, int], joins: Logistic) -> tuple[bool, list[str], str]:
+    """(whether words were broken, rare words, text with joined words and paragraphs on one line). others: counts of words that aren't common."""
+    known = ChainMap(others, common)
+    spans = [m.span() for m in _WORD.finditer(body)]
+    glue, met, where = {}, [], []
+    for k, a, b, hyphen, space in breaks(body, spans, common):
+        if not hyphen and (a + b not in known or known[a + b] < 3 * min(known.get(a, 0), known.get(b, 0))):
             continue
-        asked.append(join_features(a, b, hyphen, "\n" not in gap, common))
+        met.append(join_features(a, b, hyphen, space, known))
         where.append((k, hyphen, f"{a}-{b}"))
-    if asked:
-        for (k, hyphen, compound), p in zip(where, joins.predict(np.array(asked)), strict=True):
+    broken = False
+    if met:
+        for (k, hyphen, compound), p in zip(where, joins.predict(np.array(met)), strict=True):
             if p >= 0.5:
                 glue[k] = (hyphen, "")
-                noise.add("hyphenation")
-            elif hyphen and compound in common:
+                broken = True
+            elif hyphen and compound in known:
                 glue[k] = (False, "")
     rebuilt, rare = [], set()
     word = ""
@@ -347,11 +370,11 @@ def parse(text: str, title: str | None, chapter: str | None, others: list[str],
         w = bare(t)
         if len(w) > 3 and common.get(w, 0) < 1000 and any(c.isalpha() for c in w):
             rare.add(w)
-    return sorted(noise), sorted(rare), clean
+    return broken, sorted(rare), clean
 
 
 def parsed(chunks: DataFrame, books: DataFrame, counts: DataFrame, common: dict[str, int], key: str = "chunk_key") -> DataFrame:
-    """One row per chunk key: its noise but for misread words, its words, and its text without furniture."""
+    """One row per chunk key: its noise but for misread words, its words, and its text without furniture and with joined words."""
     sc = chunks.sparkSession.sparkContext
     one = by_key(chunks.filter(F.col(key).isNotNull() & F.col("text").isNotNull()).withColumn(key, F.col(key).cast("bigint")), key).groupBy(F.col(key).alias("chunk_key")).agg(F.min(F.struct("loaded_at", "book_id", "chapter", "page_start", "page_end", "text")).alias("r")).select("chunk_key", "r.book_id", "r.chapter", "r.page_start", "r.page_end", "r.text")
     titles = books.groupBy("book_id").agg(F.min("title").alias("title"))
@@ -360,31 +383,42 @@ def parsed(chunks: DataFrame, books: DataFrame, counts: DataFrame, common: dict[
     sample = [r["title"] for r in titles.filter("title IS NOT NULL").orderBy(F.xxhash64("book_id")).limit(200).collect()]
     held = sc.broadcast((common, train_furniture(sample), train_joins(common)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, furniture, joins = held.value
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, furniture, _ = held.value
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                noise, body = strip(r["text"], r["title"], r["chapter"], r["heads"] or [], (r["page_start"], r["page_end"]), furniture)
+                rows.append({"chunk_key": r["chunk_key"], "noise": noise, "body": body, "asked": asked(body, common)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk_key", pa.int64()), ("noise", pa.list_(pa.string())), ("body", pa.string()), ("asked", pa.list_(pa.string()))]))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, _, joins = held.value
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                noise, rare, clean = parse(r["text"], r["title"], r["chapter"], r["heads"] or [], (r["page_start"], r["page_end"]), common, furniture, joins)
-                rows.append({"chunk_key": r["chunk_key"], "noise": noise, "rare": rare, "clean": clean})
+                broken, rare, clean = mend(r["body"], common, dict(r["others"] or []), joins)
+                rows.append({"chunk_key": r["chunk_key"], "noise": sorted([*r["noise"], *["hyphenation"] * broken]), "rare": rare, "clean": clean})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk_key", pa.int64()), ("noise", pa.list_(pa.string())), ("rare", pa.list_(pa.string())), ("clean", pa.string())]))
 
-    return full.mapInArrow(run, PARSED)
+    stripped = cut(full.mapInArrow(lines, STRIPPED))
+    others = stripped.select("chunk_key", F.explode("asked").alias("word")).join(counts.filter(F.col("n") >= LEAST), "word").groupBy("chunk_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("others"))
+    return by_key(stripped.drop("asked"), "chunk_key").join(others, "chunk_key", "left").mapInArrow(words, PARSED)
 
 
-def common_words(counts: DataFrame) -> tuple[dict[str, int], int]:
-    """Words with at least COMMON_SHARE of all, hence at most 1 / COMMON_SHARE words, with their counts; and the least count."""
+def common_words(counts: DataFrame) -> dict[str, int]:
+    """Words with at least COMMON_SHARE of all, hence at most 1 / COMMON_SHARE words, with their counts."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(COMMON_LEAST, math.ceil(total * COMMON_SHARE))
-    return {r["word"]: r["n"] for r in counts.filter(F.col("n") >= least).toLocalIterator()}, least
+    least = max(LEAST, math.ceil(total * COMMON_SHARE))
+    return {r["word"]: r["n"] for r in counts.filter(F.col("n") >= least).toLocalIterator()}
 
 
 def _stages(chunks: DataFrame, books: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     counts = cut(word_counts(spread(chunks.select("text"))))
-    common, least = common_words(counts)
+    common = common_words(counts)
     found = cut(parsed(chunks, books, counts, common, key))
     rare = found.select(F.explode("rare").alias("word")).distinct()
-    return found, cut(corrections(counts, rare, max(least, RATIO), train_ranking(common)))
+    return found, cut(corrections(counts, rare, train_ranking(common)))
 
 
 def noise(chunks: DataFrame, books: DataFrame, key: str = "chunk_key") -> DataFrame:

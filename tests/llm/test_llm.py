@@ -195,6 +195,24 @@ def test_p6_noise_and_repair(spark):
     assert scans.noise(df.limit(0), books.limit(0)).count() == 0
 
 
+def scanned(spark, texts, known):
+    """Texts under keys from 1 among 60 chunks of plain text, which also hold each known word as often as given."""
+    rnd = random.Random(1)
+    base = ["window", "garden", "lantern", "harbour", "stone", "carried", "beneath", "evening", "river", "keeper", "half-open", "market"]
+    more = [w for w, n in known.items() for _ in range(n)]
+    rows = [(100 + k, 1, 100 + k, 10, 10, "I. The Long Road", " ".join([*(rnd.choice(base) for _ in range(120)), *more[k::60]]) + ".", T0, None) for k in range(60)]
+    rows += [(k, 1, k, 10, 10, "I. The Long Road", text, T0, None) for k, text in enumerate(texts, 1)]
+    return spark.createDataFrame(rows, CHUNK), spark.createDataFrame([(1, "The Old House")], "book_id bigint, title string")
+
+
+def test_p6_words_beyond_the_held_ones(spark, monkeypatch):
+    monkeypatch.setattr(scans, "COMMON_SHARE", 0.02)  # as in a large corpus, where a name of one book has no such share
+    df, books = scanned(spark, ["The keeper of 5elorvoe carried the lantern.", "The keeper of selor\nvoe carried the lantern."], {"selorvoe": 40})
+    assert {tuple(r) for r in scans.noise(df, books).collect()} == {(1, "misread"), (2, "hyphenation")}
+    text = {r[0]: r[1] for r in scans.repair(df, books).collect()}
+    assert text[1] == text[2] == "The keeper of selorvoe carried the lantern."
+
+
 def test_p6_models_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
