@@ -41,6 +41,8 @@ _SIDE = re.compile(r"^[\W_]*(\d{1,5})(?=\s{2,}|\s*[—–|·-])|(?:\s{2,}|[—
 _CHAPTER = re.compile(r"^\s*(?:chapter\s+(?:[ivxlcdm]+|\d+)\.?:?|(?:[ivxlcdm]+|\d+)\.)\s*", re.I)
 _LISTED = re.compile(r"^\s*(?:[*•—–-]|\d{1,3}[.)])\s")
 _WORD = re.compile(r"\S+")
+#: What a correction looks like.
+CLEAN = r"^[\p{L}'’-]{4,30}$"
 STRIPPED = "chunk_key bigint, noise array<string>, body string, asked array<string>"
 PARSED = "chunk_key bigint, noise array<string>, rare array<string>, clean string"
 
@@ -249,7 +251,7 @@ def _grams(c: str = "word"):
 def corrections(counts: DataFrame, rare: DataFrame, model: Boosted) -> DataFrame:
     """(word, fixed): misread words with the best-ranked word of at least RATIO times their count, by an inverted join on q-grams."""
     shared = rare.sparkSession.sparkContext.broadcast(model)
-    common = counts.filter((F.col("n") >= max(LEAST, RATIO)) & F.col("word").rlike(r"^[\p{L}'’-]{4,30}$")).select(F.col("word").alias("clean"), F.col("n").alias("n_clean"))
+    common = counts.filter((F.col("n") >= max(LEAST, RATIO)) & F.col("word").rlike(CLEAN)).select(F.col("word").alias("clean"), F.col("n").alias("n_clean"))
     seen = rare.filter(F.length("word").between(4, 30)).join(counts, "word").filter(F.col("word").rlike(r"\p{L}"))
     a = seen.select("word", "n", F.explode(F.array_distinct(_grams("word"))).alias("g"))
     b = common.select("clean", "n_clean", F.explode(F.array_distinct(_grams("clean"))).alias("g"))
@@ -328,8 +330,11 @@ def asked(body: str, common: dict[str, int]) -> list[str]:
     return sorted(out)
 
 
-def mend(body: str, common: dict[str, int], others: dict[str, int], joins: Logistic) -> tuple[bool, list[str], str]:
-    """(whether words were broken, rare words, text with joined words and paragraphs on one line). others: counts of words that aren't common."""
+def mend(body: str, common: dict[str, int], others: dict[str, int], top: int, joins: Logistic) -> tuple[bool, list[str], str]:
+    """(whether words were broken, words that may be misread, text with joined words and paragraphs on one line).
+
+    others: counts of words that aren't common. top: the largest count of a possible correction; a word over top / RATIO has none.
+    """
     known = ChainMap(others, common)
     spans = [m.span() for m in _WORD.finditer(body)]
     glue, met, where = {}, [], []
@@ -368,7 +373,7 @@ def mend(body: str, common: dict[str, int], others: dict[str, int], joins: Logis
     clean = "".join(rebuilt)
     for t in _WORD.findall(clean):
         w = bare(t)
-        if len(w) > 3 and common.get(w, 0) < 1000 and any(c.isalpha() for c in w):
+        if len(w) > 3 and common.get(w, 0) * RATIO <= top and any(c.isalpha() for c in w):
             rare.add(w)
     return broken, sorted(rare), clean
 
@@ -382,6 +387,7 @@ def parsed(chunks: DataFrame, books: DataFrame, counts: DataFrame, common: dict[
     full = one.join(titles, "book_id", "left").join(heads, "book_id", "left").drop("book_id")
     sample = [r["title"] for r in titles.filter("title IS NOT NULL").orderBy(F.xxhash64("book_id")).limit(200).collect()]
     held = sc.broadcast((common, train_furniture(sample), train_joins(common)))
+    top = counts.filter(F.col("word").rlike(CLEAN)).agg(F.max("n")).first()[0] or 0
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, furniture, _ = held.value
@@ -397,7 +403,7 @@ def parsed(chunks: DataFrame, books: DataFrame, counts: DataFrame, common: dict[
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                broken, rare, clean = mend(r["body"], common, dict(r["others"] or []), joins)
+                broken, rare, clean = mend(r["body"], common, dict(r["others"] or []), top, joins)
                 rows.append({"chunk_key": r["chunk_key"], "noise": sorted([*r["noise"], *["hyphenation"] * broken]), "rare": rare, "clean": clean})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk_key", pa.int64()), ("noise", pa.list_(pa.string())), ("rare", pa.list_(pa.string())), ("clean", pa.string())]))
 

@@ -213,6 +213,12 @@ def test_p6_words_beyond_the_held_ones(spark, monkeypatch):
     assert text[1] == text[2] == "The keeper of selorvoe carried the lantern."
 
 
+def test_p6_frequent_misreads(spark):
+    df, books = scanned(spark, ["The keeper carried the lantcrn."], {"lantern": 12000, "lantcrn": 1100})
+    assert (1, "misread") in {tuple(r) for r in scans.noise(df, books).collect()}
+    assert "The keeper carried the lantern." in {r["text"] for r in scans.repair(df, books).collect()}
+
+
 def test_p6_models_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
