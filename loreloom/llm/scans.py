@@ -31,6 +31,8 @@ LEAST = 4
 TRAIN_WORDS = 1500
 #: A correction must be this many times as frequent as the word it replaces.
 RATIO = 6
+#: Two parts without a hyphen may be one word if it is this many times as frequent as they would meet by chance.
+APART = 1000
 Q = 3
 #: Characters and what scanning makes of them.
 CONFUSIONS = (("e", "c"), ("a", "ä"), ("d", "cl"), ("o", "0"), ("l", "1"), ("n", "ri"), ("s", "5"), ("i", "!"), ("h", "b"), ("u", "ii"), ("g", "9"), ("b", "6"), ("w", "vv"), ("m", "rn"), ("v", "y"), ("li", "h"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("i", "1"), ("l", "i"), ("b", "8"), ("e", "f"), ("z", "2"), ("t", "+"), ("i", "l"), ("o", "c"), ("c", "e"), ("in", "m"), ("nn", "rm"), ("cl", "d"), ("q", "9"), ("o", "ö"), ("u", "ü"), ("l", "|"), ("i", "|"), ("s", "$"), ("y", "v"), ("t", "f"), ("n", "u"), ("u", "n"))
@@ -313,33 +315,39 @@ def breaks(body: str, spans: list[tuple[int, int]], common: dict[str, int]) -> I
         left, right = body[a0:a1], body[b0:b1]
         hyphen = left[-1] in HYPHENS and len(left) > 1 and left[-2].isalnum()
         a, b = bare(left[:-1] if hyphen else left), bare(right)
-        if not a or not b or not right[0].isalnum() or not hyphen and (not left[-1].isalnum() or "\n" not in gap and (a in common and b in common)):
+        if not a or not b or not right[0].isalnum() or not hyphen and (not left[-1].isalnum() or right[0].isupper()):
             continue
-        if not hyphen and (a in common and b in common and common[a] > 30 and common[b] > 30 or right[0].isupper()):
+        if not hyphen and a in common and b in common and a + b not in common:  # a whole that is rarer than its parts
             continue
         if a[-1].isalpha() and b[0].isalpha():
             yield k, a, b, hyphen, "\n" not in gap
 
 
-def asked(body: str, common: dict[str, int]) -> list[str]:
-    """The words beyond the common ones whose counts mend() needs. Parts that are both common make no whole that is rarer than they are."""
+def one_word(a: str, b: str, known: Mapping[str, int], total: int) -> bool:
+    """Whether a + b is frequent beside its rarer part and beside what two words so frequent would meet by chance; total: the count of all words."""
+    whole, ca, cb = known.get(a + b, 0), known.get(a, 0), known.get(b, 0)
+    return whole > 0 and whole >= 3 * min(ca, cb) and whole * total >= APART * ca * cb
+
+
+def asked(body: str, common: dict[str, int], total: int) -> list[str]:
+    """The words beyond the common ones whose counts mend() needs."""
     out: set[str] = set()
     for _, a, b, hyphen, _ in breaks(body, [m.span() for m in _WORD.finditer(body)], common):
-        if hyphen or a + b in common or a not in common or b not in common:
+        if hyphen or a not in common or b not in common or one_word(a, b, common, total):
             out.update(w for w in (a, b, a + b, f"{a}-{b}") if w not in common)
     return sorted(out)
 
 
-def mend(body: str, common: dict[str, int], others: dict[str, int], top: int, joins: Logistic) -> tuple[bool, list[str], str]:
+def mend(body: str, common: dict[str, int], others: dict[str, int], total: int, top: int, joins: Logistic) -> tuple[bool, list[str], str]:
     """(whether words were broken, words that may be misread, text with joined words and paragraphs on one line).
 
-    others: counts of words that aren't common. top: the largest count of a possible correction; a word over top / RATIO has none.
+    others: counts of words that aren't common. total: the count of all words. top: the largest count of a possible correction; a word over top / RATIO has none.
     """
     known = ChainMap(others, common)
     spans = [m.span() for m in _WORD.finditer(body)]
     glue, met, where = {}, [], []
     for k, a, b, hyphen, space in breaks(body, spans, common):
-        if not hyphen and (a + b not in known or known[a + b] < 3 * min(known.get(a, 0), known.get(b, 0))):
+        if not hyphen and not one_word(a, b, known, total):
             continue
         met.append(join_features(a, b, hyphen, space, known))
         where.append((k, hyphen, f"{a}-{b}"))
@@ -387,7 +395,7 @@ def parsed(chunks: DataFrame, books: DataFrame, counts: DataFrame, common: dict[
     full = one.join(titles, "book_id", "left").join(heads, "book_id", "left").drop("book_id")
     sample = [r["title"] for r in titles.filter("title IS NOT NULL").orderBy(F.xxhash64("book_id")).limit(200).collect()]
     held = sc.broadcast((common, train_furniture(sample), train_joins(common)))
-    top = counts.filter(F.col("word").rlike(CLEAN)).agg(F.max("n")).first()[0] or 0
+    total, top = (x or 0 for x in counts.agg(F.sum("n"), F.max(F.when(F.col("word").rlike(CLEAN), F.col("n")))).first())
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, furniture, _ = held.value
@@ -395,7 +403,7 @@ def parsed(chunks: DataFrame, books: DataFrame, counts: DataFrame, common: dict[
             rows = []
             for r in b.to_pylist():
                 noise, body = strip(r["text"], r["title"], r["chapter"], r["heads"] or [], (r["page_start"], r["page_end"]), furniture)
-                rows.append({"chunk_key": r["chunk_key"], "noise": noise, "body": body, "asked": asked(body, common)})
+                rows.append({"chunk_key": r["chunk_key"], "noise": noise, "body": body, "asked": asked(body, common, total)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk_key", pa.int64()), ("noise", pa.list_(pa.string())), ("body", pa.string()), ("asked", pa.list_(pa.string()))]))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +411,7 @@ def parsed(chunks: DataFrame, books: DataFrame, counts: DataFrame, common: dict[
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                broken, rare, clean = mend(r["body"], common, dict(r["others"] or []), top, joins)
+                broken, rare, clean = mend(r["body"], common, dict(r["others"] or []), total, top, joins)
                 rows.append({"chunk_key": r["chunk_key"], "noise": sorted([*r["noise"], *["hyphenation"] * broken]), "rare": rare, "clean": clean})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk_key", pa.int64()), ("noise", pa.list_(pa.string())), ("rare", pa.list_(pa.string())), ("clean", pa.string())]))
 

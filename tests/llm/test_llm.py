@@ -219,6 +219,15 @@ def test_p6_frequent_misreads(spark):
     assert "The keeper carried the lantern." in {r["text"] for r in scans.repair(df, books).collect()}
 
 
+def test_p6_breaks_between_frequent_fragments(spark):
+    known = {"stranger": 3000, "str": 40, "anger": 60, "around": 600, "a": 4000, "round": 150}
+    df, books = scanned(spark, ["The keeper carried the str\nanger beneath.", "The keeper carried the str anger beneath.", "The keeper carried a\nround lantern."], known)
+    assert {x for x in map(tuple, scans.noise(df, books).collect()) if x[0] < 100} == {(1, "hyphenation"), (2, "hyphenation")}
+    text = {r[0]: r[1] for r in scans.repair(df, books).collect()}
+    assert text[1] == text[2] == "The keeper carried the stranger beneath."
+    assert text[3] == "The keeper carried a round lantern."
+
+
 def test_p6_models_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
