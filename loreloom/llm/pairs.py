@@ -2,8 +2,8 @@
 
 Ordered rules over built-in expressions: emptiness, copied question, refusal phrases in several languages, script and language mismatch,
 unclosed delimiters and abrupt endings. Every triggered type is emitted with its rank; ``found`` keeps the first of each
-answer. One rule is learned from all texts: an answer without final stop is abrupt if its last word is known from no other place, or is one that hardly ever
-closes a sentence.
+answer. One rule is learned from all texts: an answer without final stop is abrupt if its last word is known from no other place, is one that hardly ever
+closes a sentence, or is very rare beside a word that it begins. All of these compare counts with each other, so more text does not change the verdicts.
 """
 
 from __future__ import annotations
@@ -63,8 +63,12 @@ FUNCTION_WORDS = {
 }
 #: Abbreviations that cannot close a text.
 ABBREVIATIONS = r"(?i)(^|[^\p{L}])(mr|mrs|ms|dr|prof|capt|st|rev|sr|sra|nr|núm|mme|m|z|b|p|pp|ex|ch|vol|fig|vs|cf|e\.g|i\.e|approx|no)\.$"
-#: A word seen this often that closes a sentence more rarely than this share does not close one.
-MANY, RARE = 40, 0.01
+#: A word that closes a sentence more rarely than this share does not close one; ``DOUBT`` closings are added to those seen, so that a few sightings prove nothing.
+RARE, DOUBT = 0.01, 0.4
+#: A last word more than this many times rarer than a longer word that it begins is that word cut off.
+CUT_OFF = 1000
+#: A refusal counts if what is said before it is less than this share of all that the answer says.
+PREFACE = 0.5
 SCRIPTS = {"kana": r"[\p{IsHiragana}\p{IsKatakana}]", "han": r"\p{IsHan}", "hangul": r"\p{IsHangul}", "cyrillic": r"\p{IsCyrillic}", "arabic": r"\p{IsArabic}", "devanagari": r"\p{IsDevanagari}", "thai": r"\p{IsThai}", "greek": r"\p{IsGreek}", "hebrew": r"\p{IsHebrew}"}
 QUOTED = r"«[^«»]*»|„[^„“”]*[“”]|“[^“”]*”|\"[^\"]*\"|「[^」]*」"
 CITATION = r"\[?\(?\b(pages?|p|pp)\.?\s*\d+(\s*[-–—]\s*\d+)?[\])]?|\[\d+\]"
@@ -90,11 +94,13 @@ def script(c: Column) -> Column:
     """The script of most letters: latin unless another one has three in ten of them (kana counts together with han)."""
 
     def of(x: Column) -> Column:
-        letters = F.greatest(F.regexp_count(x, F.lit(r"\p{L}")), F.lit(1))
-        out = F.lit("latin")
-        for name, pattern in reversed(SCRIPTS.items()):
-            out = F.when(F.regexp_count(x, F.lit(pattern)) >= letters * (0.1 if name == "kana" else 0.3), F.lit(name)).otherwise(out)
-        return F.when(x.rlike(r"[\u0370-\uffff&&\p{L}]"), out).otherwise("latin")
+        def told(letters: Column) -> Column:
+            out = F.lit("latin")
+            for name, pattern in reversed(SCRIPTS.items()):
+                out = F.when(F.regexp_count(x, F.lit(pattern)) >= letters * (0.1 if name == "kana" else 0.3), F.lit(name)).otherwise(out)
+            return out
+
+        return F.when(x.rlike(r"[\u0370-\uffff&&\p{L}]"), let(F.greatest(F.regexp_count(x, F.lit(r"\p{L}")), F.lit(1)), told)).otherwise("latin")
 
     return let(c, of)
 
@@ -108,8 +114,8 @@ def hits(words: Column) -> Column:
     return let(words, lambda w: F.array(*[F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in v.split()]))) for v in FUNCTION_WORDS.values()]))
 
 
-def language(c: Column) -> Column:
-    """The Latin-script language with most frequent words in c, null where there are none or in a tie."""
+def language(hits_: Column) -> Column:
+    """The Latin-script language with most hits, null where there are none or in a tie."""
 
     def of(h: Column) -> Column:
         top = F.array_max(h)
@@ -118,7 +124,7 @@ def language(c: Column) -> Column:
             out = F.when(h[k] == top, F.lit(name)).otherwise(out)
         return F.when((top >= 1) & (F.size(F.filter(h, lambda x: x == top)) == 1), out)
 
-    return let(hits(_words(c)), of)
+    return let(hits_, of)
 
 
 def arms(results: DataFrame, key: str = "result_key") -> DataFrame:
@@ -132,15 +138,35 @@ def arms(results: DataFrame, key: str = "result_key") -> DataFrame:
     return by_key(one.select("result_key", "question", "unanswerable", "x.arm", "x.answer"), "result_key").dropDuplicates(["result_key", "arm"])
 
 
+def last_token(c: Column) -> Column:
+    return F.element_at(F.split(c, r"\s+"), -1)
+
+
 def word_endings(answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """(last_word, seen, closing) over all texts: how often a word stands before more text, and how often of these it closes a sentence or stands before a citation."""
-    text = lambda df, c: df.select(F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), rf"[\p{{L}}\p{{N}}'’-]+[\"”’»…]*{BLANK}*$", "")).alias("x"))
+    """(last_word, seen, closing) over all texts: how often a word stands before more text, and how often of these it closes a sentence or stands before a citation.
+
+    Tokens are counted as they stand, and taken apart once for each different token.
+    """
     word = r"[\p{L}\p{N}'’-]+"
-    closes = rf"({word})(?=[.!?…][\s\"”’»)\]]|[.!?…]$|\s+\[page|\s+\(p)"
-    both = text(answers, "answer").unionByName(text(questions, "question"))
-    seen = both.select(F.explode(F.regexp_extract_all("x", F.lit(f"({word})"), F.lit(1))).alias("last_word"), F.lit(0).alias("c"))
-    closing = text(answers, "answer").select(F.explode(F.regexp_extract_all("x", F.lit(closes), F.lit(1))).alias("last_word"), F.lit(1).alias("c"))
-    return seen.unionByName(closing).groupBy("last_word").agg(F.sum(1 - F.col("c")).alias("seen"), F.sum("c").alias("closing"))
+    both = answers.select(F.col("answer").alias("x"), F.lit(1).alias("answer")).unionByName(questions.select(F.col("question").alias("x"), F.lit(0).alias("answer")))
+    text = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("x", F.lit(""))), rf"{BLANK}+$", ""), r"\s+(?=\[page|\(p)", ".")
+    # the last word of a text may be cut off and is no evidence
+    kept = lambda a: F.when(F.element_at(a, -1).rlike(rf"{word}[\"”’»…]*$"), F.slice(a, 1, F.size(a) - 1)).otherwise(a)
+    counted = both.select(F.explode(let(F.split(text, r"\s+"), kept)).alias("t"), "answer").groupBy("t", "answer").agg(F.count("*").alias("n"))
+    closes = rf"({word})(?=[.!?…][\"”’»)\]\[(]|[.!?…]$)"
+    each = counted.select("n", "answer", F.regexp_extract_all("t", F.lit(f"({word})"), F.lit(1)).alias("w"), F.regexp_extract_all("t", F.lit(closes), F.lit(1)).alias("c"))
+    zero = F.lit(0).cast("bigint")
+    row = lambda seen, closing: lambda w: F.struct(w.alias("last_word"), seen.alias("seen"), closing.alias("closing"))
+    rows = F.concat(F.transform("w", row(F.col("n"), zero)), F.when(F.col("answer") == 1, F.transform("c", row(zero, F.col("n")))).otherwise(F.array()))
+    return each.select(F.explode(rows).alias("r")).groupBy("r.last_word").agg(F.sum("r.seen").alias("seen"), F.sum("r.closing").alias("closing"))
+
+
+def with_longer(counts: DataFrame) -> DataFrame:
+    """counts with longer: the count of the most frequent word that the word begins, 0 if there is none."""
+    n, zero = F.col("seen") + F.col("closing"), F.lit(0).cast("bigint")
+    begins = F.transform(F.sequence(F.lit(1), F.greatest(F.length("last_word") - 1, F.lit(1))), lambda i: F.struct(F.left("last_word", i).alias("last_word"), zero.alias("seen"), zero.alias("closing"), F.when(i < F.length("last_word"), n).otherwise(0).alias("longer")))
+    rows = F.concat(F.array(F.struct("last_word", "seen", "closing", zero.alias("longer"))), begins)
+    return counts.select(F.explode(rows).alias("r")).groupBy("r.last_word").agg(F.sum("r.seen").alias("seen"), F.sum("r.closing").alias("closing"), F.max("r.longer").alias("longer"))
 
 
 def signals(pairs: DataFrame) -> DataFrame:
@@ -148,56 +174,67 @@ def signals(pairs: DataFrame) -> DataFrame:
     t = pairs.withColumn("t", _trim(F.col("answer"))).withColumn("q", _trim(F.col("question")))
     t = t.withColumn("bare", _bare(F.col("t"))).withColumn("bare_q", _bare(F.col("q")))
     t = t.withColumn("empty", F.col("bare").isin(*HOLLOW))
-    core = F.regexp_replace(F.col("bare"), LEAD, "")
     near = lambda x: (F.col("bare_q") != "") & (F.abs(F.length(x) - F.length("bare_q")) <= F.length("bare_q") / 10 + 1) & (F.levenshtein(x, F.col("bare_q")) <= F.length("bare_q") / 10 + 1)
+    # only an answer about as long as its question can give it back, with a lead-in or twice
+    might = (F.length("bare") <= 2 * F.length("bare_q") + 40) & (F.length("bare") * 2 >= F.length("bare_q"))
     twice = F.col("bare") == F.concat("bare_q", "bare_q")
-    t = t.withColumn("copied_question", ~F.col("empty") & (near(F.col("bare")) | near(core) | twice & (F.col("bare_q") != "")))
+    t = t.withColumn("copied_question", ~F.col("empty") & might & (near(F.col("bare")) | near(F.regexp_replace("bare", LEAD, "")) | twice & (F.col("bare_q") != "")))
     # what the answer says itself, without quotations and citations
-    said = F.regexp_replace(F.regexp_replace(F.col("t"), QUOTED, " "), "(?i)" + CITATION, " ")
-    t = t.withColumn("said", said)
-    first = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.col("said"), r"(?i)^\W*(you asked (about|whether|if|me)?[^.?!]*[.?!]?|(answer|antwort|réponse|respuesta)\W*)\s*", ""), r"^[\s*_>#\-–—\"“”«»„:.]+", "")))
-    refuses = first.rlike("^(" + "|".join(REFUSALS) + ")") | F.lower(F.col("said")).rlike(r"(?:[.?!]\s+)(" + "|".join(REFUSALS) + ")")
-    t = t.withColumn("declines", ~F.col("empty") & ~F.col("copied_question") & (F.length("said") < 400) & refuses)
+    quoted = F.when(F.col("t").rlike(r"[«„“\"「]"), F.regexp_replace("t", QUOTED, " ")).otherwise(F.col("t"))
+    t = t.withColumn("said", F.regexp_replace(quoted, "(?i)" + CITATION, " "))
+    t = t.withColumn("low", F.lower("said"))
+    first = F.trim(F.regexp_replace(F.regexp_replace("low", r"^\W*(you asked (about|whether|if|me)?[^.?!]*[.?!]?|(answer|antwort|réponse|respuesta)\W*)\s*", ""), r"^[\s*_>#\-–—\"“”«»„:.]+", ""))
+    refusal = "(?:" + "|".join(REFUSALS) + ")"
+    # what stands before the first sentence that refuses; the whole text where none does
+    before = F.regexp_replace("low", rf"(?s)(?<=[.?!])\s+{refusal}.*$", "")
+    late = let(before, lambda b: (b != F.col("low")) & (F.length(b) <= F.length("low") * PREFACE))
+    t = t.withColumn("declines", ~F.col("empty") & (first.rlike(f"^{refusal}") | F.col("low").rlike(r"[.?!]\s") & late))
     t = t.withColumn("refusal", F.col("declines") & ~F.col("unanswerable"))
-    s_a, s_q = script(F.col("said")), script(F.col("q"))
-    lang_q = F.coalesce(language(F.col("q")), F.lit("en"))
-    t = t.withColumn("script_a", F.when(s_a == "latin", script(F.col("t"))).otherwise(s_a)).withColumn("script_q", s_q).withColumn("lang_q", lang_q)
-    w = _words(F.when(F.size(_words(F.col("said"))) < 4, F.col("t")).otherwise(F.col("said")))
-    t = t.withColumn("w", w)
-    t = t.withColumn("hits", hits(F.col("w")))
-    own = F.lit(0)
-    for k, name in enumerate(FUNCTION_WORDS):
-        own = F.when(F.col("lang_q") == name, F.col("hits")[k]).otherwise(own)
+    # to decline what cannot be answered is right, however it is put
+    t = t.withColumn("judged", ~F.col("empty") & ~(F.col("declines") & F.col("unanswerable")))
+    t = t.withColumn("script_said", script(F.col("said"))).withColumn("script_q", script(F.col("q")))
+    t = t.withColumn("script_a", F.when(F.col("script_said") == "latin", script(F.col("t"))).otherwise(F.col("script_said")))
+    t = t.withColumn("own_words", F.regexp_extract_all("low", F.lit(r"(\p{L}+)"), F.lit(1)))
+    t = t.withColumn("hits_q", hits(_words(F.col("q")))).withColumn("hits", hits(F.when(F.size("own_words") < 4, _words(F.col("t"))).otherwise(F.col("own_words"))))
+    t = t.withColumn("lang_q", F.coalesce(language(F.col("hits_q")), F.lit("en"))).withColumn("lang_a", language(F.col("hits")))
+    own = F.element_at("hits", F.array_position(F.array(*[F.lit(x) for x in FUNCTION_WORDS]), F.col("lang_q")).cast("int"))
     most = F.array_max("hits")
     # most letters of the answer itself; a text with a heading of its own (a name and a dash) counts without it
-    other = (F.col("script_a") != F.col("script_q")) & F.when(s_a == "latin", F.col("said").rlike(r"\p{L}\W*$") & (F.size(F.col("w")) < 4)).otherwise(F.lit(True)) | (F.col("script_a") == "latin") & (F.col("script_q") == "latin") & (most >= 2) & (most > 2 * own)
-    t = t.withColumn("other_language", ~F.col("empty") & ~F.col("copied_question") & ~F.col("declines") & other)
-    # abrupt endings
-    body = F.regexp_replace(F.col("t"), r"[*_]+$", "")
-    unclosed = body.rlike(r"[\[(][^\])]{0,14}$") & ~body.rlike(r"[\[(][^\])]*[\])][^\[(]*$")
-    stopped = body.rlike(STOP + CLOSERS + "$") & ~body.rlike(ABBREVIATIONS) & ~body.rlike(r"(\.\.\.|…)" + CLOSERS + "$") | body.rlike(r"[)\]」』]$")
-    t = t.withColumn("unclosed", unclosed).withColumn("stopped", stopped)
-    t = t.withColumn("last_word", F.lower(F.regexp_extract(body, r"([\p{L}\p{N}'’-]+)[\"”’»…]*$", 1)))
-    t = t.withColumn("dots", body.rlike(r"(\.\.\.|…)" + CLOSERS + "$")).withColumn("lang_a", language(F.col("t")))
-    named = body.rlike(r"^[\"“]?(\p{Lu}[\p{L}'’.-]*\s*){1,5}$")
-    return t.withColumn("named", named).withColumn("brief", (F.size(F.split(body, r"\s+")) <= 5) & ~body.contains("\n"))
+    few = F.col("said").rlike(r"\p{L}\W*$") & (F.size("own_words") < 4)
+    other = (F.col("script_a") != F.col("script_q")) & (few | (F.col("script_said") != "latin")) | (F.col("script_a") == "latin") & (F.col("script_q") == "latin") & (most >= 2) & (most > 2 * own)
+    t = t.withColumn("other_language", F.col("judged") & other)
+    # abrupt endings: a bracket or quotation mark that is not closed, or no stop
+    t = t.withColumn("body", F.regexp_replace("t", r"[*_]+$", ""))
+    t = t.withColumn("end", last_token(F.col("body")))
+    # whole quotations are taken out before an open one is looked for
+    bare = F.when(F.col("body").rlike(r"[“„«「]"), F.regexp_replace("body", QUOTED, " ")).otherwise(F.col("body"))
+    dots = F.col("body").rlike(r"(\.\.\.|…)" + CLOSERS + "$")
+    stopped = F.col("body").rlike(STOP + CLOSERS + "$") & ~F.col("end").rlike(ABBREVIATIONS) & ~dots | F.col("end").rlike(r"[)\]」』]$")
+    t = t.withColumn("stopped", stopped)
+    # quotations within quotations are not told apart, so a stop ends the text even if a mark seems open
+    unclosed = F.col("body").rlike(r"[\[(“„«「]") & (F.col("body").rlike(r"[\[(][^\])]*$") | ~F.col("stopped") & bare.rlike(r"[“„«「]"))
+    t = t.withColumn("unclosed", unclosed).withColumn("dots", dots)
+    t = t.withColumn("last_word", F.when(F.col("judged") & ~F.col("stopped"), F.lower(F.regexp_extract("end", r"([\p{L}\p{N}'’-]+)[\"”’»…]*$", 1))))
+    t = t.withColumn("named", F.col("last_word").isNotNull() & F.col("body").rlike(r"^[\"“]?(\p{Lu}[\p{L}'’.-]*\s*){1,5}$"))
+    return t.withColumn("brief", (F.size(F.split("body", r"\s+")) <= 5) & ~F.col("body").contains("\n"))
 
 
 def defects(results: DataFrame, key: str = "result_key") -> DataFrame:
-    """(result_key, arm, defect, rank): every triggered defect type of each answer, rank 1 first.
+    """(result_key, arm, defect, rank): every triggered defect type of each answer, rank 1 first; an answer may have several.
 
-    A null struct, answer, blank or hollow answer is empty. Declining is no defect where unanswerable is true (null: only if the category is "unanswerable").
+    A null struct, answer, blank or hollow answer is empty and nothing else. Declining is no defect where unanswerable is true (null: only if the category is "unanswerable"), whatever its form.
     A null question cannot be copied and counts as English. Keys delivered again count once; null keys are left out.
     """
     pairs = arms(results, key)
-    t = signals(pairs)
-    t = t.join(word_endings(pairs, results.select("question")), "last_word", "left")
-    open_word = (F.col("seen") >= MANY) & (F.col("closing") < F.when(F.col("brief"), 0.001).otherwise(RARE) * F.col("seen"))
-    whole = F.coalesce(F.col("seen") + F.col("closing") > 0, F.lit(False)) & ~F.coalesce(open_word, F.lit(False)) & (~F.col("dots") | (F.col("lang_a") == "fr")) | F.col("named") & ~F.col("dots")
-    abrupt = F.col("unclosed") | ~F.col("stopped") & ~whole
-    t = t.withColumn("truncated", ~F.col("empty") & ~F.col("copied_question") & ~F.col("declines") & abrupt)
-    found = F.filter(F.array(*[F.when(F.col(d), F.lit(d)) for d in DEFECTS]), lambda x: x.isNotNull())
-    return t.select("result_key", "arm", F.posexplode(found).alias("rank", "defect")).select("result_key", "arm", "defect", (F.col("rank") + 1).alias("rank"))
+    t = signals(pairs).select("result_key", "arm", *DEFECTS[:-1], "judged", "unclosed", "stopped", "dots", "named", "brief", "lang_a", "last_word")
+    t = t.join(with_longer(word_endings(pairs, results.select("question"))), "last_word", "left")
+    n = F.col("seen") + F.col("closing")
+    open_word = F.col("closing") + DOUBT < F.when(F.col("brief"), RARE / 10).otherwise(RARE) * F.col("seen")
+    cut_off = F.coalesce(F.col("longer") > CUT_OFF * n, F.lit(False))
+    whole = F.coalesce(n > 0, F.lit(False)) & ~F.coalesce(open_word, F.lit(False)) & ~cut_off & (~F.col("dots") | F.coalesce(F.col("lang_a") == "fr", F.lit(False))) | F.col("named") & ~F.col("dots")
+    t = t.withColumn("truncated", F.col("judged") & (F.col("unclosed") | ~F.col("stopped") & ~whole))
+    triggered = F.filter(F.array(*[F.when(F.col(d), F.lit(d)) for d in DEFECTS]), lambda x: x.isNotNull())
+    return t.select("result_key", "arm", F.posexplode(triggered).alias("rank", "defect")).select("result_key", "arm", "defect", (F.col("rank") + 1).alias("rank"))
 
 
 def found(results: DataFrame, key: str = "result_key") -> DataFrame:
