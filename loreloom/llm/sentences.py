@@ -2,13 +2,16 @@
 
 A text is cut into blocks at blank lines. Within a block, every place where a sentence could end is a candidate: after a
 run of terminators and the closers attached to it, or, in scripts without full stops, at a space. Each candidate is
-decided by the first rule whose pattern before it and pattern after it both match. The rules are ordered in tables by
-writing system and language; the table of the script before the candidate comes first, the common one last.
+decided by the first rule whose pattern before it and pattern after it both match. The rules are ordered in tables: what a writing system
+asks for first, then the table of the language, then the rest of the writing system. The writing system is that of the letter before
+the candidate, so that each part of a mixed text is cut by rules of its own; the language of Latin and Han texts is that of the document's
+frequent words and signs, and where these are divided, the tables of all languages of that writing system are asked in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -20,38 +23,79 @@ from loreloom.session import spread
 OUT = "doc_id bigint, sent_no int, sent_start int, sent_end int"
 
 _CLOSE = r"[\"'”’»)\]}」』）】›“‘*_]"
-_OPEN = r"[\"'“‘«„(\[{¿¡「『（【‹—–-]"
 #: Verbs that attribute a quotation to a speaker.
 _SAID = "asked|said|cried|answered|began|replied|shouted|called|whispered|murmured|demanded|added|continued|exclaimed|muttered|declared|insisted|laughed|snapped|told|inquired|wondered|repeated|agreed|warned|sighed"
-_SPEAKER = r"(?:(?:the|a|an|his|her|Mr\.|Mrs\.|Ms\.|Miss|Dr\.|Prof\.|Capt\.|St\.)\s+)?(?:[\p{Lu}][\p{L}'’.-]*|of|the|and)(?:\s+(?:[\p{Lu}][\p{L}'’.-]*|of|the|and)){0,5}"
-#: Abbreviations after which a sentence goes on with whatever follows.
-_TITLES = "Mr|Mrs|Ms|Mx|Messrs|Dr|Prof|Capt|Col|Gen|Lt|Sgt|Rev|Hon|St|Sr|Sra|Srta|Dña|Mme|Mlle|Mons|Hr|Fr|Herr|Jr|Frl|Sir|Maj|Cdr|Fig|fig|Figs|figs|vs|cf|Cf|viz|approx|ca|Eq|eq|Ch|ch|Vol|vol|Sec|sec|Chap|chap|pp|p|ed|eds|op|Bd|Abb|bzw|vgl|Vgl|usw|evtl|ggf|sog|Hg|Anm|Yrs|Mt|Ft|N\\.B|P\\.S|P\\.P\\.S|i\\.e|e\\.g|z\\.\\s?B|d\\.\\s?h|u\\.\\s?a|p\\.\\s?ex|c\\.-à-d|p\\.\\s?ej|núm|Núm|págs?|art|т\\.\\s?е|т\\.\\s?д|т\\.\\s?п|см|ср|им|ул|стр|рис|гл|проф|д-р"
+_SPEAKER = r"(?:(?:the|a|an|his|her|Mr\.|Mrs\.|Ms\.|Miss|Dr\.|Prof\.|Capt\.|St\.)\s+)?(?:[\p{Lu}][\p{L}'’.-]*|of|the|and)(?:\s+(?:[\p{Lu}][\p{L}'’.-]*|of|the|and))*"
+_QUOTED = rf"[?!…]{_CLOSE}+$|\.\.\.{_CLOSE}+$|[,.—–-]{_CLOSE}+$"
+#: Abbreviations, by language, after which a sentence goes on with whatever follows.
+_ABBREVIATIONS = {
+    "en": "Mr|Mrs|Ms|Mx|Messrs|Dr|Prof|Capt|Col|Gen|Lt|Sgt|Rev|Hon|St|Sr|Jr|Sir|Maj|Cdr|Fig|fig|Figs|figs|vs|cf|Cf|viz|approx|ca|Eq|eq|Ch|ch|Vol|vol|Sec|sec|Chap|chap|pp|p|ed|eds|op|Yrs|Mt|Ft|N\\.B|P\\.S|P\\.P\\.S|i\\.e|e\\.g",
+    "de": "Dr|Prof|Hr|Fr|Frl|Herr|St|Bd|Abb|bzw|vgl|Vgl|usw|evtl|ggf|sog|Hg|Anm|ca|z\\.\\s?B|d\\.\\s?h|u\\.\\s?a|o\\.\\s?ä|z\\.\\s?T|i\\.\\s?d\\.\\s?R",
+    "fr": "M|MM|Mme|Mmes|Mlle|Mons|Dr|Pr|St|Ste|p\\.\\s?ex|c\\.-à-d|env|chap|éd|vol|pp|p",
+    "es": "Sr|Sra|Srta|Sres|Dr|Dra|Dña|D|Ud|Uds|p\\.\\s?ej|núm|Núm|pág|págs|aprox",
+    "it": "[Ss]ig|[Ss]igg|[Ss]ig\\.ra|[Dd]ott|[Pp]rof|[Aa]vv|[Ii]ng|S|p\\.\\s?es|pagg",
+    "pt": "[Ss]r|[Ss]ra|[Ss]rs|[Dd]r|[Dd]ra|[Pp]rof|[Ee]ng|p\\.\\s?ex|pág|págs|núm",
+    "nl": "[Dd]hr|[Mm]evr|[Mm]w|[Dd]r|[Pp]rof|St|bijv|bv|d\\.\\s?w\\.\\s?z|o\\.\\s?a|blz|nr|ca|z\\.\\s?g",
+    "ru": "т\\.\\s?е|т\\.\\s?д|т\\.\\s?п|т\\.\\s?к|и\\.\\s?о|г-н|г-жа|проф|акад|им|ул|стр|см|ср|рис|гл|д-р|тов|гр|св|т",
+    "el": "π\\.\\s?χ|κ\\.\\s?ά|κ\\.\\s?λ\\.\\s?π|δηλ|βλ|σελ|κ|κα|δρ|καθ|αρ",
+    "hi": "डॉ|श्री|प्रो|पं|कु|सं|रु|क्र|स्व",
+    "ar": "[\\p{L}]|أ\\.د|ص|ج|م|هـ|ق\\.م",
+    "th": "พ|ค|ดร|นาย|น|ม|ก|ฯ",
+}
 _MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert|Kapitel|Band"
+#: Frequent short words of the languages in Latin letters.
+_FREQUENT = {
+    "en": "the of and was were is are to with at which what who when that this his her he she it in on by from for but not had",
+    "de": "der die das und ist nicht wo wer den dem des ein eine einen im am zum zur mit von auf um nach vor bei sich er sie es war hatte",
+    "fr": "le la les et est un une des du de au aux qui que où dans ne pas se sa son ses il elle ce cette avec par sur était à",
+    "es": "el la los las y es un una de del al que quién dónde por para con sin en no su sus se vio lo había",
+    "it": "il lo la gli e è un una di del della che chi dove per con non si suo sua nel alla era più",
+    "pt": "o a os as e é um uma de do da que quem onde por para com não se seu sua no na era mais",
+    "nl": "de het een en is niet wie waar van met op in aan bij naar voor zijn haar hij zij was dat",
+}
+
+
+def _short(language: str) -> tuple[bool, str, str]:
+    return (False, rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_ABBREVIATIONS[language]})\.$", r"\s")
+
 
 #: One rule: break here or not, what must stand before the candidate (up to its end), what must follow it.
 RULES: dict[str, list[tuple[bool, str, str]]] = {
-    "latin": [
+    "latin first": [
         # a list item begins
         (True, r"", r"\s+[*•‣▪·]\s+\S"),
         # a reference that opens a note
         (False, r"(?<!\p{L})(?:[Cc]f|[Vv]gl|pp?|ch|vol)\.$", r"\s"),
         (True, r"", r"\s+(?:cf|vgl|p|pp|ch|vol|see|siehe|voir|véase)\.?\s+(?:[a-z]{1,4}\.\s*)?[\d–-]+(?:\s*ff?\.)?:\s"),
-        # a street ends a sentence before upper case, a saint does not
-        (True, r"\p{Lu}[\p{L}'’-]+\s(?:St|Rd|Ave|Sq)\.$", r"\s+[\"'“‘«(\[]?\p{Lu}"),
         # a number at the start of a line counts the line
         (False, r"(?:^|\n)\s*(?:\d{1,3}|[a-zA-Z]|[ivxlc]{1,5}|[IVXLC]{1,5})\.$", r"[ \t]"),
-        # German ordinals before a month
-        (False, r"\b\d{1,2}\.$", rf"\s+(?:{_MONTHS})\b"),
+    ],
+    "en": [
+        # a street ends a sentence before upper case, a saint does not
+        (True, r"\p{Lu}[\p{L}'’-]+\s(?:St|Rd|Ave|Sq)\.$", r"\s+[\"'“‘«(\[]?\p{Lu}"),
         # abbreviated "number" before its number
-        (False, r"\b(?:[Nn]o|[Nn]os|[Nn]r|[Aa]rt|[Pp]ar|[Vv]ol|[Bb]d|[Nn]úm|[Pp]|[Pp]p|[Ff]ig|[Cc]h|[Cc]a|[Vv]ers|[Ss])\.$", r"\s*[\d#ivxlc]"),
-        (False, rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.$", r"\s"),
-        # streets and companies are inside a sentence only before lower case (below); initials always
-        (False, r"(?<![\p{L}\p{N}'’])(?:\p{Lu}\.(?:[ -]?\p{Lu}\.)*)$", r"\s*[\p{Lu}\p{N}]"),
-        (False, r"(?<![\p{L}\p{N}'’])[zdubosv]\.$", r"\s+\p{L}"),
+        (False, r"\b(?:[Nn]os?|[Aa]rt|[Pp]ar|[Vv]ol|[Pp]p?|[Ff]ig|[Cc]h|[Cc]a|[Vv]ers)\.$", r"\s*[\d#ivxlc]"),
+        _short("en"),
         # a quotation belongs to the sentence that says who spoke
-        (False, rf"[?!…]{_CLOSE}+$|\.\.\.{_CLOSE}+$|[,.—–-]{_CLOSE}+$", rf",?\s+{_SPEAKER}\s+(?:{_SAID})\b"),
-        (False, rf"[?!…]{_CLOSE}+$|\.\.\.{_CLOSE}+$|[,.—–-]{_CLOSE}+$", rf",?\s+(?:{_SAID})\s+(?:{_SPEAKER}|\p{{Ll}})"),
-        # French and Russian quotations go on after a dash or in lower case
+        (False, _QUOTED, rf",?\s+{_SPEAKER}\s+(?:{_SAID})\b"),
+        (False, _QUOTED, rf",?\s+(?:{_SAID})\s+(?:{_SPEAKER}|\p{{Ll}})"),
+    ],
+    "de": [
+        # ordinals before a month
+        (False, r"\b\d{1,2}\.$", rf"\s+(?:{_MONTHS})\b"),
+        (False, r"\b(?:[Nn]r|[Aa]rt|[Bb]d|[Ss]|[Cc]a|[Kk]ap|[Aa]bb)\.$", r"\s*[\d#ivxlc]"),
+        _short("de"),
+        (False, r"(?<![\p{L}\p{N}'’])[zdubosv]\.$", r"\s+\p{L}"),
+    ],
+    "fr": [(False, r"\b(?:[Nn]os?|[Aa]rt|[Vv]ol|[Pp]p?|[Cc]h|[Vv]ers)\.$", r"\s*[\d#ivxlc]"), _short("fr")],
+    "es": [(False, r"\b(?:[Nn]úm|[Aa]rt|[Vv]ol|[Pp]p?|[Cc]ap)\.$", r"\s*[\d#ivxlc]"), _short("es")],
+    "it": [(False, r"\b(?:[Nn]|[Aa]rt|[Vv]ol|[Pp]p?|[Cc]ap)\.$", r"\s*[\d#ivxlc]"), _short("it")],
+    "pt": [(False, r"\b(?:[Nn]|[Aa]rt|[Vv]ol|[Pp]p?|[Cc]ap)\.$", r"\s*[\d#ivxlc]"), _short("pt")],
+    "nl": [(False, r"\b(?:[Nn]r|[Aa]rt|[Bb]lz|[Pp]p?|[Hh]fdst)\.$", r"\s*[\d#ivxlc]"), _short("nl")],
+    "latin": [
+        # initials
+        (False, r"(?<![\p{L}\p{N}'’])(?:\p{Lu}\.(?:[ -]?\p{Lu}\.)*)$", r"\s*[\p{Lu}\p{N}]"),
+        # quotations go on after a dash or in lower case
         (False, r"[?!….]$", r"\s+[—–-]\s+\p{Ll}"),
         # a closing guillemet that stands apart belongs to the end
         (False, r"", r"[   ]+[»!?]"),
@@ -62,78 +106,111 @@ RULES: dict[str, list[tuple[bool, str, str]]] = {
         (False, r"(?:^|\s)\.\.\.?\.?$|(?:^|\s)…$", r"\s*[\p{Ll}]"),
         (True, r"", r"\s"),
     ],
-    "cjk": [
+    "cjk first": [
         # an ellipsis only pauses
         (False, r"…$|・・・$|\.\.\.$", r""),
-        # a quotation with the particle or the speaker that belongs to it
-        (False, r"[。！？!?…][」』”’]+$", r"\s*(?:と|って|との|という|などと|とか)"),
+    ],
+    # a quotation with the particle or the speaker that belongs to it
+    "ja": [(False, r"[。！？!?…][」』”’]+$", r"\s*(?:と|って|との|という|などと|とか)")],
+    "zh": [
         (True, r"[：:，,][“‘「『][^“”「」]*[。！？!?…]+[”’」』]+$", r""),
-        (False, r"[。！？!?…]+[”’」』]+$", r"\s*[^。！？!?“”「」]{0,24}(?:问道|说道|答道|喊道|叫道|问|说|道|喊)[，,。！]"),
-        (True, r"", r""),
+        (False, r"[。！？!?…]+[”’」』]+$", r"\s*[^。！？!?“”「」\n]*(?:问道|说道|答道|喊道|叫道|问|说|道|喊)[，,。！]"),
     ],
-    "devanagari": [
-        (False, r"(?<![\p{L}\p{M}])(?:डॉ|श्री|प्रो|पं|कु|सं|रु|क्र|स्व)\.$", r"\s"),
+    "cjk": [(True, r"", r"")],
+    "hi": [
+        _short("hi"),
         (False, r"(?<![\p{L}\p{M}])[\p{L}]\p{M}*\.$", r"\s*[\p{L}]"),
-        (False, rf"[।?!…]{_CLOSE}+$", r"\s+[^।?!“”\n]{1,60}(?:पूछा|कहा|बोला|बोली|बोले|चिल्लाया|चिल्लाई|जवाब दिया|उत्तर दिया)\s*[।!?]"),
-        (False, r"\.$", r"[\p{L}\p{N}]"),
-        (False, r"", r"\s*[,;:]"),
-        (True, r"", r"\s"),
+        (False, rf"[।?!…]{_CLOSE}+$", r"\s+[^।?!“”\n]+(?:पूछा|कहा|बोला|बोली|बोले|चिल्लाया|चिल्लाई|जवाब दिया|उत्तर दिया)\s*[।!?]"),
     ],
-    "arabic": [
-        (False, r"(?<![\p{L}\p{M}])(?:[\p{L}]|أ\.د|ص|ج|م|هـ|ق\.م)\.$", r"\s"),
+    "ar": [
+        _short("ar"),
         (False, rf"[.؟?!…]{_CLOSE}+$", r"\s+(?:سأل|سألت|قال|قالت|صاح|صاحت|أجاب|أجابت|رد|ردت|همس|همست|هتف|نادى|تساءل)\b"),
-        (False, r"\.$", r"[\p{L}\p{N}]"),
-        (False, r"", r"\s*[،؛:,;]"),
-        (True, r"", r"\s"),
     ],
-    "cyrillic": [
-        (False, r"(?<![\p{L}\p{N}])(?:т\.\s?е|т\.\s?д|т\.\s?п|т\.\s?к|и\.\s?о|г-н|г-жа|проф|акад|им|ул|стр|см|ср|рис|гл|д-р|тов|гр|св|т)\.$", r"\s"),
+    "ru": [
+        _short("ru"),
         (False, r"(?<![\p{L}\p{N}])\p{Lu}\.$", r"\s*\p{Lu}"),
         (False, r"[?!….][»“”\"]*$", r"\s+[—–-]\s+\p{Ll}"),
         (False, r"", r"\s*[»“”)\]]*\s+[«“„\"(]?\p{Ll}"),
-        (False, r"\.$", r"[\p{L}\p{N}]"),
-        (False, r"", r"\s*[,;:]"),
-        (True, r"", r"\s"),
     ],
-    "thai": [
+    "el": [
+        _short("el"),
+        (False, r"(?<![\p{L}\p{N}])\p{Lu}\.$", r"\s*\p{Lu}"),
+        (False, r"", r"\s*[»“”)\]]*\s+[«“„\"(]?\p{Ll}"),
+    ],
+    "th": [
         (False, r"\p{N}$", r"\s"),
         (False, r"", r"\s*\p{N}"),
-        (False, r"(?:\b(?:พ|ค|ดร|นาย|น|ม|ก|ฯ)\.)$", r"\s"),
+        (False, rf"(?:\b(?:{_ABBREVIATIONS['th']})\.)$", r"\s"),
+    ],
+    "spaced": [
+        (False, r"\.$", r"[\p{L}\p{N}]"),
+        (False, r"", r"\s*[,;:،؛]"),
         (True, r"", r"\s"),
     ],
+    # signs that end a sentence whether or not a space follows
+    "signs": [
+        (False, r"[.?!]$", r"\S"),
+        (False, r"", r"\s*[།༎]"),
+        (True, r"", r""),
+    ],
 }
-_COMPILED = {k: [(b, regex.compile(f"(?:{x})") if x else None, regex.compile(y) if y else None) for b, x, y in v] for k, v in RULES.items()}
+#: The tables of each writing system in order; None stands for the language's.
+CASCADES: dict[str, tuple[str | None, ...]] = {
+    "latin": ("latin first", None, "latin"), "cjk": ("cjk first", None, "cjk"), "devanagari": ("hi", "spaced"), "arabic": ("ar", "spaced"), "cyrillic": ("ru", "spaced"), "greek": ("el", "spaced"), "thai": ("th", "spaced"),
+    "hebrew": ("spaced",), "armenian": ("spaced",), "khmer": ("signs",), "tibetan": ("signs",), "ethiopic": ("signs",), "myanmar": ("signs",),
+}
+LANGUAGES = {"latin": tuple(_FREQUENT), "cjk": ("ja", "zh")}
 _BLANK = r"[^\S\n\r ]"
-_BLOCK = regex.compile(rf"(?:\r\n|\n|\r| ){_BLANK}*(?:(?:\r\n|\n|\r| ){_BLANK}*)+| ")
-_STOPS = regex.compile(rf"(?:[.!?…؟۔।॥։။]|\p{{Thai}}(?=[ \t ]))+(?:{_CLOSE}|(?<=[.!?…])[   ]»)*|[。！？…]+[！？。…]*[」』”’）】\"]*")
-_SCRIPT = (("cjk", regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}。！？「」『』]")), ("devanagari", regex.compile(r"[\p{Devanagari}]")), ("arabic", regex.compile(r"[\p{Arabic}]")), ("cyrillic", regex.compile(r"[\p{Cyrillic}]")), ("thai", regex.compile(r"[\p{Thai}]")))
-_LETTER = regex.compile(r"[\p{L}]")
-_NEAR, _FAR = 40, 160
-#: In Latin text, a full word and a plain terminator before white space and upper case need no rules.
-_PLAIN = regex.compile(r"[\p{Latin}]{4,}[.!?]$|[\p{Latin}\p{N}'’][!?]$")
-_NEXT = regex.compile(r"\s+[\p{Lu}]")
-_LONG = regex.compile(r"(?:Messrs|approx|Figs|figs|Chap|chap|Srta|Mlle|Mons|Herr|evtl|págs|Prof|Capt|Anm|проф)\.$")
-
-
-def _table(text: str, at: int, start: int) -> str:
+_BLOCK = regex.compile(rf"(?:\r\n|\n|\r| ){_BLANK}*(?:(?:\r\n|\n|\r| ){_BLANK}*)+| ")
+_STOPS = regex.compile(rf"(?:[.!?…؟۔।॥։។៕៚༎།።፧፨]|(?<=\p{{Greek}})[;;]|\p{{Thai}}(?=[ \t ]))+(?:{_CLOSE}|(?<=[.!?…])[   ]»)*|[。！？…｡．]+[！？。…]*[」』”’）】\"]*")
+_SCRIPT = (
+    ("cjk", regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}。！？「」『』]")), ("devanagari", regex.compile(r"[\p{Devanagari}]")), ("arabic", regex.compile(r"[\p{Arabic}]")), ("cyrillic", regex.compile(r"[\p{Cyrillic}]")), ("thai", regex.compile(r"[\p{Thai}]")), ("greek", regex.compile(r"[\p{Greek}]")),
+    ("hebrew", regex.compile(r"[\p{Hebrew}]")), ("armenian", regex.compile(r"[\p{Armenian}]")), ("khmer", regex.compile(r"[\p{Khmer}]")), ("tibetan", regex.compile(r"[\p{Tibetan}]")), ("ethiopic", regex.compile(r"[\p{Ethiopic}]")), ("myanmar", regex.compile(r"[\p{Myanmar}]")), ("latin", regex.compile(r"[\p{L}]")),
+)
+_LATIN_WORD = regex.compile(r"\p{Latin}+")
+_HAN, _KANA = regex.compile(r"\p{Han}"), regex.compile(r"[\p{Hiragana}\p{Katakana}]")
+
+
+def language(text: str) -> dict[str, str | None]:
+    """Of the Latin and the Han part of a text: the language whose frequent words or signs are most, None where none clearly is."""
+    seen = set(_LATIN_WORD.findall(text.lower()))
+    hits = sorted(((len(seen & words), name) for name, words in _WORDS.items()), reverse=True)
+    latin = hits[0][1] if hits[0][0] >= 4 and hits[0][0] >= 2 * hits[1][0] else None
+    cjk = ("ja" if _KANA.search(text) else "zh") if _HAN.search(text) or _KANA.search(text) else None
+    return {"latin": latin, "cjk": cjk}
+
+
+_WORDS = {k: frozenset(v.split()) for k, v in _FREQUENT.items()}
+
+
+@cache
+def _compiled(script: str, lang: str | None) -> dict[str, list]:
+    """The rules of a cascade by the last character before a candidate: those that need a full stop stand only under it. Patterns before are matched backwards from the candidate."""
+    names = [n for c in CASCADES[script] for n in ([c] if c else [lang] if lang else LANGUAGES[script])]
+    rules = [r for n in names for r in RULES[n]]
+    make = lambda rs: [(b, regex.compile(f"(?r)(?:{x})") if x else None, regex.compile(y) if y else None) for b, x, y in rs]
+    return {".": make(rules), "": make([r for r in rules if not (r[1].endswith(r"\.$") and "|" not in regex.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)", "", r[1]))])}
+
+
+def _script(text: str, at: int, start: int) -> str:
     """The writing system of the last letter or full stop before the candidate."""
-    for k in range(at - 1, max(start, at - 40) - 1, -1):
+    for k in range(at - 1, start - 1, -1):
         c = text[k]
-        if c < "ɐ" and c.isalpha():
-            return "latin"
+        if c < "ɐ":
+            if c.isalpha():
+                return "latin"
+            continue
         for name, pattern in _SCRIPT:
             if pattern.match(c):
                 return name
     return "latin"
 
 
-def _breaks(text: str, start: int, at: int, end: int) -> bool:
-    near = max(start - 1, at - _NEAR, 0)
-    if _NEXT.match(text, at, end) and _PLAIN.search(text, near, at) and not _LONG.search(text, near, at):
-        return True
-    name = _table(text, at, start)
-    low = max(start - 1, at - _FAR, 0) if name == "cjk" else near
-    for verdict, x, y in _COMPILED[name]:
+def _breaks(text: str, start: int, at: int, end: int, langs: dict[str, str | None]) -> bool:
+    name = _script(text, at, start)
+    rules = _compiled(name, langs.get(name))
+    low = max(start - 1, 0)
+    for verdict, x, y in rules["." if text[at - 1] == "." else ""]:
         if (y is None or y.match(text, at, end)) and (x is None or x.search(text, low, at)):
             return verdict
     return False
@@ -142,6 +219,7 @@ def _breaks(text: str, start: int, at: int, end: int) -> bool:
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) in code points of every sentence; white space about them is left out."""
     out: list[tuple[int, int]] = []
+    langs = language(text)
 
     def add(a: int, b: int) -> None:
         while a < b and text[a].isspace():
@@ -159,7 +237,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
         a = lo
         for m in _STOPS.finditer(text, lo, hi):
             at = m.end()
-            if at < hi and _breaks(text, lo, at, hi):
+            if at < hi and _breaks(text, lo, at, hi, langs):
                 add(a, at)
                 a = at
         add(a, hi)
@@ -181,7 +259,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def split(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, sent_no, sent_start, sent_end) of every sentence, as code points of the text.
 
-    Null and blank texts have no rows. Equal rows give equal rows. Language labels are not used: the writing system about each candidate decides.
+    Null and blank texts have no rows. Equal rows give equal rows. Language labels, which may be missing or wrong, are not used: the text itself tells its language.
     """
     src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     return spread(src).mapInArrow(_scan, OUT)
