@@ -1,13 +1,14 @@
 """Problem 4: one surviving record for each group of records of one name, by consistent bundles.
 
-Fields that depend on each other form bundles that are taken whole from one record:
+Fields that depend on each other form bundles that are taken whole from one record or batch:
   account   description, extractor, extracted_at (all given by the record)
   origin    batch_id, extractor
-  label     the spelling of the name
-Under the functional dependencies "record -> account" and "batch -> extractor", the account and the origin of a survivor must have one
-extractor. Branch and bound picks the bundles with the highest trust, account before origin before label; alternatives that
-another one of the same extractor beats are pruned by aggregation beforehand, so a group never meets in one task
-with more than one alternative a bundle and extractor. source_chunk_ids is the union over all members.
+  label     the spelling of the name, batch_id, extractor
+Under the functional dependencies "record -> account", "batch -> extractor" and "record -> extractor" a survivor has one extractor and one batch, so the bundles
+constrain each other: the batch must be the extractor's of the account, and the spelling must stand in that batch. Branch and bound takes the best
+account and, with it, the origin and label whose trust together is greatest, which need not be the most trusted origin. Alternatives that cannot be part of the best
+choice are pruned by aggregation beforehand, so a group meets in one task with one account an extractor and one batch for each
+extractor and spelling. source_chunk_ids is the union over all members.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.session import cut
+
 WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 #: Descriptions that say nothing, as their letters and digits in lower case.
 PLACEHOLDERS = (
@@ -53,52 +56,50 @@ def _members(df: DataFrame, key: str, extractors: DataFrame) -> DataFrame:
     flat = df.filter(F.col(key).isNotNull()).select(
         F.col(key).cast("bigint").alias("key"), "book_id", norm_name(F.col("name")).alias("norm"), "name", "description", "extractor", "batch_id", "extracted_at", "source_chunk_ids"
     )
-    return flat.filter("norm <> ''").join(F.broadcast(trust), "extractor", "left").withColumn("trust", F.coalesce("trust", F.lit(-(1 << 31))))
-
+    # a table of a few extractors; the optimiser broadcasts it when its size allows
+    return flat.filter("norm <> ''").join(trust, "extractor", "left").withColumn("trust", F.coalesce("trust", F.lit(-(1 << 31))))
 
-def rank(d: str = "description") -> Column:
-    """The order of accounts: most words, higher trust (no extractor: lowest), later extraction, smaller key."""
-    return F.struct(n_words(F.col(d)).alias("words"), F.col("trust").alias("trust"), F.col("extracted_at").alias("at"), (-F.col("key")).alias("minus_key"))
 
+def bound(options: list[list[tuple]]) -> list[tuple | None]:
+    """Branch and bound over bundles.
 
-def bound(options: dict[str, list[tuple]]) -> list[tuple]:
-    """Branch and bound over bundles in order of importance.
-
-    options: for each bundle, its alternatives (score, extractor or None when free, payload). Takes one alternative of each bundle such that the
-    extractors agree, with the greatest scores in order; a bundle none of whose alternatives agrees stays empty.
+    options: for each bundle its alternatives (score, what it fixes, payload), where what it fixes maps attributes to values, and alternatives that fix one attribute differently exclude each
+    other. Takes at most one alternative of each bundle: the first bundle's has the greatest score that any has, and together with it the sum of the other scores is
+    greatest; among equal sums the choice found first, by descending scores, stays. A bundle that no alternative fits, or that is in the way of better ones, stays empty (None).
     """
-    names = list(options)
-    ranked = {b: sorted(options[b], key=lambda x: x[0], reverse=True) for b in names}
+    ranked = [sorted(o, key=lambda x: x[0], reverse=True) for o in options]
+    # what bundles k, k + 1, ... can add at most
+    most = [0] * (len(ranked) + 1)
+    for k in range(len(ranked) - 1, 0, -1):
+        most[k] = most[k + 1] + (ranked[k][0][0] if ranked[k] else 0)
     best: list = []
+    top = -1
 
-    def key(chosen: list) -> list:
-        return [(0,) if c is None else (1, *c[0]) for c in chosen]
-
-    def search(k: int, chosen: list, extractor: object) -> None:
-        nonlocal best
-        if best:  # what the bundles still open can reach at most
-            top = key(chosen) + [(1, *ranked[b][0][0]) if ranked[b] else (0,) for b in names[k:]]
-            if top <= key(best):
-                return
-        if k == len(names):
-            best = list(chosen)
+    def search(k: int, chosen: list, fixed: dict, total: int) -> None:
+        nonlocal best, top
+        if k == len(ranked):
+            if total > top:
+                best, top = list(chosen), total
+            return
+        if total + most[k] <= top:
             return
-        fits = [c for c in ranked[names[k]] if c[1] is None or extractor is None or c[1] == extractor]
-        for c in fits or [None]:
-            search(k + 1, [*chosen, c], extractor if c is None or c[1] is None else c[1])
+        fits = [c for c in ranked[k] if all(fixed.get(a, v) == v for a, v in c[1].items())]
+        for c in [*fits, None] if k or not fits else fits[:1]:  # the first bundle does not yield to the others
+            search(k + 1, [*chosen, c], fixed if c is None else fixed | c[1], total + (0 if c is None or k == 0 else c[0]))
 
-    search(0, [], None)
+    search(0, [], {}, 0)
     return best
 
 
 def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for gid, first, alts, label, votes in zip(pdf["gid"], pdf["first_key"], pdf["alts"], pdf["label"], pdf["votes"], strict=True):
-            account = [((a["words"], a["trust"], a["at"], -a["key"]), a["tag"], a["key"]) for a in alts if a["words"] is not None]
-            origin = [((a["batch_trust"], a["batch_at"]), a["tag"], a["batch_id"]) for a in alts if a["batch_id"] is not None]
-            got = bound({"account": account, "origin": origin, "label": [((int(votes),), None, label)]})
-            rows.append((gid, int(first), None if got[0] is None else int(got[0][2]), None if got[1] is None else got[1][2], got[2][2]))
+        for gid, first, accounts, pairs in zip(pdf["gid"], pdf["first_key"], pdf["accounts"], pdf["pairs"], strict=True):
+            account = [((a["words"], a["trust"], a["at"], -a["key"]), {"extractor": a["tag"]}, a["key"]) for a in accounts if a["words"] is not None]
+            origin = {(p["tag"], p["batch_id"]): (int(p["origin"]), {"extractor": p["tag"], "batch": p["batch_id"]}, p["batch_id"]) for p in pairs if p["batch_id"] is not None}
+            label = [(int(p["votes"]), {"extractor": p["tag"]} | ({"batch": p["batch_id"]} if p["batch_id"] is not None else {}), p["name"]) for p in sorted(pairs, key=lambda p: p["seen_at"])]
+            got = bound([account, [origin[k] for k in sorted(origin)], label])
+            rows.append((gid, int(first), *(None if g is None else g[2] for g in got)))
         yield pd.DataFrame(rows, columns=["gid", "first_key", "best_key", "batch_id", "label"]).astype({"best_key": "Int64"})
 
 
@@ -108,29 +109,26 @@ def chosen(df: DataFrame, extractors: DataFrame, key: str) -> DataFrame:
     best_key is null when no member has a usable description. Rows with a null key, or a null or blank name, belong to no group; a null book_id is
     a book of its own. A key delivered again counts once. Ties end with the smaller key.
     """
+    g = ["book_id", "norm"]
     m = _members(df, key, extractors)
     tag = F.coalesce(F.col("extractor"), F.lit("\u0001none"))
     micros = F.coalesce(F.unix_micros("extracted_at"), F.lit(-(1 << 62)))
     good = usable(F.col("description"))
-    by = m.select("book_id", "norm", "name", "key", "trust", "batch_id", tag.alias("tag"), micros.alias("at"), F.when(good, n_words(F.col("description"))).alias("words"))
-    # one alternative a bundle and extractor: all that bound() could still take
-    alts = by.groupBy("book_id", "norm", "tag").agg(
-        F.min("key").alias("lo"),
-        F.max("key").alias("hi"),
-        F.max(F.when(F.col("words").isNotNull(), F.struct("words", "trust", "at", (-F.col("key")).alias("minus_key")))).alias("a"),
-        F.max(F.when(F.col("batch_id").isNotNull(), F.struct(F.col("trust").alias("batch_trust"), F.col("at").alias("batch_at"), "batch_id"))).alias("o"),
-    )
-    alts = alts.groupBy("book_id", "norm").agg(
-        F.min("lo").alias("first_key"),
-        F.max("hi").alias("last_key"),
-        F.collect_list(F.struct(F.col("a.words").alias("words"), F.col("a.trust").alias("trust"), F.col("a.at").alias("at"), (-F.col("a.minus_key")).alias("key"), "tag", F.col("o.batch_trust").alias("batch_trust"), F.col("o.batch_at").alias("batch_at"), F.col("o.batch_id").alias("batch_id"))).alias("alts"),
-    )
-    label = by.groupBy("book_id", "norm", "name").agg(F.count("*").alias("votes"), F.min("key").alias("k")).groupBy("book_id", "norm").agg(F.max(F.struct("votes", (-F.col("k")).alias("k"), F.col("name").alias("label"))).alias("l"))
-    full = _null_safe(alts.filter("first_key < last_key"), label)
-    gid = F.to_json(F.struct("book_id", "norm"))
-    got = full.select(gid.alias("gid"), "first_key", "alts", F.col("l.label").alias("label"), F.col("l.votes").alias("votes")).mapInPandas(
-        _choose, "gid string, first_key bigint, best_key bigint, batch_id string, label string"
-    )
+    account = F.when(good, F.struct(n_words(F.col("description")).alias("words"), F.col("trust"), micros.alias("at"), (-F.col("key")).alias("minus_key")))
+    # a batch and a spelling weigh as much as the trust of the members that have them
+    weight = F.greatest(F.col("trust"), F.lit(0)).cast("bigint") + 1
+    one = m.groupBy("key").agg(F.min(F.struct(*g, "name", "trust", "batch_id", tag.alias("tag"), weight.alias("weight"), account.alias("a"))).alias("r")).select("key", "r.*")
+    few = one.groupBy(*g, "tag", "batch_id", "name").agg(F.sum("weight").alias("weight"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("a").alias("a"))
+    few = cut(few)
+    accounts = few.groupBy(*g, "tag").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("a").alias("a"))
+    accounts = accounts.groupBy(*g).agg(F.min("lo").alias("first_key"), F.max("hi").alias("last_key"), F.collect_list(F.struct(F.col("a.words").alias("words"), F.col("a.trust").alias("trust"), F.col("a.at").alias("at"), (-F.col("a.minus_key")).alias("key"), "tag")).alias("accounts")).filter("first_key < last_key")
+    origins = few.groupBy(*g, "tag", "batch_id").agg(F.sum("weight").alias("origin"))
+    votes = few.groupBy(*g, "name").agg(F.sum("weight").alias("votes"), F.min("lo").alias("seen_at"))
+    # of the batches of one extractor and spelling only the weightiest can be part of the best choice
+    best = _null_safe(few.select(*g, "tag", "batch_id", "name"), origins, (*g, "tag", "batch_id")).groupBy(*g, "tag", "name").agg(F.max(F.struct("origin", "batch_id")).alias("o"))
+    pairs = _null_safe(best, votes, (*g, "name")).groupBy(*g).agg(F.collect_list(F.struct("tag", F.col("o.batch_id").alias("batch_id"), F.col("o.origin").alias("origin"), "name", "votes", "seen_at")).alias("pairs"))
+    gid = F.to_json(F.struct(*g))
+    got = _null_safe(accounts, pairs).select(gid.alias("gid"), "first_key", "accounts", "pairs").mapInPandas(_choose, "gid string, first_key bigint, best_key bigint, batch_id string, label string")
     return got.withColumn("g", F.from_json("gid", "book_id bigint, norm string")).select("g.book_id", "g.norm", "first_key", "best_key", "batch_id", "label")
 
 
