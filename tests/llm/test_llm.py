@@ -1,10 +1,12 @@
 """Small cases and brute-force checks of the training-data operators."""
 
 import datetime as dt
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,23 @@ def test_p1_groups_give_one_row_per_record(spark):
     assert g == {1: (1, 1, 2), 2: (1, 1, 1), 3: (1, 1, 2), 4: (4, 0, 1), 5: (5, 0, 1)}
 
 
+@pytest.mark.parametrize("part", [3, 2048])
+def test_p1_exact_mode_loses_nothing(spark, part):
+    rnd = random.Random(5)
+    rows = []
+    for k in range(80):
+        base = [rnd.choice("abcdefghijklmnopqrstuvwxyz") * rnd.randint(1, 3) for _ in range(rnd.randint(1, 25))] if k % 3 == 0 else base  # noqa: F821
+        rows.append((k, 1, " ".join(base[rnd.randint(0, 2) :]), rnd.choice(["", "x", "y z"]), T0, None, None))
+    got = {tuple(r) for r in nearby.found(spark.createDataFrame(rows, EVENT), 0.5, miss=0, part=part).collect()}
+    assert got == brute_pairs(rows, 0.5) and got
+
+
+def test_p1_hot_class_is_expanded_whole(spark, monkeypatch):
+    monkeypatch.setattr(nearby, "BLOCK", 5)
+    rows = [(k, 1, "a b c d e f" if k < 23 else "a b c d e f g", None, T0, None, None) for k in range(36)]
+    assert {tuple(r) for r in nearby.found(spark.createDataFrame(rows, EVENT), 0.6).collect()} == {(a, b) for a in range(36) for b in range(a + 1, 36)}
+
+
 def test_p1_trie_join_is_exact():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)
@@ -58,11 +77,29 @@ def test_p1_trie_join_is_exact():
         s[k] = s[k - 1] ^ np.array([1 << int(rng.integers(0, 63)), 5], np.uint64)
     order = np.lexsort((s[:, 1], s[:, 0]))
     s, n = s[order], np.full(60, 10)
-    i, j = nearby.trie_join(s, n, np.array([0, 25, 60]), 0.5)
+    i, j = nearby.trie_join(s, n, (np.array([0, 25]), np.array([25, 60]), np.array([0, 25]), np.array([25, 60])), 0.5, nearby.budgets(0))
     want = {(a, b) for a in range(60) for b in range(a + 1, 60) if (a < 25) == (b < 25) and int(np.bitwise_count(s[a] ^ s[b]).sum()) <= 10}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and want
 
 
+def test_p1_budgets_prune_most_pairs():
+    """One trie of unrelated records and near copies: node pairs and paths are pruned, near copies kept."""
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 1 << 62, 40) for _ in range(3000)]
+    sets += [np.concatenate([x[:36], rng.integers(0, 1 << 62, 4)]) for x in sets[:200]]
+    b = pa.RecordBatch.from_pydict({"id": pa.array(range(len(sets))), "w": pa.array([np.unique(x) for x in sets], pa.list_(pa.int64()))})
+    t = pa.Table.from_batches(list(nearby._plant(iter([b]), 1, 0)))
+    s = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")], 1)
+    order = np.lexsort((s[:, 1], s[:, 0]))
+    ids, whole = t.column("id").to_numpy()[order], (np.array([0]), np.array([len(sets)]), np.array([0]), np.array([len(sets)]))
+    told = {}
+    i, j = nearby.trie_join(s[order], t.column("n").to_numpy()[order].astype(np.int64), whole, 0.25, nearby.budgets(nearby.LOSS), told)
+    total = len(sets) * (len(sets) - 1) // 2
+    assert told["nodes_pruned"] > 0 and told["pairs_under_pruned_nodes"] + told["pairs_pruned_on_paths"] > 0.9 * total and told["pairs_compared"] < 0.1 * total
+    got = {tuple(sorted(x)) for x in zip(ids[i].tolist(), ids[j].tolist(), strict=True)}
+    assert len(got & {(k, 3000 + k) for k in range(200)}) >= 180
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (6, 7), (7, 8), (8, 9)], "a bigint, b bigint")
     assert {tuple(r) for r in components(e).collect()} == {(1, 1), (2, 1), (3, 1), *((k, 5) for k in range(5, 10))}
@@ -129,17 +166,34 @@ def test_p4_best_and_survivor(spark):
 
 def test_p4_branch_and_bound_is_best():
     rnd = random.Random(5)
-    for _ in range(200):
-        o = {b: [((rnd.randint(0, 3),), rnd.choice(["x", "y", None]), k) for k in range(rnd.randint(0, 4))] for b in "abc"}
-
-        def all_(names_, ext, o=o):
-            if not names_:
-                return [[]]
-            fits = [c for c in o[names_[0]] if c[1] is None or ext is None or c[1] == ext] or [None]
-            return [[c, *rest] for c in fits for rest in all_(names_[1:], ext if c is None or c[1] is None else c[1])]
-
-        value = lambda x: [(0,) if c is None else (1, *c[0]) for c in x]
-        assert value(survivor.bound(o)) == max(map(value, all_("abc", None)))
+    differs = 0
+    for _ in range(300):
+        def some(attributes):
+            return [(rnd.randint(0, 6), {a: rnd.choice("xyz") for a in attributes if rnd.random() < 0.9}, k) for k in range(rnd.randint(0, 5))]
+
+        o = [[((s,), f, k) for s, f, k in some(["extractor"])], some(["extractor", "batch"]), some(["batch"])]
+        agree = lambda c: all(x[1].get(k, v) == v for x in c if x for y in c if y for k, v in y[1].items())
+        all_ = [c for c in itertools.product(*[[*x, None] for x in o]) if agree(c) and (c[0] is None) == (not o[0]) and (c[0] is None or c[0][0] == max(x[0] for x in o[0]))]
+        value = lambda c: sum(x[0] for x in c[1:] if x)
+        got = survivor.bound(o)
+        first = max(o[0], key=lambda x: x[0], default=None)
+        assert agree(got) and (got[0] or (None,))[0] == (first or (None,))[0]
+        same = [c for c in all_ if c[0] is None or c[0] == got[0]]
+        assert value(got) == max(map(value, same))
+        fits = [x for x in o[1] if got[0] is None or all(got[0][1].get(k, v) == v for k, v in x[1].items())]
+        differs += bool(fits) and got[1] is not None and got[1][0] < max(x[0] for x in fits)
+    assert differs > 5  # the most trusted origin is not always part of the best choice
+
+
+def test_p4_bundles_agree(spark):
+    """The account's extractor decides the batch, and the batch decides the spelling, against the more frequent ones."""
+    def row(k, name, text, batch, ex):
+        return (k, 1, batch, name, text, [k], ex, T0, T0, None)
+
+    rows = [row(1, "ann bo", "The longest account of them all.", "b1", "a"), row(2, "ann bo", "Short.", "b1", "a"), row(3, "Ann Bo", "Short.", "b2", "a"), row(4, "ANN BO", "A short one.", "b3", "b"), row(5, "ANN BO", "A short one.", "b3", "b"), row(6, "Ann Bo", "Short.", "b2", "a"), row(7, "Ann Bo", "Short.", "b2", "a")]
+    ex = spark.createDataFrame([("a", 1), ("b", 9)], "extractor string, trust int")
+    r = survivor.survivors(spark.createDataFrame(rows, CHAR), ex, "char_key").collect()
+    assert [(x["first_key"], x["best_key"], x["batch_id"], x["label"], x["source_chunk_ids"]) for x in r] == [(1, 1, "b2", "Ann Bo", [1, 2, 3, 4, 5, 6, 7])]
 
 
 # --- 5 ----------------------------------------------------------------------------------------------------------
@@ -337,6 +391,13 @@ SENTENCES = [
     ["डॉ. वेलंकी ने घड़ी देखी।", "“सीढ़ी कहाँ है?” नाविक ने सुबह पूछा।", "दाम 12.5 रुपये था।"],
     ["«أين الصندوق؟» سأل الجار.", "قال د. نوراز إن الجار باع الحبل.", "كان ثمن 7.5 دراهم."],
     ["ระฆังราคา 12.5 บาท", "เรือราคา 7 บาท", "ไม่มีใครเห็น"],
+    ["Πού είναι η σκάλα;", "Ο κ. Νάσος πλήρωσε, π.χ. για το ρολόι.", "Έφυγε!"],
+    ["ខ្ញុំទៅផ្សារ។", "គាត់នៅផ្ទះ។"],
+    ["ང་ཁྲོམ་ལ་འགྲོ།", "ཁོང་ནང་ལ་ཡོད།"],
+    ["እኔ ወደ ገበያ ሄድኩ።", "እሱ ቤት ነው።"],
+    ["Ես գնացի շուկա։", "Նա տանն է։"],
+    ["Il sig. Neri non vide la chiave, p. es. nella torre.", "Chi era con lui?", "Il Dott. Bassi tornò."],
+    ["De heer en dhr. Vos zagen het huis, d.w.z. niet de molen.", "Wie was dat?"],
 ]
 
 
@@ -346,6 +407,19 @@ def test_p10_languages(parts):
     assert [text[a:b] for a, b in sentences.sentences(text)] == parts
 
 
+def test_p10_no_space_after_signs():
+    assert [e for _, e in sentences.sentences("እኔ ሄድኩ።እሱ ቤት ነው።")] == [7, 16]
+    assert sentences.language("The gate of the mill was by the river, and he was not in it.")["latin"] == "en" and sentences.language("Ja.")["latin"] is None
+
+
+def test_p10_far_context():
+    """What decides may stand far away: a long quotation before its speaker, a long name of a speaker."""
+    long = "那个" * 300
+    assert len(sentences.sentences(f"“水车在哪里？”{long}的村长问道。他走了。")) == 2
+    text = "“Where is it?” the Keeper of the Great Old Northern Mill and the Long Low Bridge of Orrin asked. He left."
+    assert len(sentences.sentences(text)) == 2
+
+
 def test_p10_scripts_without_spaces():
     for parts in (["「船はどこですか。」と渡し守が尋ねた。", "しかし……彼は黙った。", "誰も見なかった！"], ["“水车在哪里？”村长问道。", "他说：“绳子是我的。”", "邻居走了。"]):
         text = "".join(parts)
