@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.session import cut
+
 
 def lookup(members: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 200, floor: int = 20_000) -> DataFrame:
     """Inner join of members with groups on key, where groups has one row per key and its number of members in size.
@@ -19,3 +21,20 @@ def lookup(members: DataFrame, groups: DataFrame, key: str, size: str, total: in
     fast = members.join(F.broadcast(hot), key)
     rest = members.join(F.broadcast(hot.select(key)), key, "left_anti")
     return fast.unionByName(rest.join(cold, key).select(fast.columns))
+
+
+def halves(rows: DataFrame, by: list[str], id: str, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a self-join of rows within the groups of by, both with a column _part to join on as well.
+
+    A group of more than most rows is split into parts by a hash of id: the first side has each row in its own part, the second in every part, so
+    that each pair meets once and no task of the join holds more than most rows of one group against the whole group.
+    """
+    hot = rows.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*by, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    hot = cut(hot)
+    few = hot.count()
+    if not few:
+        one = rows.withColumn("_part", F.lit(0))
+        return one, one
+    sized = rows.join(F.broadcast(hot) if few <= 10_000 else hot, by, "left").fillna({"_parts": 1})
+    own = sized.withColumn("_part", F.pmod(F.xxhash64(id), F.col("_parts")).cast("int")).drop("_parts")
+    return own, sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
