@@ -8,17 +8,21 @@ joins only when exactly one fuller profile of its block fits it, which a merge m
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loreloom.session import cut
+from loreloom.operators.skew import halves
+from loreloom.session import by_key, cut
 
 #: Given names with their usual short forms.
 SHORT_FORMS = (
@@ -26,16 +30,15 @@ SHORT_FORMS = (
     "christopher chris kit kris topher", "daniel dan danny", "david dave davy", "dorothy dolly dot dottie dora", "edward ed eddie ned ted teddy", "eleanor ellie nell nora", "elizabeth liz lizzie lizzy betsy betty beth bess eliza elsie libby", "emma em", "frances fanny fran francie frankie", "francis frank",
     "frederick fred freddie freddy", "george georgie", "gilbert gil gib bert", "grace gracie", "gwendolen gwen gwennie wendy", "harriet hattie harry harrie", "henry harry hal hank", "isabella bella izzy belle isa", "james jim jimmy jamie jem", "john jack johnny", "joseph joe joey", "josephine jo josie fina", "katherine kate katie kitty kathy kay",
     "lawrence larry laurie lawrie", "louisa lou lulu", "margaret meg peggy maggie madge greta daisy", "martha mattie patty", "mary molly polly may mamie", "matthew matt", "michael mick mike mickey micky", "nathaniel nat nate", "nicholas nick nicky", "oliver ollie noll", "oswald oz ozzie ossie", "patrick paddy pat", "peter pete", "philip phil",
-    "rebecca becky becca", "richard dick rick rich richie", "robert bob rob bobby robbie", "rosalind roz ros rosie", "samuel sam sammy", "sarah sally sadie", "stephen steve", "susannah sue sukey susie susan", "theodora thea dora theo", "theodore ted theo teddy", "thomas tom tommy", "ubeline ubi", "victoria vicky vic tori", "vincent vin vince vinny", "walter wally walt",
+    "rebecca becky becca", "richard dick rick rich richie", "robert bob rob bobby robbie", "rosalind roz ros rosie", "samuel sam sammy", "sarah sally sadie", "stephen steve", "susannah sue sukey susie susan", "theodora thea dora theo", "theodore ted theo teddy", "thomas tom tommy", "victoria vicky vic tori", "vincent vin vince vinny", "walter wally walt",
     "wilhelmina mina minnie willa billie", "william will bill billy willy", "zachary zack zach zac",
 )
 #: Titles, and the sex they tell.
 TITLES = {"mr": "m", "mister": "m", "sir": "m", "lord": "m", "master": "m", "herr": "m", "mrs": "f", "ms": "f", "miss": "f", "madam": "f", "madame": "f", "mme": "f", "lady": "f", "dame": "f", "frau": "f", "dr": "", "doctor": "", "capt": "", "captain": "", "prof": "", "professor": "", "rev": "", "reverend": "", "col": "", "colonel": "", "hon": "", "judge": "", "major": ""}
-WOMEN = frozenset("abigail anastasia anne catherine charlotte dorothy eleanor elizabeth emma frances grace gwendolen harriet isabella josephine katherine louisa margaret martha mary rebecca rosalind sarah susannah theodora ubeline victoria wilhelmina".split())
-#: Abbreviations of organisations, and words that make a name one.
-ORG_SHORT = {"co": "company", "coy": "company", "cie": "company", "bros": "brotherhood", "inst": "institute", "soc": "society", "tr": "trust", "off": "office", "gld": "guild", "assoc": "association", "assn": "association", "ltd": "limited", "corp": "corporation", "fdry": "foundry", "univ": "university", "dept": "department", "lib": "library"}
-ORG_WORDS = frozenset([*ORG_SHORT.values(), *"brothers map rope tide salt lamp ferry bell chart mill bank club college school union league house works firm agency bureau council committee press post mail railway canal dock harbour wool iron coal steel glass cloth trading".split()])
-ORG_HEADS = frozenset([*ORG_SHORT.values(), *"bank club college school union league works firm agency bureau council committee press railway brothers".split()])
+WOMEN = frozenset("abigail anastasia anne catherine charlotte dorothy eleanor elizabeth emma frances grace gwendolen harriet isabella josephine katherine louisa margaret martha mary rebecca rosalind sarah susannah theodora victoria wilhelmina".split())
+#: Usual abbreviations of organisations, and the words that make a name one. Other abbreviations are told by their letters, other words of a name by their place in it.
+ORG_SHORT = {"co": "company", "coy": "company", "cie": "company", "bros": "brothers", "inst": "institute", "soc": "society", "assoc": "association", "assn": "association", "ltd": "limited", "corp": "corporation", "univ": "university", "dept": "department"}
+ORG_HEADS = frozenset("company brothers brotherhood institute society trust office guild association limited corporation foundry university department library bank club college school union league works firm agency bureau council committee press railway ministry academy museum theatre hospital church order fellowship".split())
 SMALL = {"the", "of", "and", "&", "a", "an", "for", "de", "von", "van"}
 
 CANON: dict[str, frozenset] = {}
@@ -53,6 +56,70 @@ PROFILE = T.StructType([T.StructField("kind", T.StringType()), *[T.StructField(c
 MERGED = ("kind", "surnames", "givens", "initials", "sexes", "orgs", "acronyms")
 
 
+_MEN = frozenset(r.split()[0] for r in SHORT_FORMS) - WOMEN
+
+
+def diminutive(short: str, full: str) -> bool:
+    """Whether short, without its ending -i, -y, -ie or -ey and a doubled letter before that, begins full: so a short form that no table has."""
+    stem = re.sub(r"(?:ie|ey|i|y)$", "", short)
+    if stem == short or len(full) <= len(short):
+        return False
+    return len(stem) >= 2 and (full.startswith(stem) or stem[-1:] == stem[-2:-1] and len(stem) > 2 and full.startswith(stem[:-1]))
+
+
+@lru_cache(maxsize=100_000)
+def sex_by_ending(name: str) -> str:
+    """The sex of the known names with the longest ending in common with an unknown one (three letters or more), if they have one sex; else empty."""
+    for k in range(min(len(name) - 1, 6), 2, -1):
+        women, men = (sum(n.endswith(name[-k:]) for n in x) for x in (WOMEN, _MEN))
+        if women + men > 1:
+            return "f" if not men else "m" if not women else ""
+    return ""
+
+
+@lru_cache(maxsize=100_000)
+def abbreviates(short: str, full: str) -> bool:
+    """Whether short is full left out letters of: the first letter, and the others in order; a plural s at its end does not count."""
+    if short in ORG_SHORT and ORG_SHORT[short] == full:
+        return True
+    if len(short) < 2 or len(short) >= len(full) or short[0] != full[0]:
+        return False
+    for s in (short, short[:-1]) if short.endswith("s") and len(short) > 2 else (short,):
+        rest = iter(full)
+        if all(c in rest for c in s):
+            return True
+    return False
+
+
+@lru_cache(maxsize=100_000)
+def is_head(word: str, cut_short: bool) -> bool:
+    """Whether a word makes a name an organisation's: a head, nearly one, its usual abbreviation, or (cut_short: with a full stop, or without vowels) letters of one."""
+    if word in ORG_HEADS or word in ORG_SHORT or len(word) > 5 and any(near(word, h) for h in ORG_HEADS if len(h) > 5):
+        return True
+    return cut_short and len(word) < 8 and any(abbreviates(word, h) for h in ORG_HEADS)
+
+
+@lru_cache(maxsize=100_000)
+def same_word(a: str, b: str) -> bool:
+    return a == b or near(a, b) or abbreviates(a, b) or abbreviates(b, a)
+
+
+def covers(few: list[str], many: list[str]) -> bool:
+    """Whether each word of few has a word of its own in many."""
+    left = list(many)
+    for w in few:
+        at = next((k for k, x in enumerate(left) if x == w), next((k for k, x in enumerate(left) if same_word(w, x)), None))
+        if at is None:
+            return False
+        left.pop(at)
+    return True
+
+
+def same_kinds(a: list[str], b: list[str], part: bool = False) -> bool:
+    """Whether one of the readings in a has the same words as one in b; part: or only some of them."""
+    return any((part or len(x.split()) == len(y.split())) and covers(x.split(), y.split()) for x in a for y in b)
+
+
 def near(a: str, b: str) -> bool:
     """At most one insertion, deletion, substitution or exchange of neighbours; short words must be equal."""
     if a == b:
@@ -100,26 +167,34 @@ def parse(name: str) -> dict | None:
         return out | {"kind": "acronym", "acronyms": [plain(bare)]}
     raw = re.findall(r"[\w'’.&-]+|,", s)
     low = [plain(t) for t in raw]
-    words = [w.strip(".'-") for w in low if w != ","]
-    words = [w for w in words if w]
-    expanded = [ORG_SHORT.get(w, w) for t in words for w in (t.split("-") if "-" in t and any(p in ORG_WORDS for p in t.split("-")) else [t])]
-    heads = [w for w in expanded if w in ORG_HEADS or len(w) > 5 and any(near(w, h) for h in ORG_HEADS if len(h) > 5)]
+    tokens = [(w.strip(".'-"), w.endswith(".")) for w in low if w != ","]
+    tokens = [(p, d) for w, d in tokens if w for p in (w.split("-") if "-" in w and any(is_head(x, False) for x in w.split("-")) else [w])]
+    last = [k for k, (w, _) in enumerate(tokens) if w in ("of", "for")] + [len(tokens)]
+    ends = {k - 1 for k in last}  # where an abbreviated head may stand
+    vowels = set("aeiouy")
+    heads = [w for k, (w, d) in enumerate(tokens) if is_head(w, k > 0 and k in ends and "," not in low and (d or not set(w) & vowels))]
     dotted = [t for t in raw if re.fullmatch(r"(?:[A-ZÀ-Þ]\.){2,5}", t)]
     if heads:
-        kinds, place = [], []
-        for w in expanded:
-            if w in SMALL:
-                continue
-            w = w.replace("-", "")
-            close = w if w in ORG_WORDS else next((h for h in ORG_WORDS if len(w) > 3 and len(h) > 3 and near(w, h)), None)
-            (kinds if close else place).append(close or w)
-        if not place:
+        words = [w for w, _ in tokens]
+        after = words.index("of") if "of" in words else None
+        body = [(w, after is not None and k > after) for k, w in enumerate(words) if w not in SMALL]
+        # the place stands after "of" or a comma, else it is the first word that is no head
+        tail = [w.strip(".'-") for w in low[low.index(",") + 1 :] if w != ","] if "," in low else []
+        if after is None and tail and not any(w in heads for w in tail):
+            body = [(w, w in tail) for w, _ in body]
+        place = [w for w, far in body if far] or next(([w] for w, _ in body if w not in heads), [])
+        if not place or set(place) <= set(heads):
             return None
-        full = [*place, *sorted(kinds)]
-        letters = "".join(x[0] for x in [*place, *[k for k in kinds]])
+        kinds = [w for w, far in body if not far and w not in place]
+        readings = [(place, kinds)]
+        if "-" in place[0] and len(place) == 1:  # the hyphen parts the place from the rest, or was written into it
+            first, *more = place[0].split("-")
+            readings.append(([first], [*more, *kinds]))
+        readings = [(["".join(p).replace("-", "")], [k.replace("-", "") for k in q]) for p, q in readings]
         # "X & Co" leaves the rest of the kinds out
         partial = len(kinds) == 1 and ("&" in low or "and" in low)
-        return out | {"kind": "org" if not partial else "orgpart", "surnames": ["".join(place)], "orgs": [" ".join(full[len(place) :])], "acronyms": [letters] if not partial else []}
+        letters = ["".join(x[0] for x in [*p, *q] if x) for p, q in readings]
+        return out | {"kind": "org" if not partial else "orgpart", "surnames": [p[0] for p, _ in readings], "orgs": [" ".join(sorted(q)) for _, q in readings], "acronyms": letters if not partial else []}
     if dotted and len(raw) == 2 and raw[-1] == dotted[0]:  # "Place S.T.", unless it is a person with the name after
         return out | {"kind": "orgshort", "surnames": [low[0].replace("-", "")], "acronyms": [plain(re.sub(r"\W", "", dotted[0]))]}
     sexes, rest, comma = [], [], None
@@ -183,7 +258,7 @@ def keys(surnames: list[str], acronyms: list[str], kind: str) -> list[str]:
     out = set()
     for s in surnames:
         out.add(s)
-        if len(s) > 4:
+        if len(s) >= 4:
             out.update(s[:k] + s[k + 1 :] for k in range(len(s)))
     if kind in ("acronym", "org"):
         out.update("#" + a for a in acronyms)
@@ -201,6 +276,8 @@ def _givens_agree(a: list[str], b: list[str]) -> bool:
                     return True
             elif x == y or given_forms(x) & given_forms(y) or near(x, y):
                 return True
+            elif not (is_given(x) or is_given(y)) and (diminutive(x, y) or diminutive(y, x)):
+                return True
     return False
 
 
@@ -211,6 +288,8 @@ def _sex(p: dict) -> set:
         told.add("f")
     elif full and not full & WOMEN and any(g in CANON for g in full):
         told.add("m")
+    elif not full & WOMEN and not full & _MEN:
+        told |= {x for x in {sex_by_ending(g) for g in full} if x}
     return told
 
 
@@ -227,15 +306,15 @@ def compare(a: dict, b: dict) -> int:
     orgs = {"org", "orgpart", "orgshort"}
     if ka in orgs and kb in orgs:
         if ka == kb == "org":
-            return int(bool({tuple(sorted(x.split())) for x in a["orgs"]} & {tuple(sorted(x.split())) for x in b["orgs"]}))
+            return int(same_kinds(a["orgs"], b["orgs"]))
         if ka == kb:
-            return int(ka == "orgpart" and bool(set(a["orgs"]) & set(b["orgs"])) or bool(set(a["acronyms"]) & set(b["acronyms"])))
+            return int(ka == "orgpart" and same_kinds(a["orgs"], b["orgs"]) or bool(set(a["acronyms"]) & set(b["acronyms"])))
         short, full = (a, b) if kb == "org" else (b, a)
         if full["kind"] != "org":
             return 0
         if short["kind"] == "orgshort" and not {sorted_tail(x) for x in full["acronyms"]} & {"".join(sorted(x)) for x in short["acronyms"]}:
             return 0
-        if short["kind"] == "orgpart" and not any(set(x.split()) <= set(y.split()) for x in short["orgs"] for y in full["orgs"]):
+        if short["kind"] == "orgpart" and not same_kinds(short["orgs"], full["orgs"], part=True):
             return 0
         return 2 if short is a else 3
     if ka in orgs or kb in orgs:
@@ -271,15 +350,16 @@ def _keys(surnames: pd.Series, acronyms: pd.Series, kind: pd.Series) -> pd.Serie
     return pd.Series([keys(list(s), list(a), k) for s, a, k in zip(surnames, acronyms, kind, strict=True)])
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for book, a, b, pa_, pb in zip(pdf["book_id"], pdf["a"], pdf["b"], pdf["pa"], pdf["pb"], strict=True):
-            x, y = ({k: (list(v) if k != "kind" else v) for k, v in dict(p).items()} for p in (pa_, pb))
-            v = compare(x, y)
-            if v:
-                out.append((book, a, b, v))
-        yield pd.DataFrame(out, columns=["book_id", "a", "b", "v"])
+@lru_cache(maxsize=200_000)
+def _unpack(profile: str) -> dict:
+    return {"kind": "", **{c: [] for c in MERGED[1:]}} | json.loads(profile)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        verdicts = np.array([compare(_unpack(x), _unpack(y)) for x, y in zip(b.column("pa").to_pylist(), b.column("pb").to_pylist(), strict=True)], np.int32)
+        keep = pa.array(verdicts > 0)
+        yield pa.RecordBatch.from_pydict({c: b.column(c).filter(keep) for c in ("book_id", "a", "b")} | {"v": pa.array(verdicts).filter(keep)})
 
 
 def spellings(characters: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -298,21 +378,26 @@ def resolve(characters: DataFrame, aliases: DataFrame) -> DataFrame:
     Null and blank strings, and roles without a name, have no row. A null book_id is left out. Strings of different books are never linked.
     Equal strings of a book are one.
     """
-    base = spellings(characters, aliases).withColumn("p", _profile("name")).filter("p.kind IS NOT NULL").select("book_id", "name", F.xxhash64("book_id", "name").alias("entity"), "p.*")
+    strings = by_key(spellings(characters, aliases), "book_id", "name")
+    base = strings.withColumn("p", _profile("name")).filter("p.kind IS NOT NULL").select("book_id", "name", F.xxhash64("book_id", "name").alias("entity"), "p.*", F.lit(True).alias("fresh"))
     nodes = cut(base)
     weak = False
     while True:
-        members = nodes.groupBy("book_id", "entity").agg(F.max_by("kind", _rank(F.col("kind"))).alias("kind"), *[F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in MERGED[1:]])
-        profile = members.select("book_id", "entity", F.struct(*MERGED).alias("p"), F.explode(_keys("surnames", "acronyms", "kind")).alias("key"))
-        x, y = profile.select("book_id", "key", F.col("entity").alias("a"), F.col("p").alias("pa")), profile.select("book_id", "key", F.col("entity").alias("b"), F.col("p").alias("pb"))
-        pairs = x.join(y, ["book_id", "key"]).filter("a < b").groupBy("book_id", "a", "b").agg(F.first("pa").alias("pa"), F.first("pb").alias("pb"))
-        verdicts = pairs.mapInPandas(_compare, "book_id bigint, a bigint, b bigint, v int")
+        members = nodes.groupBy("book_id", "entity").agg(F.max_by("kind", _rank(F.col("kind"))).alias("kind"), *[F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in MERGED[1:]], F.max("fresh").alias("fresh"))
+        profiles = cut(members.select("book_id", "entity", "fresh", "kind", F.to_json(F.struct(*MERGED)).alias("p"), _keys("surnames", "acronyms", "kind").alias("keys")))
+        x, y = halves(profiles.select("book_id", "entity", "fresh", F.explode("keys").alias("key")), ["book_id", "key"], "entity")
+        met = x.withColumnsRenamed({"entity": "a", "fresh": "fa"}).join(y.withColumnsRenamed({"entity": "b", "fresh": "fb"}), ["book_id", "key", "_part"]).filter("a <> b")
+        if not weak:  # two profiles that stayed as they were differ as they did before
+            met = met.filter("fa OR fb")
+        pairs = met.select("book_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        of = lambda e, p: profiles.select("book_id", F.col("entity").alias(e), F.col("p").alias(p))
+        verdicts = pairs.join(of("a", "pa"), ["book_id", "a"]).join(of("b", "pb"), ["book_id", "b"]).mapInArrow(_compare, "book_id bigint, a bigint, b bigint, v int")
         if not weak:
             edges = verdicts.filter("v = 1").select("book_id", "a", "b")
         else:
             verdicts = cut(verdicts)
             fits = verdicts.filter("v > 1").select("book_id", F.when(F.col("v") == 2, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(F.col("v") == 2, F.col("b")).otherwise(F.col("a")).alias("f"))
-            strength = members.select("book_id", F.col("entity").alias("f"), _rank(F.col("kind")).alias("rank"))
+            strength = profiles.select("book_id", F.col("entity").alias("f"), _rank(F.col("kind")).alias("rank"))
             best = fits.join(strength, ["book_id", "f"]).groupBy("book_id", "s").agg(F.max_by(F.col("f"), F.col("rank")).alias("f"), F.sum(F.when(F.col("rank") == 3, 1).otherwise(0)).alias("full"), F.count("*").alias("n"))
             one = best.filter("full = 1 OR full = 0 AND n = 1").select("book_id", F.least("s", "f").alias("a"), F.greatest("s", "f").alias("b"))
             edges = verdicts.filter("v = 1").select("book_id", "a", "b").unionByName(one)
@@ -323,11 +408,16 @@ def resolve(characters: DataFrame, aliases: DataFrame) -> DataFrame:
                 return nodes.select("book_id", "name", "entity")
             weak = True
             continue
-        nodes = cut(nodes.join(moves, ["book_id", "entity"], "left").withColumn("entity", F.coalesce("to", "entity")).select(nodes.columns))
+        # both the entities that moved and those they moved to have new profiles
+        touched = moves.select("book_id", "entity").unionByName(moves.select("book_id", F.col("to").alias("entity"))).distinct().withColumn("new", F.lit(True))
+        moved = nodes.join(moves.join(touched, ["book_id", "entity"], "right"), ["book_id", "entity"], "left")
+        nodes = cut(moved.withColumn("entity", F.coalesce("to", "entity")).withColumn("fresh", F.coalesce("new", F.lit(False))).select(nodes.columns))
 
 
 def found(characters: DataFrame, aliases: DataFrame) -> DataFrame:
     """(book_id, name_a, name_b): the pairs of different strings of one entity, the first one earlier in code-point order."""
     r = resolve(characters, aliases)
-    a, b = r.withColumnRenamed("name", "name_a"), r.withColumnRenamed("name", "name_b")
-    return a.join(b, ["book_id", "entity"]).filter("name_a < name_b").select("book_id", "name_a", "name_b")
+    a, b = halves(r, ["book_id", "entity"], "name")
+    both = a.withColumnRenamed("name", "name_a").join(b.withColumnRenamed("name", "name_b"), ["book_id", "entity", "_part"])
+    # every pair meets twice, once from either side
+    return both.filter("name_a < name_b").select("book_id", "name_a", "name_b")
