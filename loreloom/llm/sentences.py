@@ -185,11 +185,22 @@ _WORDS = {k: frozenset(v.split()) for k, v in _FREQUENT.items()}
 
 @cache
 def _compiled(script: str, lang: str | None) -> dict[str, list]:
-    """The rules of a cascade by the last character before a candidate: those that need a full stop stand only under it. Patterns before are matched backwards from the candidate."""
+    """The rules of a cascade by the last character before a candidate: those that need a full stop stand only under it. Neighbouring rules of one verdict are one pattern."""
     names = [n for c in CASCADES[script] for n in ([c] if c else [lang] if lang else LANGUAGES[script])]
     rules = [r for n in names for r in RULES[n]]
-    make = lambda rs: [(b, regex.compile(f"(?r)(?:{x})") if x else None, regex.compile(y) if y else None) for b, x, y in rs]
-    return {".": make(rules), "": make([r for r in rules if not (r[1].endswith(r"\.$") and "|" not in regex.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)", "", r[1]))])}
+
+    def make(rs: list) -> list:
+        out: list = []
+        for verdict, before, after in rs:
+            one = (rf"(?<={before.replace('$', '')})" if before else "") + f"(?:{after})"
+            if out and out[-1][0] == verdict:
+                out[-1][1].append(one)
+            else:
+                out.append((verdict, [one]))
+        return [(verdict, regex.compile("|".join(ps))) for verdict, ps in out]
+
+    top = lambda x: regex.sub(r"\((?:[^()]|(?R))*\)", "", x)
+    return {".": make(rules), "": make([r for r in rules if not (r[1].endswith(r"\.$") and "|" not in top(r[1]))])}
 
 
 def _script(text: str, at: int, start: int) -> str:
@@ -208,10 +219,8 @@ def _script(text: str, at: int, start: int) -> str:
 
 def _breaks(text: str, start: int, at: int, end: int, langs: dict[str, str | None]) -> bool:
     name = _script(text, at, start)
-    rules = _compiled(name, langs.get(name))
-    low = max(start - 1, 0)
-    for verdict, x, y in rules["." if text[at - 1] == "." else ""]:
-        if (y is None or y.match(text, at, end)) and (x is None or x.search(text, low, at)):
+    for verdict, pattern in _compiled(name, langs.get(name))["." if text[at - 1] == "." else ""]:
+        if pattern.match(text, at, end):
             return verdict
     return False
 
