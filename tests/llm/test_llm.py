@@ -121,6 +121,18 @@ def test_p2_links_spellings_and_leaves_roles(spark):
     assert names.found(c.limit(0), a.limit(0)).count() == 0
 
 
+def test_p2_words_no_table_has(spark, monkeypatch):
+    """Unknown given names, kinds and abbreviations of organisations, four-letter surnames, and a block split into parts."""
+    monkeypatch.setattr("loreloom.operators.skew.halves.__defaults__", (3,))
+    groups = [
+        ["Quorline Veshtak", "Quory Veshtak", "Q. Veshtak", "Mrs. Veshtak"], ["Dorrin Candle Ministry", "Candle Ministry of Dorrin", "Candle Ministry, Dorrin", "DCM", "Dorrin Candle Mnstry."],
+        ["Anna Hale", "Ann Hael"], ["Bartolf Zimmerhald", "Zimmerhald, Bartolf", "Bartolf Zimerhald", "Bartolf  Zimmerhadl", "BARTOLF ZIMMERHALD", "Bartolf Zimmerhalt"],
+    ]
+    c = spark.createDataFrame([(k, 1, None, n, None, None, None, None, T0, None) for k, n in enumerate(x for g in groups for x in g)], CHAR)
+    a = spark.createDataFrame([], ALIAS)
+    assert {tuple(r) for r in names.found(c, a).collect()} == {(1, *sorted((p, q))) for g in groups for i, p in enumerate(g) for q in g[i + 1 :]}
+
+
 def test_p2_near():
     for a, b, ok in [("jelmick", "jelmikc", True), ("jelmick", "jelmck", True), ("abc", "abd", False), ("jelmick", "jxlmixk", False), ("henry", "herny", True)]:
         assert names.near(a, b) is ok and names.near(b, a) is ok
