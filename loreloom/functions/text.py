@@ -131,8 +131,9 @@ def humanise(c: Column) -> Column:
 
 
 def pretty_relation(c: Column) -> Column:
-    """Underscores as spaces and each word's first letter in upper case, the rest as it is."""
-    return F.array_join(F.transform(F.split(humanise(c), " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 10_000))), " ")
+    """Underscores as spaces and the first letter of every run of letters and digits in upper case, the rest as it is: "half-brother_of" gives "Half-Brother Of"."""
+    runs = F.regexp_extract_all(humanise(c), F.lit("([A-Za-z0-9]+|[^A-Za-z0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))).otherwise(w)), "")
 
 
 def short_name(c: Column) -> Column:
@@ -151,3 +152,9 @@ def plural(n: Column, noun: str) -> Column:
 def source_label(chapter: Column, start: Column, end: Column, chunk: Column) -> Column:
     show = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     return F.concat(F.lit("Chapter="), F.coalesce(chapter, F.lit("Unknown")), F.lit(", Pages="), show(start), F.lit("-"), show(F.coalesce(end, start)), F.lit(", Chunk="), show(chunk))
+
+
+def source_list(sources: Column) -> Column:
+    """The labels of an array of sources (structs of chapter, page_start, page_end, chunk_id) on one line."""
+    labels = F.transform(sources, lambda s: source_label(s["chapter"], s["page_start"], s["page_end"], s["chunk_id"]))
+    return F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, F.array_join(labels, " | ")).otherwise("No source metadata")

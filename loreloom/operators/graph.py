@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreloom.functions import text as t
+
 
 def distinct_edges(rel: DataFrame, by: str, ord: str) -> DataFrame:
     """Edges with both ends, the first of those equal but for letter case and outer spaces."""
@@ -43,3 +45,17 @@ def neighbours(edges: DataFrame, selected: DataFrame, by: str, ord: str, k: int
     e = edges.join(s, by).filter("subject = sel OR object = sel")
     w = Window.partitionBy(by).orderBy(ord)
     return e.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).select(by, F.col("sel").alias("name"), ord, "relation", F.when(F.col("subject") == F.col("sel"), F.col("object")).otherwise(F.col("subject")).alias("other"))
+
+
+def drawn(edges: DataFrame, placed: DataFrame, by: str, ord: str) -> DataFrame:
+    """(by, ord, x1, y1, x2, y2): edges from the point of their subject to that of their object; edges with an end that has no point are left out."""
+    at = lambda end, n: placed.select(by, F.col("name").alias(end), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    return edges.join(at("subject", 1), [by, "subject"]).join(at("object", 2), [by, "object"]).select(by, ord, "x1", "y1", "x2", "y2")
+
+
+def cards(sources: DataFrame, by: str, k: int) -> DataFrame:
+    """(by, card, chunk_id, chapter, page_start, page_end, excerpt): the first k different chunks of each group in order of rank."""
+    best = sources.groupBy(by, "book_id", "chunk_id").agg(F.min(F.struct("rank", "chapter", "page_start", "page_end", "text")).alias("r"))
+    w = Window.partitionBy(by).orderBy("r.rank")
+    n = best.withColumn("card", F.row_number().over(w).cast("int")).filter(F.col("card") <= k)
+    return n.select(by, "card", "chunk_id", F.coalesce("r.chapter", F.lit("Unknown")).alias("chapter"), "r.page_start", "r.page_end", t.excerpt(F.col("r.text")).alias("excerpt"))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.functions import text as t
-from loreloom.session import cut
+from loreloom.operators.ordered import numbered
 
 RANKS = {"character": 0, "location": 1, "relationship": 2, "fact": 3, "event": 4}
 
@@ -38,20 +35,4 @@ def items(parts: dict[str, DataFrame]) -> DataFrame:
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "world_item_id") -> DataFrame:
     """df with ids from 0 in the given order (which must be unique): ranges are sorted apart, and each starts where the sizes of those before end."""
-    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
-    sizes = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row per partition
-    start, at = {}, 0
-    for p in sorted(sizes):
-        start[p], at = at, at + sizes[p]
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, int] = {}
-        for pdf in batches:
-            ids = []
-            for p in pdf["_p"]:
-                ids.append(start[p] + seen.get(p, 0))
-                seen[p] = seen.get(p, 0) + 1
-            yield pdf.assign(**{name: ids})
-
-    keyed = parts.select(*order, "_p").sortWithinPartitions(*order).mapInPandas(number, ", ".join([*[f"{c} {dict(parts.dtypes)[c]}" for c in order], "_p int", f"{name} bigint"])).drop("_p")
-    return parts.drop("_p").join(keyed, order)
+    return numbered(df, [], order, name)

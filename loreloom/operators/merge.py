@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.functions import text as t
+from loreloom.sources import schemas
+
 
 def once(df: DataFrame, key: str) -> DataFrame:
     """One row per key of rows delivered again: the first delivery. Null keys are left out."""
@@ -39,10 +42,26 @@ def ordered_merge(df: DataFrame, by: dict[str, Column], ord: str, first: tuple[s
     return out
 
 
-def ordered_distinct(c: Column) -> Column:
-    return F.array_distinct(c)
+def processed_ids(df: DataFrame, by: str, ids: str) -> DataFrame:
+    """(by, id): the distinct ids of each group, one a row, so that no group has to fit into one."""
+    return df.select(by, F.explode(ids).alias("id")).filter("id IS NOT NULL").distinct()
+
 
+def structured(df: DataFrame, kind: str, category: str, ord: str, by: tuple[str, ...] = (), sources: str | None = None) -> DataFrame:
+    """Records of one category of a document type, merged by the key its profile gives: the first row of each key stays as it is, and sources are united. Blank keys are kept."""
+    keys = schemas.profile(kind)[category]
+    rest = tuple(c for c in df.columns if c not in (*by, ord, sources))
+    return ordered_merge(df, {**{b: F.col(b) for b in by}, **{k: t.norm_ws(F.col(k)) for k in keys}}, ord, rest, sources=sources, keep_blank=True)
 
-def processed_ids(df: DataFrame, by: str, ids: str) -> DataFrame:
-    """(by, ids): the sorted distinct ids of each group."""
-    return df.select(by, F.explode(ids).alias("id")).filter("id IS NOT NULL").groupBy(by).agg(F.sort_array(F.collect_set("id")).alias("ids"))
+
+def sources_of(df: DataFrame, ids: str, chunks: DataFrame, key: str, by: str = "book_id", batch: str | None = None) -> DataFrame:
+    """(key, pos, chunk_id, ...): the chunks that a row names as its sources, once each, at the position where it first names them. chunks: by, chunk_id and what a source shows.
+
+    Ids that are no numbers or no chunks are left out; with batch, a column of chunks, so are those outside the batch of the first chunk that is named.
+    """
+    named = df.select(key, by, F.posexplode(ids).alias("pos", "_id")).select(key, by, "pos", F.col("_id").try_cast("int").alias("chunk_id")).filter("chunk_id IS NOT NULL")
+    first = named.groupBy(key, by, "chunk_id").agg(F.min("pos").alias("pos")).join(chunks, [by, "chunk_id"])
+    if batch:
+        of = first.groupBy(key).agg(F.min_by(batch, "pos").alias("_batch"))
+        first = first.join(of, key).filter(F.col(batch) == F.col("_batch")).drop("_batch")
+    return first

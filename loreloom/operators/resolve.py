@@ -39,6 +39,14 @@ def alias_map(resolved: DataFrame, by: str = "book_id", name: str = "name", ord:
     return keyed.filter("alias_key <> ''").groupBy(by, "alias_key").agg(F.max(F.struct("g", F.col("canonical").alias("v")))["v"].alias("canonical"))
 
 
+def report(resolved: DataFrame, by: str = "book_id", name: str = "name", ord: str = "ord") -> DataFrame:
+    """(by, comp, canonical, aliases): every component with its spellings, once each, in order of appearance."""
+    a = resolved.groupBy(by, "comp").agg(
+        F.max(F.struct(t.name_score(F.col(name)).alias("s"), (-F.col(ord)).alias("o"), F.col(name).alias("v")))["v"].alias("canonical"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ord).alias("o"), F.col(name).alias("v")))), lambda x: x["v"])).alias("aliases")
+    )
+    return a
+
+
 def longest_names(names: DataFrame, by: str = "book_id", name: str = "name", ord: str = "ord") -> DataFrame:
     """(by, alias_key, canonical) for places: the longest spelling of each normalised name, the first among equals."""
     return names.withColumn("alias_key", t.norm_nfkc(F.col(name))).filter("alias_key <> ''").groupBy(by, "alias_key").agg(F.max(F.struct(F.length(name).alias("l"), (-F.col(ord)).alias("o"), F.col(name).alias("v")))["v"].alias("canonical"))

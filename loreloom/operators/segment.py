@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.functions import text as t
+from loreloom.operators.ordered import carried, numbered
 
 TARGET, MOST, LEAST, PIECE = 220, 300, 25, 220
 FIRST_CHAPTER = "Story Beginning"
@@ -23,12 +24,20 @@ def story_start(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def carry_chapters(blocks: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("page", "block_ord")) -> DataFrame:
-    """blocks with is_heading, chapter (the last heading so far) and island (runs of one chapter)."""
-    w = Window.partitionBy(doc).orderBy(*order)
+    """blocks with is_heading, chapter (the last heading so far) and island (runs of one chapter). A very long document lies in many tasks."""
     h = blocks.withColumn("is_heading", t.is_heading(F.col("text")))
-    c = h.withColumn("chapter", F.coalesce(F.last(F.when(F.col("is_heading"), t.clean_text(F.col("text"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(FIRST_CHAPTER)))
-    new = F.when(F.col("chapter") != F.lag("chapter").over(w), 1).otherwise(0)
-    return c.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+    h = h.withColumn("_heading", F.when(F.col("is_heading"), t.clean_text(F.col("text"))))
+    return carried(h, [doc], list(order), "_heading", FIRST_CHAPTER, "chapter", "island").drop("_heading")
+
+
+def headings(blocks: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("page", "block_ord")) -> DataFrame:
+    """(doc, page, order, chapter): every heading, as the list of chapters of a document."""
+    return blocks.filter(t.is_heading(F.col("text"))).select(doc, "page", *[c for c in order if c != "page"], t.clean_text(F.col("text")).alias("chapter"))
+
+
+def from_start(blocks: DataFrame, starts: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The blocks from the page on which the story of their document starts."""
+    return blocks.join(starts, doc).filter(F.col("page") >= F.col("start")).drop("start")
 
 
 def split_blocks(blocks: DataFrame) -> DataFrame:
@@ -42,41 +51,42 @@ def split_blocks(blocks: DataFrame) -> DataFrame:
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Greedy chunks over rows sorted by island and order, with two integers of state."""
-    at, cur, prev, seq, last = None, 0, 0, 0, 0
+    at, cur, prev, seq, last = None, 0, 0, 0, (0, 0)
     for pdf in batches:
         out = []
-        for d, i, o, w in zip(pdf["d"], pdf["island"], pdf["o"], pdf["words"], strict=True):
+        for d, i, o, q, w in zip(pdf["d"], pdf["island"], pdf["o"], pdf["q"], pdf["words"], strict=True):
             if (d, i) != at:
                 at, cur, prev, seq = (d, i), 0, 0, 0
             elif cur >= TARGET:
-                out.append((d, i, last, seq + 1))  # the block before opens the next chunk
+                out.append((d, i, *last, seq + 1))  # the block before opens the next chunk
                 cur, seq = prev, seq + 1
-            out.append((d, i, o, seq))
-            cur, prev, last = cur + w, w, o
-        yield pd.DataFrame(out, columns=["d", "island", "o", "seq"])
+            out.append((d, i, o, q, seq))
+            cur, prev, last = cur + w, w, (o, q)
+        yield pd.DataFrame(out, columns=["d", "island", "o", "q", "seq"])
 
 
-def chunk_members(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, island, o, seq): the chunk or chunks of each block; blocks has doc, island, o (order in the doc) and words.
+def chunk_members(blocks: DataFrame, doc: str = "doc_id", order: tuple[str, str] = ("block_ord", "piece")) -> DataFrame:
+    """(doc, island, *order, seq): the chunk or chunks of each block; blocks has doc, island, the two columns of its order in the doc, and words.
 
     Islands are streamed in order through a fold that holds two integers, so an island may be of any length.
     """
-    rows = blocks.select(F.col(doc).alias("d"), "island", "o", "words").repartition("d", "island").sortWithinPartitions("d", "island", "o")
+    rows = blocks.select(F.col(doc).alias("d"), "island", F.col(order[0]).cast("bigint").alias("o"), F.col(order[1]).cast("int").alias("q"), "words").repartition("d", "island").sortWithinPartitions("d", "island", "o", "q")
     kind = dict(blocks.dtypes)[doc]
-    return rows.mapInPandas(_fold, f"d {kind}, island int, o bigint, seq int").withColumnRenamed("d", doc)
+    return rows.mapInPandas(_fold, f"d {kind}, island int, o bigint, q int, seq int").withColumnsRenamed({"d": doc, "o": order[0], "q": order[1]})
 
 
-def chunks(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, chunk_id, page_start, page_end, chapter, word_count, text) from blocks with doc, o, page, chapter, island, words, text. Chunks under LEAST words are dropped before ids are given."""
-    m = chunk_members(blocks, doc).join(blocks, [doc, "island", "o"])
+def chunks(blocks: DataFrame, doc: str = "doc_id", order: tuple[str, str] = ("block_ord", "piece")) -> DataFrame:
+    """(doc, chunk_id, page_start, page_end, chapter, word_count, text) from blocks with doc, their order, page, chapter, island, words, text. Chunks under LEAST words are dropped before ids are given."""
+    m = chunk_members(blocks, doc, order).join(blocks, [doc, "island", *order])
+    o = F.struct(*order)
     g = m.groupBy(doc, "island", "seq").agg(
-        F.min("o").alias("first_o"), F.min_by("page", "o").alias("page_start"), F.max_by("page", "o").alias("page_end"), F.min_by("chapter", "o").alias("chapter"), F.sum("words").cast("int").alias("word_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "text"))), lambda x: x["text"]), "\n\n").alias("text")
+        F.min_by("page", o).alias("page_start"), F.max_by("page", o).alias("page_end"), F.min_by("chapter", o).alias("chapter"), F.sum("words").cast("int").alias("word_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), "text"))), lambda x: x["text"]), "\n\n").alias("text")
     )
     kept = g.filter(F.col("word_count") >= LEAST)
-    return kept.withColumn("chunk_id", (F.row_number().over(Window.partitionBy(doc).orderBy("island", "seq")) - 1).cast("int")).select(doc, "chunk_id", "page_start", "page_end", "chapter", "word_count", "text")
+    return numbered(kept, [doc], ["island", "seq"], "chunk_id").select(doc, F.col("chunk_id").cast("int").alias("chunk_id"), "page_start", "page_end", "chapter", "word_count", "text")
 
 
 def batches(todo: DataFrame, done: DataFrame, key: str = "chunk_id", by: str = "book_id", size: int = 18) -> DataFrame:
     """Rows of todo not in done, with a batch number: runs of size rows in order of key within each group."""
     left = todo.join(done.select(by, key).distinct(), [by, key], "left_anti")
-    return left.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1) / size).cast("int"))
+    return numbered(left, [by], [key], "_n").withColumn("batch", F.floor(F.col("_n") / size).cast("int")).drop("_n")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -45,11 +47,33 @@ class HashEmbedder:
         return out / np.where(n == 0, 1, n)
 
 
+@lru_cache(maxsize=100_000)
+def _place(word: str, size: int) -> tuple[int, int]:
+    h = int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:4], 16)
+    return h % size, 1 if h // size % 2 else -1
+
+
+class DigestEmbedder:
+    """Words placed by the first four digits of their MD5 digest, which SQL can say too; normalised to length one, a text without words is all zeros."""
+
+    def __init__(self, size: int = 64):
+        self.size = size
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.size))
+        for k, text in enumerate(texts):
+            for w in text.lower().split():
+                at, sign = _place(w, self.size)
+                out[k, at] += sign
+        n = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(n == 0, 1, n)
+
+
 def embed(df: DataFrame, text: str, embedder: Embedder | None = None, name: str = "embedding") -> DataFrame:
     """df with a normalised vector of each text; null counts as empty."""
     model = embedder or HashEmbedder()
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(list(model(s.fillna("").tolist())))
 
@@ -74,7 +98,8 @@ def wait_schedule(errors: list[str | None], long_wait: float | None = None, defa
     return out
 
 
-def with_retries(call: Callable[[], str], sleep: Callable[[float], None] = time.sleep) -> str:
+def with_retries(call: Callable[[], str], sleep: Callable[[float], None] = time.sleep, long_wait: float | None = None) -> str:
+    """The result of call, tried again after the waits of wait_schedule; a wait over long_wait ends it at once."""
     errors: list[str | None] = []
     while True:
         try:
@@ -83,15 +108,15 @@ def with_retries(call: Callable[[], str], sleep: Callable[[float], None] = time.
             errors.append(str(e))
             if len(errors) >= ATTEMPTS:
                 raise
-            sleep(wait_schedule(errors)[-1])
+            sleep(wait_schedule(errors, long_wait)[-1])
 
 
-def extract(chunks: DataFrame, prompt: str, extractor: Extractor, schema: str) -> DataFrame:
+def extract(chunks: DataFrame, prompt: str, extractor: Extractor, schema: str, long_wait: float | None = None) -> DataFrame:
     """chunks with extraction, parsed by the schema; a text that does not parse stops the job, so that its chunk is not marked as done."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "_raw": [with_retries(lambda p=p: extractor(p)) for p in pdf["_prompt"]]})
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "_raw": [with_retries(lambda p=p: extractor(p), long_wait=long_wait) for p in pdf["_prompt"]]})
 
     raw = chunks.select(F.col("chunk_id").cast("bigint"), F.col(prompt).alias("_prompt")).mapInPandas(run, "chunk_id bigint, _raw string")
     return raw.select("chunk_id", F.from_json("_raw", schema, {"mode": "FAILFAST"}).alias("extraction"))

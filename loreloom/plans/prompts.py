@@ -31,6 +31,19 @@ def joined(df: DataFrame, by: str, rank: str, text: str, sep: str = "\n") -> Dat
     return df.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, text))), lambda x: x[text]), sep).alias("context"))
 
 
+def batch_prompt(section: Column) -> Column:
+    """The prompt for a batch of chunks, whose sections come in order; every record has to name the chunks it comes from."""
+    return F.concat_ws("\n\n", F.lit(EXTRACT["story"] + " Give each record the ids of its chunks in source_chunk_ids."), section)
+
+
+def character_entry(name: Column, description: Column) -> Column:
+    return F.concat(F.lit("\nNAME:\n"), t.text_or_empty(name), F.lit("\n\nDESCRIPTION:\n"), t.text_or_empty(description), F.lit("\n"))
+
+
+def statement_entry(subject: Column, relation: Column, object_: Column, explanation: Column) -> Column:
+    return F.concat(F.lit("\n"), t.text_or_empty(subject), F.lit("\n--"), t.text_or_empty(relation), F.lit("-->\n"), t.text_or_empty(object_), F.lit("\n\nEvidence explanation:\n"), t.text_or_empty(explanation), F.lit("\n"))
+
+
 def answer_prompt(arm: str, question: Column, story: Column, world: Column | None = None) -> Column:
     parts = [F.lit(RULES[arm]), F.lit("STORY EVIDENCE:"), story]
     if world is not None:

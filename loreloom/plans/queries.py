@@ -11,6 +11,7 @@ from loreloom.functions import text as t
 from loreloom.operators import evaluate, graph, index, merge, resolve, retrieve, segment
 from loreloom.plans import prompts
 from loreloom.session import table
+from loreloom.sources.schemas import SOURCE
 from loreloom.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,16 +69,25 @@ def chunks_once(spark: SparkSession, d: str) -> DataFrame:
     return merge.once(table(spark, d, "chunks"), "chunk_key")
 
 
+#: Blocks are numbered by chunk and, in 32 bits below, by their place in it.
+PLACE = 1 << 32
+
+
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs of all chunks as page blocks: doc_id, page, block_ord, text."""
     c = chunks_once(spark, d).select(F.col("book_id").alias("doc_id"), F.col("page_start").alias("page"), "chunk_id", F.posexplode(F.split(t.text_or_empty(F.col("text")), "\n\n")).alias("pos", "text"))
-    return c.select("doc_id", "page", (F.col("chunk_id").cast("bigint") * 1000 + F.col("pos")).alias("block_ord"), "text").filter(t.is_text_block(F.col("text")))
+    return c.select("doc_id", "page", (F.col("chunk_id").cast("bigint") * PLACE + F.col("pos")).alias("block_ord"), "text").filter(t.is_text_block(F.col("text")))
 
 
-BLOCKS = f"""blocks AS (SELECT * FROM (SELECT book_id AS doc_id, page_start AS page, chunk_id::BIGINT * 1000 + pos - 1 AS block_ord, parts[pos] AS text FROM
+_PAGES = f"(SELECT book_id AS doc_id, page_start AS page, coalesce(text, '') AS text FROM {once_sql('chunks', 'chunk_key')})"
+_LINES = r"list_filter(list_transform(string_split_regex(text, '\r\n|[\n\x0b\f\r]'), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '')"
+_TOC = rf"(contains(lower(text), 'table of contents') OR regexp_matches(lower(text), '\bcontents\b') OR len(list_filter({_LINES}, lambda x: regexp_matches(x, '\.{{4,}}'))) >= 2 OR len(list_filter({_LINES}, lambda x: regexp_matches(x, '\s\d{{1,4}}\s*$'))) >= 5)"
+START = f"""SELECT doc_id, coalesce(min(page) FILTER (NOT toc AND headed), min(page) FILTER (NOT toc AND filled), 1)::INT AS start FROM
+ (SELECT *, {_TOC} AS toc, len(list_filter(string_split(text, E'\\n\\n'), lambda b: {clean_sql('b')} <> '' AND {PRIMARY.format(x=clean_sql('b'))})) > 0 AS headed, len({words_sql("array_to_string(string_split(text, E'\\n\\n'), ' ')")}) >= 150 AS filled FROM {_PAGES}) GROUP BY 1"""
+BLOCKS = f"""blocks AS (SELECT * FROM (SELECT book_id AS doc_id, page_start AS page, chunk_id::BIGINT * 4294967296 + pos - 1 AS block_ord, parts[pos] AS text FROM
  (SELECT *, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT *, string_split(coalesce(text, ''), E'\\n\\n') AS parts FROM {once_sql('chunks', 'chunk_key')})))
  WHERE {clean_sql('text')} <> '' AND NOT regexp_matches({clean_sql('text')}, '^\\d+$'))"""
-CHAPTERS = f"""{BLOCKS}, h AS (SELECT *, {clean_sql('text')} AS x FROM blocks), h2 AS (SELECT *, {heading_sql('x')} AS is_heading FROM h),
+CHAPTERS = f"""{BLOCKS}, p AS ({START}), h AS (SELECT b.*, {clean_sql('text')} AS x FROM blocks b JOIN p ON p.doc_id = b.doc_id AND b.page >= p.start), h2 AS (SELECT *, {heading_sql('x')} AS is_heading FROM h),
  c AS (SELECT *, coalesce(last_value(CASE WHEN is_heading THEN x END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Story Beginning') AS chapter FROM h2),
  i1 AS (SELECT *, CASE WHEN chapter <> lag(chapter) OVER (PARTITION BY doc_id ORDER BY block_ord) THEN 1 ELSE 0 END AS fresh FROM c),
  isl AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY block_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::INT AS island FROM i1)"""
@@ -87,18 +97,30 @@ PIECES = f"""{CHAPTERS}, w AS (SELECT *, {words_sql('text')} AS ws FROM isl),
 
 
 def chaptered(spark: SparkSession, d: str) -> DataFrame:
-    return segment.carry_chapters(blocks(spark, d), order=("block_ord",))
+    """The blocks from the start of each story on, with their chapters."""
+    return segment.carry_chapters(segment.from_start(blocks(spark, d), story_starts(spark, d)), order=("block_ord",))
 
 
 def names(spark: SparkSession, d: str, name: str = "character_extractions", key: str = "char_key") -> DataFrame:
     return table(spark, d, name).filter("name IS NOT NULL AND book_id IS NOT NULL").groupBy("book_id", "name").agg(F.min(key).alias("ord"))
 
 
+PARSED = ("subject", "relation", "object", "explanation")
+
+
 def relations(spark: SparkSession, d: str) -> DataFrame:
-    return merge.once(table(spark, d, "relationship_extractions"), "rel_key").filter("raw_record IS NULL AND book_id IS NOT NULL")
+    """Statements, one row a key. Fields that are null come from the JSON object in raw_record, whatever the order and letter case of its names; only broken JSON is left out."""
+    r = merge.once(table(spark, d, "relationship_extractions"), "rel_key").filter("book_id IS NOT NULL")
+    # a text that breaks off inside an object is no JSON, though the parser gives the fields before the break
+    whole = F.when(F.col("raw_record").rlike(r"\}\s*$"), F.col("raw_record"))
+    r = r.withColumn("_e", F.map_entries(F.from_json(whole, "map<string,string>"))).filter("raw_record IS NULL OR _e IS NOT NULL")
+    field = lambda c: F.coalesce(F.col(c), F.try_element_at(F.filter("_e", lambda x: F.lower(F.trim(x["key"])) == c), F.lit(1))["value"])
+    return r.withColumns({c: field(c) for c in PARSED}).drop("_e", "raw_record")
 
 
-RELATIONS = f"(SELECT * FROM {once_sql('relationship_extractions', 'rel_key')} WHERE raw_record IS NULL AND book_id IS NOT NULL)"
+_FIELD = "coalesce({c}, list_filter(kv, lambda e: lower(trim(e.key)) = '{c}')[1].value)"
+RELATIONS = f"""(SELECT * EXCLUDE (kv, raw_record) REPLACE ({', '.join(_FIELD.format(c=c) + f' AS {c}' for c in PARSED)}) FROM (SELECT *, CASE WHEN raw_record IS NOT NULL AND json_valid(raw_record) THEN list_transform(json_keys(raw_record), lambda x: {{'key': x, 'value': json_extract_string(raw_record, '$."' || x || '"')}}) ELSE [] END AS kv
+ FROM {once_sql('relationship_extractions', 'rel_key')} WHERE book_id IS NOT NULL AND (raw_record IS NULL OR json_valid(raw_record))))"""
 
 
 # --- retrieval --------------------------------------------------------------------------------------------------
@@ -146,18 +168,12 @@ def block_headings(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d).select("doc_id", "block_ord", t.is_primary_heading(x).alias("is_primary"), t.is_heading(x).alias("is_heading"))
 
 
-_PAGES = f"(SELECT book_id AS doc_id, page_start AS page, coalesce(text, '') AS text FROM {once_sql('chunks', 'chunk_key')})"
-_LINES = r"list_filter(list_transform(string_split_regex(text, '\r\n|[\n\x0b\f\r]'), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '')"
-_TOC = rf"(contains(lower(text), 'table of contents') OR regexp_matches(lower(text), '\bcontents\b') OR len(list_filter({_LINES}, lambda x: regexp_matches(x, '\.{{4,}}'))) >= 2 OR len(list_filter({_LINES}, lambda x: regexp_matches(x, '\s\d{{1,4}}\s*$'))) >= 5)"
-
-
 @query(f"SELECT doc_id, page, count(*) AS pages, count(*) FILTER ({_TOC}) AS toc_pages FROM {_PAGES} GROUP BY 1, 2")
 def toc_pages(spark: SparkSession, d: str) -> DataFrame:
     return chunks_once(spark, d).groupBy(F.col("book_id").alias("doc_id"), F.col("page_start").alias("page")).agg(F.count("*").alias("pages"), F.count_if(t.is_toc_page(F.col("text"))).alias("toc_pages"))
 
 
-@query(f"""WITH p AS (SELECT *, {_TOC} AS toc, len(list_filter(string_split(text, E'\\n\\n'), lambda b: {clean_sql('b')} <> '' AND {PRIMARY.format(x=clean_sql('b'))})) > 0 AS headed, len({words_sql("array_to_string(string_split(text, E'\\n\\n'), ' ')")}) >= 150 AS filled FROM {_PAGES})
- SELECT doc_id, coalesce(min(page) FILTER (NOT toc AND headed), min(page) FILTER (NOT toc AND filled), 1)::INT AS start FROM p GROUP BY 1""")
+@query(START)
 def story_starts(spark: SparkSession, d: str) -> DataFrame:
     p = chunks_once(spark, d).select(F.col("book_id").alias("doc_id"), F.col("page_start").alias("page"), t.text_or_empty(F.col("text")).alias("raw_text")).withColumn("blocks", F.split("raw_text", "\n\n"))
     return segment.story_start(p)
@@ -176,7 +192,7 @@ def retry_wait(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SHORT = "CASE WHEN len(string_split(subject, ' ')) <= 2 THEN subject ELSE string_split(subject, ' ')[1] || ' ' || string_split(subject, ' ')[-1] END"
-_PRETTY = "array_to_string(list_transform(string_split(replace(relation, '_', ' '), ' '), lambda w: upper(left(w, 1)) || substring(w, 2)), ' ')"
+_PRETTY = "array_to_string(list_transform(regexp_extract_all(replace(relation, '_', ' '), '[A-Za-z0-9]+|[^A-Za-z0-9]+'), lambda w: CASE WHEN regexp_matches(w, '^[a-z]') THEN upper(left(w, 1)) || substring(w, 2) ELSE w END), '')"
 
 
 @query(f"SELECT rel_key, replace(relation, '_', ' ') AS humanised, {_PRETTY} AS pretty, {_SHORT} AS short FROM {RELATIONS} WHERE relation IS NOT NULL AND subject IS NOT NULL")
@@ -210,7 +226,7 @@ def split_blocks(spark: SparkSession, d: str) -> DataFrame:
     return segment.split_blocks(chaptered(spark, d)).select("doc_id", "block_ord", "piece", "words", F.md5("text").alias("text_md5"))
 
 
-@query(f"""WITH RECURSIVE {PIECES}, n AS (SELECT doc_id, island, block_ord * 1000 + piece AS o, page, chapter, text, len({words_sql('text')})::BIGINT AS words FROM pieces),
+@query(f"""WITH RECURSIVE {PIECES}, n AS (SELECT doc_id, island, {{'b': block_ord, 'p': piece}} AS o, page, chapter, text, len({words_sql('text')})::BIGINT AS words FROM pieces),
  n2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY o) AS rn FROM n),
  r AS (SELECT doc_id, island, rn, o, words, words AS cur, 0 AS seq, 0 AS flush FROM n2 WHERE rn = 1 UNION ALL
   SELECT n2.doc_id, n2.island, n2.rn, n2.o, n2.words, CASE WHEN r.cur >= 220 THEN r.words ELSE r.cur END + n2.words, r.seq + CASE WHEN r.cur >= 220 THEN 1 ELSE 0 END, CASE WHEN r.cur >= 220 THEN 1 ELSE 0 END
@@ -220,8 +236,7 @@ def split_blocks(spark: SparkSession, d: str) -> DataFrame:
   FROM m JOIN n ON n.doc_id = m.doc_id AND n.island = m.island AND n.o = m.o GROUP BY 1, 2, 3)
  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY island, seq) - 1)::INT AS chunk_id, page_start, page_end, chapter, word_count, md5(text) AS text_md5 FROM g WHERE word_count >= 25""")
 def rebuilt_chunks(spark: SparkSession, d: str) -> DataFrame:
-    b = segment.split_blocks(chaptered(spark, d)).withColumn("o", F.col("block_ord") * 1000 + F.col("piece"))
-    return segment.chunks(b).withColumn("text_md5", F.md5("text")).drop("text")
+    return segment.chunks(segment.split_blocks(chaptered(spark, d))).withColumn("text_md5", F.md5("text")).drop("text")
 
 
 @query(f"""WITH done AS (SELECT DISTINCT book_id, unnest(source_chunk_ids) AS chunk_id FROM event_extractions), todo AS (SELECT c.book_id, c.chunk_id FROM {once_sql('chunks', 'chunk_key')} c WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.book_id = c.book_id AND done.chunk_id = c.chunk_id))
@@ -231,9 +246,9 @@ def remaining_batches(spark: SparkSession, d: str) -> DataFrame:
     return segment.batches(chunks_once(spark, d).select("book_id", "chunk_id"), done)
 
 
-@query("SELECT book_id, to_json(list_sort(list_distinct(list(id)))) AS ids FROM (SELECT book_id, unnest(source_chunk_ids) AS id FROM event_extractions) WHERE id IS NOT NULL GROUP BY 1")
+@query("SELECT DISTINCT book_id, id FROM (SELECT book_id, unnest(source_chunk_ids) AS id FROM event_extractions) WHERE id IS NOT NULL")
 def processed_ids(spark: SparkSession, d: str) -> DataFrame:
-    return merge.processed_ids(table(spark, d, "event_extractions"), "book_id", "source_chunk_ids").withColumn("ids", F.to_json("ids"))
+    return merge.processed_ids(table(spark, d, "event_extractions"), "book_id", "source_chunk_ids")
 
 
 @query(f"""SELECT e.event_key, c.chunk_id, any_value(c.chapter) AS chapter, any_value(c.page_start) AS page_start FROM (SELECT DISTINCT event_key, book_id, unnest(source_chunk_ids) AS chunk_id FROM event_extractions) e
@@ -338,28 +353,71 @@ def _mapped(c: str, src: str) -> str:
     return f"(SELECT r.*, coalesce(a.canonical, l.canonical, r.{c}) AS m_{c} FROM {src} r LEFT JOIN amap a ON a.book_id = r.book_id AND a.alias_key = {nfkc_sql('r.' + c)} LEFT JOIN lmap l ON l.book_id = r.book_id AND l.alias_key = {nfkc_sql('r.' + c)})"
 
 
-@query(f"""WITH {_resolved_sql()}, {_LMAP}, m AS (SELECT *, {nfkc_sql('m_subject')} AS ks, {nfkc_sql('relation')} AS kr, {nfkc_sql('m_object')} AS ko FROM {_mapped('object', _mapped('subject', RELATIONS))})
- SELECT book_id AS k_book, ks AS k_s, kr AS k_r, ko AS k_o, count(*) AS n, min(rel_key) AS first_ord, arg_min(coalesce(m_subject, ''), rel_key) AS subject, arg_min(coalesce(m_object, ''), rel_key) AS object FROM m GROUP BY 1, 2, 3, 4""")
-def resolved_relationships(spark: SparkSession, d: str) -> DataFrame:
-    a, l = resolve.alias_map(resolve.same_names(names(spark, d))), resolve.longest_names(names(spark, d, "location_extractions", "loc_key"))  # noqa: E741
-    r = resolve.resolve(resolve.resolve(relations(spark, d), "subject", a, l), "object", a, l)
+def _statements_sql(where: str) -> str:
+    return f"""WITH {_resolved_sql()}, {_LMAP}, k AS (SELECT *, book_id AS k_book, {nfkc_sql('m_subject')} AS k_s, {nfkc_sql('relation')} AS k_r, {nfkc_sql('m_object')} AS k_o FROM {_mapped('object', _mapped('subject', f'(SELECT * FROM {RELATIONS} WHERE {where})'))}),
+ g AS (SELECT k_book, k_s, k_r, k_o, count(*) AS n, min(rel_key) AS first_ord, arg_min(coalesce(m_subject, ''), rel_key) AS subject, arg_min(coalesce(m_object, ''), rel_key) AS object, arg_min(coalesce(explanation, ''), rel_key) AS explanation FROM k GROUP BY 1, 2, 3, 4), {_sources_sql('k', 'k_book, k_s, k_r, k_o', 'rel_key')} SELECT * FROM f"""
+
+
+def maps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The alias maps of characters and of locations."""
+    return resolve.alias_map(resolve.same_names(names(spark, d))), resolve.longest_names(names(spark, d, "location_extractions", "loc_key"))
+
+
+def _statements(spark: SparkSession, d: str, where: str) -> DataFrame:
+    first, second = maps(spark, d)
+    r = resolve.resolve(resolve.resolve(relations(spark, d).filter(where), "subject", first, second), "object", first, second)
     by = {"book": F.col("book_id"), "s": t.norm_nfkc(F.col("subject")), "r": t.norm_nfkc(F.col("relation")), "o": t.norm_nfkc(F.col("object"))}
-    out = merge.ordered_merge(r, by, "rel_key", ("subject", "object"), keep_blank=True)
-    return out.withColumn("subject", t.text_or_empty(F.col("subject"))).withColumn("object", t.text_or_empty(F.col("object")))
+    out = merge.ordered_merge(r, by, "rel_key", ("subject", "object", "explanation"), sources="source_chunk_ids", keep_blank=True).withColumn("sources", F.to_json("sources"))
+    return out.withColumns({c: t.text_or_empty(F.col(c)) for c in ("subject", "object", "explanation")})
 
 
-@query(f"""WITH {_resolved_sql()}, e AS (SELECT event_key, book_id, participants[pos] AS p, pos FROM (SELECT *, unnest(range(1, len(participants) + 1)) AS pos FROM {once_sql('event_extractions', 'event_key')} WHERE book_id IS NOT NULL)),
- m AS (SELECT e.event_key, coalesce(a.canonical, e.p) AS p, min(e.pos) AS pos FROM e LEFT JOIN amap a ON a.book_id = e.book_id AND a.alias_key = {nfkc_sql('e.p')} WHERE e.p IS NOT NULL GROUP BY 1, 2) SELECT event_key, to_json(list(p ORDER BY pos)) AS participants FROM m GROUP BY 1""")
-def resolved_participants(spark: SparkSession, d: str) -> DataFrame:
-    e = merge.once(table(spark, d, "event_extractions"), "event_key").select("event_key", "book_id", F.posexplode("participants").alias("pos", "p")).filter("p IS NOT NULL AND book_id IS NOT NULL")
-    m = resolve.resolve(e, "p", resolve.alias_map(resolve.same_names(names(spark, d))))
+# The tables have no facts; statements that say what somebody is stand in for them.
+@query(_statements_sql("TRUE"))
+def resolved_relationships(spark: SparkSession, d: str) -> DataFrame:
+    return _statements(spark, d, "TRUE")
+
+
+@query(_statements_sql("starts_with(coalesce(relation, ''), 'is_')"))
+def resolved_facts(spark: SparkSession, d: str) -> DataFrame:
+    return _statements(spark, d, "startswith(coalesce(relation, ''), 'is_')")
+
+
+_EVENTS = f"(SELECT * FROM {once_sql('event_extractions', 'event_key')} WHERE book_id IS NOT NULL)"
+
+
+@query(f"""WITH {_resolved_sql()}, {_LMAP}, e AS (SELECT event_key, book_id, participants[pos] AS p, pos FROM (SELECT *, unnest(range(1, len(participants) + 1)) AS pos FROM {_EVENTS})),
+ m AS (SELECT e.event_key, coalesce(a.canonical, l.canonical, e.p) AS p, min(e.pos) AS pos FROM e LEFT JOIN amap a ON a.book_id = e.book_id AND a.alias_key = {nfkc_sql('e.p')} LEFT JOIN lmap l ON l.book_id = e.book_id AND l.alias_key = {nfkc_sql('e.p')} WHERE e.p IS NOT NULL GROUP BY 1, 2),
+ ps AS (SELECT event_key, to_json(list(p ORDER BY pos)) AS participants FROM m GROUP BY 1)
+ SELECT x.event_key, coalesce(ps.participants, '[]') AS participants, coalesce(x.m_location, '') AS location FROM {_mapped('location', _EVENTS)} x LEFT JOIN ps ON ps.event_key = x.event_key""")
+def resolved_events(spark: SparkSession, d: str) -> DataFrame:
+    """Every event with its participants and its location under their canonical names; events are not merged."""
+    first, second = maps(spark, d)
+    e = merge.once(table(spark, d, "event_extractions"), "event_key").filter("book_id IS NOT NULL")
+    where = resolve.resolve(e.select("event_key", "book_id", "location"), "location", first, second)
+    return where.join(participants_of(e, first, second), "event_key", "left").select("event_key", F.coalesce("participants", F.lit("[]")).alias("participants"), t.text_or_empty(F.col("location")).alias("location"))
+
+
+def participants_of(events: DataFrame, first: DataFrame, second: DataFrame | None = None, key=None) -> DataFrame:
+    """(event_key, participants as JSON): mapped, and each once in the order of its first mention. An event has as many as were written down."""
+    p = events.select("event_key", "book_id", F.posexplode("participants").alias("pos", "p")).filter("p IS NOT NULL")
+    m = resolve.resolve(p, "p", first, second, key=key)
     g = m.groupBy("event_key").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("ps"))
     return g.select("event_key", F.to_json(F.array_distinct(F.transform("ps", lambda x: x["p"]))).alias("participants"))
 
 
-@query(None)
+PLAN = f"""nm AS (SELECT DISTINCT book_id, name FROM character_extractions WHERE name IS NOT NULL AND book_id IS NOT NULL),
+ pg AS (SELECT g.book_id, g.alias_group_key AS o, g.canonical, list_filter(list_concat(coalesce(g.aliases, []), [g.canonical]), lambda a: a IS NOT NULL) AS al FROM {once_sql('semantic_entity_aliases', 'alias_group_key')} g JOIN nm ON nm.book_id = g.book_id AND nm.name = g.canonical WHERE g.confidence = 'high'),
+ pa AS (SELECT DISTINCT pg.book_id, pg.o, pg.canonical, nm.name FROM (SELECT *, unnest(al) AS a FROM pg) pg JOIN nm ON nm.book_id = pg.book_id AND nm.name = pg.a),
+ pk AS (SELECT book_id, o, canonical, list_distinct(list({norm_sql('name')})) AS keys FROM pa GROUP BY 1, 2, 3 HAVING count(*) >= 2), pn AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY o) AS rn FROM pk),
+ pr AS (SELECT book_id, 0::BIGINT AS rn, MAP {{}}::MAP(VARCHAR, VARCHAR) AS m FROM pn GROUP BY 1 UNION ALL
+  SELECT pn.book_id, pn.rn, CASE WHEN len(list_filter(pn.keys, lambda k: map_contains(pr.m, k) AND pr.m[k] <> pn.canonical)) > 0 THEN pr.m
+   ELSE map_concat(pr.m, map_from_entries(list_transform(list_filter(pn.keys, lambda k: NOT map_contains(pr.m, k)), lambda k: {{'k': k, 'v': pn.canonical}}))) END FROM pr JOIN pn ON pn.book_id = pr.book_id AND pn.rn = pr.rn + 1),
+ pm AS (SELECT book_id, unnest(map_entries(arg_max(m, rn))) AS e FROM pr GROUP BY 1), plan AS (SELECT book_id, e.key AS alias_key, e.value AS canonical FROM pm)"""
+
+
+@query(f"WITH RECURSIVE {PLAN} SELECT * FROM plan")
 def merge_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy acceptance depends on the order of proposals, which SQL cannot fold; tests hold it against a sequential version."""
+    """Greedy acceptance in the order of the proposals."""
     g = merge.once(table(spark, d, "semantic_entity_aliases"), "alias_group_key").withColumn("ord", F.col("alias_group_key"))
     return resolve.valid_plan(g, table(spark, d, "character_extractions").select("book_id", "name"))
 
@@ -370,7 +428,9 @@ def world_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     rel = relations(spark, d).select(F.col("rel_key").alias("ord"), index.statement_text(F.col("subject"), F.col("relation"), F.col("object"), F.col("explanation")).alias("text"), "subject", "relation", "object")
     ev = merge.once(table(spark, d, "event_extractions"), "event_key").select(F.col("event_key").alias("ord"), index.event_text(F.col("summary"), F.col("participants"), F.col("location"), F.col("explanation")).alias("text"), "summary")
     fact = F.coalesce(F.col("relation").startswith("is_"), F.lit(False))
-    return {"character": named("character_extractions", "char_key", "Character"), "location": named("location_extractions", "loc_key", "Location"), "relationship": rel.filter(~fact), "fact": rel.filter(fact), "event": ev}
+    parts = {"character": named("character_extractions", "char_key", "Character"), "location": named("location_extractions", "loc_key", "Location"), "relationship": rel.filter(~fact), "fact": rel.filter(fact), "event": ev}
+    # the ids of sources repeat from book to book, so items of several books name none
+    return {k: v.withColumn("sources", F.lit(None).cast(f"array<{SOURCE}>")) for k, v in parts.items()}
 
 
 _STATEMENT = "coalesce(subject, '') || ' ' || replace(coalesce(relation, ''), '_', ' ') || ' ' || coalesce(object, '') || '. ' || coalesce(explanation, '')"
@@ -414,25 +474,33 @@ _GROUPS = f"list_transform(list_filter(list_distinct({words_sql('lower(question)
 _COVER = f"CASE WHEN len(grp) > 0 THEN len(list_filter(grp, lambda g: len(list_filter(g, lambda a: contains(ans, {norm_sql('a')}))) > 0))::DOUBLE / len(grp) ELSE 1.0 END"
 
 
-@query(rf"""WITH r AS (SELECT result_key, coalesce(unanswerable, false) AS un, {_GROUPS} AS grp, {norm_sql('hybrid.answer')} AS ans, coalesce(hybrid.answer, '') AS raw FROM {_RESULTS}),
- s AS (SELECT result_key, un, {_COVER} AS cover, regexp_matches(raw, '(?i)\[Pages?\s+[0-9]+') AS cites, contains(ans, {norm_sql(f"'{t.UNKNOWN_RESPONSE}'")}) AS refused FROM r)
- SELECT result_key, CASE WHEN un THEN CASE WHEN refused THEN 1.0 ELSE 0.0 END ELSE round(cover, 4) END::DOUBLE AS concept_coverage, NOT un AND cites AS citation, un AND refused AS correct_refusal,
- CASE WHEN un THEN CASE WHEN refused THEN 1.0 ELSE 0.0 END ELSE round(0.8 * cover + CASE WHEN cites THEN 0.2 ELSE 0.0 END, 4) END::DOUBLE AS quality_score FROM s""")
-def scored_answers(spark: SparkSession, d: str) -> DataFrame:
-    r = merge.once(table(spark, d, "evaluation_results"), "result_key")
-    groups = F.transform(F.filter(F.array_distinct(t.words(F.lower("question"))), lambda w: F.length(w) >= 7), lambda w: F.array(w, F.left(w, F.lit(5))))
-    s = r.select("result_key", evaluate.score_answer(F.col("hybrid.answer"), groups, F.coalesce("unanswerable", F.lit(False))).alias("s"))
-    return s.select("result_key", "s.*")
+SCORED = rf"""arms AS (SELECT result_key, 'story_only' AS arm, coalesce(unanswerable, false) AS un, {_GROUPS} AS grp, story_only.answer AS answer FROM {_RESULTS} UNION ALL SELECT result_key, 'hybrid', coalesce(unanswerable, false), {_GROUPS}, hybrid.answer FROM {_RESULTS}),
+ r AS (SELECT result_key, arm, un, grp, {norm_sql('answer')} AS ans, coalesce(answer, '') AS raw FROM arms),
+ s AS (SELECT result_key, arm, un, {_COVER} AS cover, regexp_matches(raw, '(?i)\[Pages?\s+[0-9]+') AS cites, contains(ans, {norm_sql(f"'{t.UNKNOWN_RESPONSE}'")}) AS refused FROM r),
+ scored AS (SELECT result_key, arm, CASE WHEN un THEN CASE WHEN refused THEN 1.0 ELSE 0.0 END ELSE round(cover, 4) END::DOUBLE AS concept_coverage, NOT un AND cites AS citation, un AND refused AS correct_refusal,
+  CASE WHEN un THEN CASE WHEN refused THEN 1.0 ELSE 0.0 END ELSE round(0.8 * cover + CASE WHEN cites THEN 0.2 ELSE 0.0 END, 4) END::DOUBLE AS quality_score FROM s)"""
 
 
-_Q = "round(coalesce({a}.scores.quality_score, 0), 4)"
+def concept_groups(question: str = "question"):
+    """What an answer should mention: each long word of the question, or its beginning. The tables have no groups of their own."""
+    return F.transform(F.filter(F.array_distinct(t.words(F.lower(question))), lambda w: F.length(w) >= 7), lambda w: F.array(w, F.left(w, F.lit(5))))
+
+
+@query(f"WITH {SCORED} SELECT * FROM scored")
+def scored_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of the stored answers of both arms."""
+    r = merge.once(table(spark, d, "evaluation_results"), "result_key")
+    score = lambda a: F.struct(F.lit(a).alias("arm"), evaluate.score_answer(F.col(f"{a}.answer"), concept_groups(), F.coalesce("unanswerable", F.lit(False))).alias("s"))
+    return r.select("result_key", F.explode(F.array(score("story_only"), score("hybrid"))).alias("x")).select("result_key", "x.arm", "x.s.*")
 
 
-@query(f"""SELECT count(*) AS questions, round(avg(sq), 4) AS story_only_average_score, round(avg(hq), 4) AS hybrid_average_score, round(avg(sc), 4) AS story_only_average_coverage, round(avg(hc), 4) AS hybrid_average_coverage, count(*) FILTER (hq > sq) AS hybrid_wins, count(*) FILTER (sq > hq) AS story_only_wins, count(*) FILTER (hq = sq) AS ties
- FROM (SELECT {_Q.format(a='story_only')} AS sq, {_Q.format(a='hybrid')} AS hq, retrieval.story_only_coverage AS sc, retrieval.hybrid_coverage AS hc FROM {_RESULTS})""")
+@query(f"""WITH {SCORED}, q AS (SELECT a.result_key, a.quality_score AS sq, b.quality_score AS hq FROM scored a JOIN scored b USING (result_key) WHERE a.arm = 'story_only' AND b.arm = 'hybrid')
+ SELECT count(*) AS questions, round(avg(sq), 4) AS story_only_average_score, round(avg(hq), 4) AS hybrid_average_score, round(avg(retrieval.story_only_coverage), 4) AS story_only_average_coverage, round(avg(retrieval.hybrid_coverage), 4) AS hybrid_average_coverage, count(*) FILTER (hq > sq) AS hybrid_wins, count(*) FILTER (sq > hq) AS story_only_wins, count(*) FILTER (hq = sq) AS ties
+ FROM q JOIN {_RESULTS} USING (result_key)""")
 def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of the computed scores of the stored answers, with the stored coverages of their retrieval."""
     r = merge.once(table(spark, d, "evaluation_results"), "result_key")
-    q = lambda a: F.round(F.coalesce(F.col(f"{a}.scores.quality_score"), F.lit(0.0)), 4)
+    q = lambda a: evaluate.score_answer(F.col(f"{a}.answer"), concept_groups(), F.coalesce("unanswerable", F.lit(False)))["quality_score"]
     x = r.select(q("story_only").alias("story_q"), q("hybrid").alias("hybrid_q"), F.col("retrieval.story_only_coverage").alias("story_c"), F.col("retrieval.hybrid_coverage").alias("hybrid_c"))
     return evaluate.summary(x.withColumn("winner", evaluate.winner(F.col("story_q"), F.col("hybrid_q"))))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,7 @@ def local_session(cpus: int | str = 8, memory: str = "8g", partitions: int = 8)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -30,11 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the cluster names in spark.checkpoint.dir, else (in tests) a new one."""
+    """The folder all executors share: what the cluster names in spark.checkpoint.dir. Only where driver and executors are one machine's one process may it be unset: then it is a new folder, removed at the end."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="loreloom-", dir=os.environ.get("LORELOOM_TMP"))
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return sc.getCheckpointDir()

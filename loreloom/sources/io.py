@@ -77,9 +77,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_batches(df: DataFrame, path: str, id: str = "chunk_id", batch: str = "batch") -> None:
-    """Rows appended under one folder per batch, named by its first and last id."""
+    """Rows under one folder per batch, named by its first and last id. Only the folders of the batches given are replaced, so a batch that is replayed stands there once."""
     names = df.groupBy(batch).agg(F.format_string("batch_%04d_%04d", F.min(id), F.max(id)).alias("batch_id"))
-    df.join(names, batch).write.mode("append").partitionBy("batch_id").parquet(path)
+    df.join(names, batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
 def checkpoint_or(spark: SparkSession, *paths: str, schema: str) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loreloom.functions import text as t
-from loreloom.operators import evaluate, graph, index, merge, resolve, retrieve, segment, skew
-from loreloom.plans import plugins
+from loreloom.operators import evaluate, graph, index, merge, ordered, resolve, retrieve, segment, skew
+from loreloom.plans import facade, memory, plugins
 from loreloom.plans import queries as core
 from loreloom.sources import io, schemas
 from loreloom.streaming import incremental
@@ -46,7 +46,7 @@ def test_text_functions(spark):
     assert one(spark, " a  b c ", t.word_count) == 3 and one(spark, "", t.word_count) == 0
     assert one(spark, "x" * 351, t.excerpt) == "x" * 350 + "..." and one(spark, "x" * 350, t.excerpt) == "x" * 350
     assert one(spark, "Doctor Jane Roe", t.name_score) == 200 + 15 + 200 + 10
-    assert one(spark, "is_well-known_to", t.pretty_relation) == "Is Well-known To" and one(spark, "A B C", t.short_name) == "A C"
+    assert one(spark, "is_well-known_to", t.pretty_relation) == "Is Well-Known To" and one(spark, "half-brother_of ann's", t.pretty_relation) == "Half-Brother Of Ann'S" and one(spark, "A B C", t.short_name) == "A C"
     assert one(spark, "see [pages 4-5]", t.has_page_citation) and not one(spark, "page 4", t.has_page_citation)
     assert one(spark, "THE available story  evidence does not establish that.", t.correctly_refused)
     for x, want in [("retry in 12.5s", 14.5), ("Retry after 3s", 3.0), ("retry after 9s, retry in 1s", 3.0), ("no", 30.0), (None, 30.0)]:
@@ -69,9 +69,9 @@ def sequential_chunks(words):
 def test_chunks_match_sequential_rule(spark):
     rnd = random.Random(1)
     books = {d: [rnd.choice([1, 5, 60, 219, 220, 300]) for _ in range(rnd.randint(1, 60))] for d in range(30)}
-    rows = [(d, 0, k, w) for d, ws in books.items() for k, w in enumerate(ws)]
-    got = segment.chunk_members(spark.createDataFrame(rows, "doc_id bigint, island int, o bigint, words int")).collect()
-    assert sorted((r["doc_id"], r["o"], r["seq"]) for r in got) == sorted((d, m, s) for d, ws in books.items() for m, s in sequential_chunks(ws))
+    rows = [(d, 0, k // 3, k % 3, w) for d, ws in books.items() for k, w in enumerate(ws)]
+    got = segment.chunk_members(spark.createDataFrame(rows, "doc_id bigint, island int, block_ord bigint, piece int, words int")).collect()
+    assert sorted((r["doc_id"], r["block_ord"] * 3 + r["piece"], r["seq"]) for r in got) == sorted((d, m, s) for d, ws in books.items() for m, s in sequential_chunks(ws))
 
 
 def sequential_names(names):
@@ -168,6 +168,77 @@ def test_graph(spark):
     assert [(r["name"], r["degree"]) for r in top] == [("B", 2), ("A", 1), ("C", 1)] and (top[0]["x"], top[0]["y"]) == (450.0, 80.0)
 
 
+def test_numbers_and_carried_values_over_many_ranges(spark):
+    """A group that fills most ranges, groups within one, null keys; against a walk in order."""
+    rnd = random.Random(4)
+    rows = [(b, k, rnd.choice([None, None, None, "I", "II", "III"])) for b, n in ((1, 400), (2, 3), (3, 40), (None, 25), (4, 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "b bigint, k bigint, v string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        n = {(r["b"], r["k"]): r["n"] for r in ordered.numbered(df.filter("k % 3 <> 1"), ["b"], ["k"], "n").collect()}
+        c = {(r["b"], r["k"]): (r["now"], r["runs"]) for r in ordered.carried(df, ["b"], ["k"], "v", "none", "now", "runs").collect()}
+        assert ordered.numbered(df.limit(0), ["b"], ["k"], "n").count() == 0 and ordered.carried(df.limit(0), ["b"], ["k"], "v", "none", "now", "runs").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    seen, want = {}, {}
+    for b, k, v in rows:
+        if k % 3 != 1:
+            assert n[b, k] == seen.get(b, 0)
+            seen[b] = seen.get(b, 0) + 1
+        now, runs, any_ = want.get(b, ("none", 0, False))
+        runs += v is not None and any_ and v != now
+        want[b] = (v if v is not None else now, runs, True)
+        assert c[b, k] == want[b][:2]
+
+
+def test_halves_meet_once(spark):
+    df = spark.createDataFrame([(g, f"{g}{k}") for g, n in (("a", 23), ("b", 2), ("c", 1)) for k in range(n)], "g string, id string")
+    x, y = skew.halves(df, ["g"], "id", 4)
+    got = x.withColumnRenamed("id", "x").join(y.withColumnRenamed("id", "y"), ["g", "_part"]).filter("x < y").collect()
+    assert len(got) == 23 * 22 // 2 + 1 == len({(r["x"], r["y"]) for r in got})
+
+
+def test_many_passes_over_rows_give_the_same(spark):
+    rnd = random.Random(6)
+    df = spark.createDataFrame([(k, [rnd.random() for _ in range(4)]) for k in range(60)], "vec_id bigint, embedding array<float>").repartition(7)
+    one_, many = (sorted(tuple(r) for r in retrieve.top_k_many(df, df.filter("vec_id % 5 = 0"), 3, most=m).collect()) for m in (1 << 20, 40))
+    assert one_ == many and len(one_) == 36
+
+
+def test_structured_merges_by_profile(spark):
+    """Textbook categories by their own keys: the first row stays as it is, blanks are kept, sources united."""
+    df = spark.createDataFrame([(1, "Area", "a*b", ["a"], "x", [4]), (2, "area ", " A*B", ["b"], "longer text", [5, 4]), (3, "Area", "a+b", None, None, None), (4, "", None, None, "y", [1])], "o bigint, name string, formula string, variables array<string>, explanation string, ids array<int>")
+    got = sorted((r["first_ord"], r["n"], r["explanation"], r["sources"]) for r in merge.structured(df, "textbook", "formulas", "o", sources="ids").collect())
+    assert got == [(1, 2, "x", [4, 5]), (3, 1, None, []), (4, 1, "y", [1])]
+    with pytest.raises(ValueError):
+        merge.structured(df, "poem", "formulas", "o")
+
+
+def test_facade(spark):
+    for bad, status in ((None, 422), ("", 422), ("x" * 2001, 422), ("  ", 400)):
+        with pytest.raises(facade.RequestError) as e:
+            facade.checked_question(bad)
+        assert e.value.status == status
+    story = spark.createDataFrame([(1, 7, 3, None, 1, 2, "A  text."), (2, 7, 3, "II", 1, 2, "A text."), (3, 7, 4, "II", 2, None, "B")], "rank int, book_id bigint, chunk_id int, chapter string, page_start int, page_end int, text string")
+    world = spark.createDataFrame([(1, None, "w", [])], "rank int, type string, text string, sources array<int>")
+    got = facade.chat(" who? ", lambda q: (q.upper(), story, world), debug=True)
+    assert got["answer"] == "WHO?" and [(c["chunk_id"], c["chapter"], c["excerpt"]) for c in got["sources"]] == [(3, "Unknown", "A text."), (4, "II", "B")] and got["world_evidence"] == [{"type": "unknown", "text": "w", "sources": []}]
+    assert facade.chat("who?", lambda q: (q, story, world))["world_evidence"] is None
+    with pytest.raises(facade.RequestError) as e:
+        facade.chat("who?", lambda q: 1 / 0)
+    assert e.value.status == 503 and "division" not in str(e.value)
+    with pytest.raises(facade.RequestError):
+        facade.relationships(None, "book_id", "k")
+    items = spark.createDataFrame([(1, "character", None, "Character: Bo. Tall.", None), (2, "character", "ann", "x", None), (3, "event", "e", "y", None)], "world_item_id bigint, type string, name string, text string, sources array<int>")
+    assert [r["name"] for r in facade.characters(items).collect()] == ["ann", "Bo"]
+
+
+def test_source_lists(spark):
+    src = "array<struct<chunk_id:int,chapter:string,page_start:int,page_end:int>>"
+    assert one(spark, [(1, "I", 2, None), (None, None, 3, 4)], t.source_list, src) == "Chapter=I, Pages=2-2, Chunk=1 | Chapter=Unknown, Pages=3-4, Chunk=?"
+    assert one(spark, [], t.source_list, src) == one(spark, None, t.source_list, src) == "No source metadata"
+
+
 def test_dense_ids(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("o"), F.col("id")).repartition(7)
     assert [tuple(r) for r in index.dense_ids(df, ["o"], "n").select("o", "n").orderBy("n").collect()] == [(k, k) for k in range(1000)]
@@ -189,9 +260,38 @@ def test_incremental_equals_batch(spark, tmp_path):
         incremental.run(spark, spark.readStream.schema(df.schema).parquet(src), state, ck, "name", "d", "o")
     incremental.run(spark, spark.readStream.schema(df.schema).parquet(src), state, ck, "name", "d", "o")
     assert sorted(tuple(r) for r in incremental.current(spark, state).collect()) == want
+    assert incremental.run(spark, spark.readStream.schema(df.schema).parquet(src), state, ck, "name", "d", "o") == 0  # nothing is left
     assert sorted(tuple(r) for r in incremental.merged_in_batches(df, 4, "name", "d", "o").collect()) == want
 
 
+def test_failed_batch_is_replayed_once(spark, tmp_path, monkeypatch):
+    """A failure stops the run and keeps what was done; the next run begins with the batch that failed. Results are written as they come."""
+    df = spark.createDataFrame([(k, f"n{k % 5}", "d" * (k % 7)) for k in range(60)], "o bigint, name string, d string")
+    src, state, ck = (str(tmp_path / x) for x in ("src", "state", "ck"))
+    df.repartition(6).write.parquet(src)
+    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    real, calls = incremental.partial, []
+
+    def fails(*a):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("broken")
+        return real(*a)
+
+    monkeypatch.setattr(incremental, "partial", fails)
+    with pytest.raises(Exception, match="broken"):
+        incremental.run(spark, stream(), state, ck, "name", "d", "o")
+    assert len(glob.glob(f"{state}/batch=*")) == 1
+    assert incremental.run(spark, stream(), state, ck, "name", "d", "o", pause=0.01) == 2
+    monkeypatch.undo()
+    want = sorted(tuple(r) for r in real(df, "name", "d", "o").collect())
+    assert sorted(tuple(r) for r in incremental.current(spark, state).collect()) == want
+    incremental.append(stream(), str(tmp_path / "out"), str(tmp_path / "ck2"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+    fresh = [str(tmp_path / x) for x in ("state2", "ck3")]
+    assert incremental.run(spark, stream(), *fresh, "name", "d", "o") == 3
+
+
 def test_sources(spark, tmp_path):
     import numpy as np
 
@@ -203,6 +303,13 @@ def test_sources(spark, tmp_path):
     np.save(tmp_path / "m.npy", m)
     assert [list(r["embedding"]) for r in io.read_vectors(spark, str(tmp_path / "m.npy")).orderBy("row").collect()] == m.tolist()
     io.write_batches(spark.createDataFrame([(k, k // 18) for k in range(40)], "chunk_id int, batch int"), str(tmp_path / "b"))
+    io.write_batches(spark.createDataFrame([(k, k // 18) for k in range(18)], "chunk_id int, batch int"), str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 40  # a batch written again stands there once
+    (tmp_path / "q.json").write_text('[{"id": 1, "question": "Who?", "category": "fact", "expected_groups": [["a", "b"], []], "unanswerable": false}]')
+    assert io.read_questions(spark, str(tmp_path / "q.json")).first()["expected_groups"] == [["a", "b"], []]
+    io.write_table(spark.range(3), str(tmp_path / "t"))
+    io.write_json(spark.createDataFrame([("é", None)], "a string, b int"), str(tmp_path / "j"))
+    assert io.checkpoint_or(spark, str(tmp_path / "none"), str(tmp_path / "t"), schema="id bigint").count() == 3 and spark.read.json(str(tmp_path / "j")).first()["a"] == "é"
     assert sorted(os.path.basename(x) for x in glob.glob(str(tmp_path / "b" / "batch_id*"))) == ["batch_id=batch_0000_0017", "batch_id=batch_0018_0035", "batch_id=batch_0036_0039"]
     assert io.checkpoint_or(spark, str(tmp_path / "none"), schema="a int").count() == 0
     with pytest.raises(ValueError):
@@ -224,6 +331,15 @@ def test_plugins(spark):
         return "ok"
 
     assert plugins.with_retries(flaky, sleep=lambda s: None) == "ok"
+
+    def quota():
+        calls.append(1)
+        raise RuntimeError("429 retry in 500s")
+
+    calls.clear()
+    with pytest.raises(RuntimeError, match="LONG_QUOTA_WAIT"):
+        plugins.with_retries(quota, sleep=lambda s: None, long_wait=90)
+    assert len(calls) == 1
     df = spark.createDataFrame([(1, "p")], "chunk_id bigint, prompt string")
     assert plugins.extract(df, "prompt", plugins.EmptyExtractor(), "characters array<struct<name:string>>").first()["extraction"]["characters"] == []
     assert plugins.generate(df, "prompt").first()["answer"] == t.UNKNOWN_RESPONSE
@@ -246,17 +362,17 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(core.SQL))
+@pytest.mark.parametrize("name", sorted(core.SQL | memory.SQL))
 def test_query_agrees_with_sql(spark, duck, name):
-    df = core.QUERIES[name](spark, DATA)
+    df = (core.QUERIES | memory.QUERIES)[name](spark, DATA)
     cols = sorted(df.columns)
     tidy = lambda v: round(v, 6) if isinstance(v, float) else v
     mine = sorted((tuple(tidy(r[c]) for c in cols) for r in df.collect()), key=repr)
-    r = duck.execute(core.SQL[name])
+    r = duck.execute((core.SQL | memory.SQL)[name])
     at = [x[0] for x in r.description]
     assert sorted(at) == cols
     assert mine == sorted((tuple(tidy(x[at.index(c)]) for c in cols) for x in r.fetchall()), key=repr)
 
 
 def test_entry_points():
-    assert set(core.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert set(core.QUERIES) | set(memory.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
