@@ -38,3 +38,17 @@ def halves(rows: DataFrame, by: list[str], id: str, most: int = 1000) -> tuple[D
     sized = rows.join(F.broadcast(hot) if few <= 10_000 else hot, by, "left").fillna({"_parts": 1})
     own = sized.withColumn("_part", F.pmod(F.xxhash64(id), F.col("_parts")).cast("int")).drop("_parts")
     return own, sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+
+def meeting(many: DataFrame, few: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of an inner join on key, both with a column _part to join on as well: where many has more than most rows of a key, these are spread over parts, and few has its rows in each part."""
+    hot = many.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).join(few.select(key).distinct(), key, "left_semi").select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    hot = cut(hot)
+    n = hot.count()
+    if not n:
+        return many.withColumn("_part", F.lit(0)), few.withColumn("_part", F.lit(0))
+    near = F.broadcast(hot) if n <= 10_000 else hot
+    rest = [c for c in many.columns if c != key]
+    x = many.join(near, key, "left").fillna({"_parts": 1}).withColumn("_part", F.pmod(F.xxhash64(*rest), F.col("_parts")).cast("int")).drop("_parts")
+    y = few.join(near, key, "left").fillna({"_parts": 1}).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return x, y
