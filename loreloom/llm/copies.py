@@ -1,7 +1,7 @@
 """Problem 7: records that differ in form only.
 
 Two scans. The first makes, in each partition, Bloom filters of the canonical hashes seen once and of those seen
-again, and merges them block by block: a bit is in the merged "again" filter when some partition saw it again or two
+again, and merges them block by block, ``FAN_IN`` partitions at a time: a bit is in the merged "again" filter when some partition saw it again or two
 partitions saw it once. The second scan shuffles only rows whose hash is in "again"; all others are singletons and
 leave at once. Both filters have a fixed largest size (``max_bits``); beyond it more rows are shuffled, and the result
 stays the same, because repeats are grouped by their exact canonical text.
@@ -24,6 +24,11 @@ from loreloom.session import cut
 BLOCK_BITS = 1 << 15
 BITS_PER_KEY = 16
 MAX_BITS = 1 << 28
+#: Filters of this many partitions are merged by one task.
+FAN_IN = 64
+#: With more rows than this share of the bits of the largest filter, nearly all of its bits are set.
+FULL = 4
+FILTERS = "block int, part int, once binary, again binary"
 FIELDS = ("subject", "relation", "object")
 
 
@@ -63,6 +68,9 @@ def _set(f: np.ndarray, x: np.ndarray) -> None:
 
 def _filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """The two filters of one partition, packed, block by block; blocks without a bit are left out."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
     once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
     for b in batches:
         h, n = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_counts=True)
@@ -75,7 +83,7 @@ def _filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
     size = BLOCK_BITS // 8
     for k in range(0, bits // 8, size):
         if once[k : k + size].any():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([k // size], pa.int32()), "once": pa.array([once[k : k + size].tobytes()], pa.binary()), "again": pa.array([again[k : k + size].tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k // size], pa.int32()), "part": pa.array([part], pa.int32()), "once": pa.array([once[k : k + size].tobytes()], pa.binary()), "again": pa.array([again[k : k + size].tobytes()], pa.binary())})
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -85,16 +93,23 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
         o = np.frombuffer(o, np.uint8)
         again |= (once & o) | np.frombuffer(a, np.uint8)
         once |= o
-    return pd.DataFrame({"block": [rows["block"].iloc[0]], "again": [again.tobytes()]})
+    return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [rows["part"].iloc[0]], "once": [once.tobytes()], "again": [again.tobytes()]})
+
+
+def merged(parts: DataFrame, number: int) -> DataFrame:
+    """The filters of number partitions as one, in rounds, so that no task holds more than FAN_IN pieces of a block however many partitions there are."""
+    while number > 1:
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("block", "part").applyInPandas(_merge, FILTERS)
+        number = -(-number // FAN_IN)
+    return parts
 
 
 def repeats_filter(hashes: DataFrame, rows: int, bits_per_key: int = BITS_PER_KEY, max_bits: int = MAX_BITS) -> tuple[np.ndarray, int]:
     """The merged filter of hashes seen more than once, as packed bits (at most max_bits / 8 bytes), and its number of bits."""
     bits = min(max_bits, max(BLOCK_BITS, 1 << (max(1, rows) * bits_per_key - 1).bit_length()))
-    parts = hashes.mapInArrow(lambda b: _filters(b, bits), "block int, once binary, again binary")
-    merged = parts.groupBy("block").applyInPandas(_merge, "block int, again binary")
+    parts = hashes.mapInArrow(lambda b: _filters(b, bits), FILTERS)
     out = np.zeros(bits // 8, np.uint8)
-    for r in merged.toLocalIterator():
+    for r in merged(parts, hashes.rdd.getNumPartitions()).select("block", "again").toLocalIterator():
         out[r["block"] * (BLOCK_BITS // 8) : (r["block"] + 1) * (BLOCK_BITS // 8)] = np.frombuffer(r["again"], np.uint8)
     return out, bits
 
@@ -102,6 +117,9 @@ def repeats_filter(hashes: DataFrame, rows: int, bits_per_key: int = BITS_PER_KE
 def mark_repeats(rows: DataFrame, total: int, **sizes: int) -> DataFrame:
     """rows (with a text column k) and maybe: false only where no other row has the same k."""
     h = F.xxhash64("k")
+    if total > FULL * sizes.get("max_bits", MAX_BITS):
+        # filters of the largest size would be full: all rows are possible repeats, and none has to be looked up
+        return rows.withColumn("maybe", F.lit(True))
     packed, bits = repeats_filter(rows.select(h.alias("h")), total, **sizes)
     shared = rows.sparkSession.sparkContext.broadcast(packed)
 
