@@ -15,11 +15,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.operators.skew import meeting
+from loreloom.session import cut
+
 #: Fixed masks; each has 8 of 12 positions.
 MASKS = ("110110101011", "111010011011", "101101110101")
 MIN_WORDS = 12
 #: With more test fingerprints than this, they are not broadcast but joined by a shuffle.
 MAX_BROADCAST = 4_000_000
+#: A fingerprint that stands this often in the documents is joined by several tasks.
+HOT_SEED = 10_000
+#: Up to this many documents with hits (8 bytes each), their ids are broadcast to keep the others from being shuffled.
+FEW_IDS = 1_000_000
 OUT = "doc_id bigint, item_id bigint, part string, run int, stretch int, mismatches int"
 
 
@@ -117,13 +124,18 @@ def _scan(batches: Iterator[pa.RecordBatch], items: list, seeds: tuple) -> Itera
 
 
 def _doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, h, at) of every seed of every text, for a whole batch of texts at once."""
     for b in batches:
-        for i, t in zip(b.column(0), b.column(1), strict=True):
-            t = t.values.to_numpy(zero_copy_only=False)
-            for m in range(len(MASKS)):
-                f = _mix(t, m)
-                if len(f):
-                    yield pa.RecordBatch.from_pydict({"id": pa.array([i.as_py()] * len(f), pa.int64()), "h": pa.array(f.view(np.int64)), "at": pa.array(np.arange(len(f), dtype=np.int32))})
+        col = b.column(1)
+        offsets, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+        flat, offsets = flat[offsets[0] : offsets[-1]], offsets - offsets[0]
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        for m in range(len(MASKS)):
+            f = _mix(flat, m)
+            owner = np.searchsorted(offsets, np.arange(len(f)), "right") - 1
+            ok = np.arange(len(f)) + len(MASKS[m]) <= offsets[owner + 1]
+            owner = owner[ok]
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[owner].astype(np.int64)), "h": pa.array(f[ok].view(np.int64)), "at": pa.array((np.flatnonzero(ok) - offsets[owner]).astype(np.int32))})
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +145,13 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows({(r["doc_id"], r["item_id"], r["part"]): _verify(r["words"], r["item_words"], r["shift"])})
 
 
-def overlaps(docs: DataFrame, items: DataFrame, parts: tuple[str, ...] = ("passage", "question"), max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, parts: tuple[str, ...] = ("passage", "question"), max_broadcast: int = MAX_BROADCAST, hot: int = HOT_SEED) -> DataFrame:
     """(doc_id, item_id, part, run, stretch, mismatches) of each document and test text with a common seed.
 
     run: the most consecutive words in common; stretch: the longest overlap that tolerates single substituted words
     between two equal ones, with its mismatches. Null or blank texts have no words and no rows; rows with a null id are left
     out; columns beside doc_id, text, item_id and parts are ignored. A test set of at most max_broadcast fingerprints goes to every
-    executor; a larger one is joined by a shuffle on fingerprints.
+    executor; a larger one is joined by a shuffle on fingerprints, where a fingerprint of more than hot occurrences is split.
     """
     spark = docs.sparkSession
     d = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("words"))
@@ -155,8 +167,13 @@ def overlaps(docs: DataFrame, items: DataFrame, parts: tuple[str, ...] = ("passa
     t = t.distinct().withColumn("id", F.xxhash64("item_id", "part"))
     mine = t.select("id", F.col("item_words").alias("w")).mapInArrow(_doc_seeds, "id bigint, h bigint, at int").withColumnsRenamed({"id": "item_part", "at": "item_at"})
     theirs = d.mapInArrow(_doc_seeds, "id bigint, h bigint, at int")
-    pairs = theirs.join(mine, "h").select(F.col("id").alias("doc_id"), F.col("item_part").alias("id"), (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    full = pairs.join(t, "id").join(d, "doc_id").select("doc_id", "item_id", "part", "shift", "words", "item_words")
+    x, y = meeting(theirs, mine, "h", hot)
+    pairs = cut(x.join(y, ["h", "_part"]).select(F.col("id").alias("doc_id"), F.col("item_part").alias("id"), (F.col("at") - F.col("item_at")).alias("shift")).distinct())
+    # only documents with hits go on
+    hits = pairs.select("doc_id").distinct()
+    mostly = hits.count() > FEW_IDS
+    asked = d.join(hits if mostly else F.broadcast(hits), "doc_id", "left_semi")
+    full = pairs.join(t, "id").join(asked, "doc_id").select("doc_id", "item_id", "part", "shift", "words", "item_words")
     return full.mapInArrow(_check, OUT).groupBy("doc_id", "item_id", "part").agg(F.max(F.struct("run", "stretch", "mismatches")).alias("m")).select("doc_id", "item_id", "part", "m.*")
 
 
