@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loreloom.llm.survivor import PLACEHOLDERS
-
+#: Descriptions that say nothing, stated again so that the SQL does not depend on the operator's list.
+PLACEHOLDERS = "na none null nil nan unknown tbd tba tbc todo nodetails nodetail nonegiven notgiven nodescription nodescriptionavailable nodescriptiongiven notdescribed notdescribedinthispassage notdescribedinthetext notavailable notapplicable notmentioned notspecified unspecified mentionedonlybyname onlymentionedbyname mentionedbyname nofurtherdetails noinformation noinformationavailable description placeholder empty missing unclear undetermined seeabove asabove ditto".split()
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _WORDS = r"regexp_extract_all(lower(coalesce({x}, '')), '[\p{L}\p{N}]+')"
 
@@ -16,6 +16,12 @@ P1 = f"""WITH e AS (SELECT event_key, list_distinct({_words("coalesce(summary, '
  x AS (SELECT event_key, len(w) AS size, unnest(w) AS word FROM e), c AS (SELECT a.event_key AS key_a, b.event_key AS key_b, a.size AS sa, b.size AS sb, count(*) AS shared FROM x a JOIN x b ON a.word = b.word AND a.event_key < b.event_key GROUP BY 1, 2, 3, 4)
  SELECT key_a, key_b FROM c WHERE shared::DOUBLE / (sa + sb - shared) >= 0.6 - 1e-9"""
 
+P1_GROUPS = f"""WITH RECURSIVE e AS (SELECT event_key, list_sort(list_distinct({_words("coalesce(summary, '') || ' ' || coalesce(explanation, '')")})) AS w FROM (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY loaded_at) AS n FROM event_extractions WHERE event_key IS NOT NULL) WHERE n = 1),
+ r AS (SELECT w, min(event_key) AS rep, count(*) AS copies FROM e WHERE len(w) > 0 GROUP BY 1), x AS (SELECT rep, len(w) AS size, unnest(w) AS word FROM r),
+ l AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.word = b.word AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.size, b.size HAVING count(*)::DOUBLE / (a.size + b.size - count(*)) >= 0.6 - 1e-9),
+ reach AS (SELECT rep AS a, rep AS b FROM r UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b), c AS (SELECT a AS rep, min(b) AS group_key FROM reach GROUP BY 1), n AS (SELECT a AS rep, count(*) AS links FROM l GROUP BY 1)
+ SELECT e.event_key, coalesce(c.group_key, e.event_key) AS group_key, coalesce(n.links, 0) AS links, coalesce(r.copies, 1) AS copies FROM e LEFT JOIN r ON r.w = e.w LEFT JOIN c ON c.rep = r.rep LEFT JOIN n ON n.rep = r.rep"""
+
 _NAME = f"lower(trim(regexp_replace(coalesce(name, ''), '{WS}+', ' ', 'g')))"
 _BARE = r"lower(regexp_replace(d, '[^\p{L}\p{N}]', '', 'g'))"
 _USABLE = rf"""({_BARE} <> '' AND {_BARE} NOT IN ({", ".join(f"'{p}'" for p in PLACEHOLDERS)})
@@ -34,6 +40,13 @@ P4 = _p4("character", "character_extractions", "char_key") + " UNION ALL " + _p4
 P5 = f"""SELECT DISTINCT chunk_key FROM chunks WHERE len(list_filter(string_split_regex(coalesce(text, ''), '{WS}+'), lambda w: w <> '')) > (SELECT limit_value FROM limits WHERE limit_name = 'chunk_max')"""
 
 
+P5_INVARIANTS = f"""SELECT chunk_key, len(list_filter(string_split_regex(coalesce(text, ''), '{WS}+'), lambda w: w <> '')) AS words, true AS within FROM (SELECT *, row_number() OVER (PARTITION BY chunk_key ORDER BY loaded_at) AS n FROM chunks WHERE chunk_key IS NOT NULL)
+ WHERE n = 1 AND len(list_filter(string_split_regex(coalesce(text, ''), '{WS}+'), lambda w: w <> '')) > (SELECT limit_value FROM limits WHERE limit_name = 'chunk_max')"""
+
+P8_INVARIANTS = """SELECT doc_id, tokens, greatest(1, (tokens + c - 1) // c)::BIGINT AS pieces, true AS within FROM (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS tokens FROM documents), (SELECT limit_value AS c FROM limits WHERE limit_name = 'container_capacity')"""
+P8_USAGE = "SELECT sum(strlen(coalesce(text, '')) + 1)::BIGINT AS tokens, true AS tight FROM documents"
+
+
 def _field(name: str) -> str:
     return rf"lower(regexp_replace(coalesce({name}, list_filter(kv, lambda e: lower(e.key) = '{name}')[1].value, ''), '[^\p{{L}}\p{{N}}]', '', 'g'))"
 
@@ -52,4 +65,4 @@ def _grams(x: str) -> str:
 P9 = f"""WITH i AS (SELECT item_id, {_words('passage')} AS w FROM test_items UNION ALL SELECT item_id, {_words('question')} FROM test_items), ig AS (SELECT DISTINCT item_id, unnest({_grams('w')}) AS g FROM i WHERE len(w) >= 12),
  d AS (SELECT doc_id, {_words('text')} AS w FROM documents), dg AS (SELECT doc_id, unnest({_grams('w')}) AS g FROM d WHERE len(w) >= 12) SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 
-SQL = {"p1_found": P1, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p7_collapsed": P7_COLLAPSED, "p9_found": P9}
+SQL = {"p1_found": P1, "p1_groups": P1_GROUPS, "p5_invariants": P5_INVARIANTS, "p8_invariants": P8_INVARIANTS, "p8_usage": P8_USAGE, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p7_collapsed": P7_COLLAPSED, "p9_found": P9}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.llm import copies, leaks, names, nearby, oracles, packing, pairs, scans, sentences, splitting, survivor
-from loreloom.session import table
+from loreloom.session import cut, table
 
 
 def limit_of(spark: SparkSession, d: str, name: str) -> int:
@@ -59,6 +59,14 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "chunks"), limit_of(spark, d, "chunk_max"), limit_of(spark, d, "chunk_overlap"))
 
 
+def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_key, words, within): the words that the pieces of a chunk cover, each once, and whether every piece keeps the limit and repeats at most half as much again as asked."""
+    most, overlap = limit_of(spark, d, "chunk_max"), limit_of(spark, d, "chunk_overlap")
+    p = p5_pieces(spark, d)
+    fits = (F.col("words") <= most) & (splitting.n_words(F.col("text")) == F.col("words")) & F.when(F.col("piece") == 0, F.col("overlap") == 0).otherwise(F.col("overlap").between(overlap // 2, overlap + overlap // 2))
+    return p.groupBy("chunk_key").agg(F.sum(F.col("words") - F.col("overlap")).alias("words"), F.min(fits).alias("within"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noise(table(spark, d, "chunks"), table(spark, d, "books"))
 
@@ -79,6 +87,21 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), limit_of(spark, d, "container_capacity"))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, tokens, pieces, within): every document's tokens over its pieces, how many it is in, and whether all its containers keep the capacity."""
+    capacity = limit_of(spark, d, "container_capacity")
+    p = cut(p8_containers(spark, d))
+    load = p.groupBy("container").agg(F.sum("tokens").alias("load"))
+    return p.join(load, "container").groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.min(F.col("load") <= capacity).alias("within"))
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    """(tokens, tight): all tokens, and whether the containers are at most one in a hundred, and one, more than the least that could hold them."""
+    capacity = limit_of(spark, d, "container_capacity")
+    p = p8_containers(spark, d).groupBy("container").agg(F.sum("tokens").alias("load"))
+    return p.agg(F.sum("load").alias("tokens"), (F.count("*") <= F.ceil(F.sum("load") / capacity) * 1.01 + 1).alias("tight"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "test_items"))
 

@@ -1,7 +1,9 @@
 """Small cases and brute-force checks of the training-data operators."""
 
 import datetime as dt
+import glob
 import itertools
+import os
 import random
 import re
 
@@ -10,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loreloom.llm import copies, leaks, names, nearby, packing, pairs, scans, sentences, splitting, survivor
+from loreloom.llm import copies, leaks, names, nearby, oracles, packing, pairs, queries, scans, sentences, splitting, survivor
 from loreloom.llm.components import components
 from loreloom.llm.learners import Boosted, Logistic
 
@@ -157,6 +159,26 @@ def test_p3_defects(spark):
     assert pairs.found(spark.createDataFrame([], RESULT)).count() == 0
 
 
+def test_p3_every_triggered_type(spark):
+    """An answer that refuses in another language and breaks off has three defects; a right refusal has none, whatever its form."""
+    q = "Why did Mary Orbow leave the old lantern?"
+    rows = [(1, q, None, False, ("Leider kann ich das nicht beantworten, denn die Wirtin ging nach", None), ("", None), None), (2, q, None, True, ("Leider kann ich das nicht beantworten, denn die Wirtin ging nach", None), ("I cannot answer this. " + "The old lantern stood beside the gate. " * 30, None), None), (3, q, None, False, ("The old lantern stood beside the gate. " * 30 + "I cannot answer this.", None), ("She left (as the long and winding tale of the old keeper of the gate has it for all of us", None), None)]
+    got = {}
+    for r in pairs.defects(spark.createDataFrame(rows, RESULT)).collect():
+        got.setdefault((r["result_key"], r["arm"]), []).append((r["rank"], r["defect"]))
+    got = {k: [d for _, d in sorted(v)] for k, v in got.items()}
+    assert got == {(1, "story_only"): ["refusal", "other_language", "truncated"], (1, "hybrid"): ["empty"], (3, "hybrid"): ["truncated"]}
+
+
+def test_p3_more_text_gives_the_same(spark):
+    """A hundred times the texts: no verdict is lost, a word that never closes a sentence becomes known as such, and a word that is cut off stays so though the fragment is seen elsewhere."""
+    fill = "The old lantern stood beside the gate. They found the lantern."
+    base = [(k, "Who left?", None, False, (a, None), (fill, None), None) for k, a in enumerate(["They saw the lanter", "They saw the", "The old gate", "They found the lantern", fill])]
+    more = [(k + 5 * n, *r[1:]) for n in range(100) for k, r in enumerate(base)] + [(9999, "Who saw the lanter of old?", None, False, (fill, None), (fill, None), None)]
+    one, many = ({(r["result_key"], r["arm"], r["defect"]) for r in pairs.found(spark.createDataFrame(x, RESULT)).collect()} for x in (base, more))
+    assert one == {(0, "story_only", "truncated")} and {(k % 5, a, d) for k, a, d in many} == one | {(1, "story_only", "truncated")}
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------------
 def test_p4_best_and_survivor(spark):
     def row(k, name, text, ids=None, ex="a", at=T0, book=1):
@@ -329,10 +351,21 @@ def test_p7_small_filters_change_nothing(spark):
     rows = [(k, 1, f"s{k % 700}", "r", "o", None, T0, None) for k in range(2000)]
     df = spark.createDataFrame(rows, REL).repartition(5)
     want = {(k % 700, k) for k in range(700, 2000)}
-    for bits in (1 << 15, 1 << 20):
+    for bits in (1 << 15, 1 << 20, 64):  # 64: more rows than any filter of that size could tell apart
         assert {tuple(r) for r in copies.copies(df, max_bits=bits).collect()} == want
 
 
+def test_p7_filters_merged_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(copies, "FAN_IN", 2)
+    df = spark.createDataFrame([(k, 1, f"s{k % 700}", "r", "o", None, T0, None) for k in range(2000)], REL).repartition(7)
+    k = copies.keyed(df)
+    hashes = k.select(F.xxhash64("k").alias("h"))
+    one, bits = copies.repeats_filter(hashes.coalesce(1), 2000)
+    many, _ = copies.repeats_filter(hashes.repartition(7), 2000)
+    assert ((one & ~many) == 0).all()  # no repeat is lost
+    assert {tuple(r) for r in copies.copies(df).collect()} == {(x % 700, x) for x in range(700, 2000)}
+
+
 # --- 8 ----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("windows", [1, 3, 4096])
 def test_p8_every_text_once_and_whole(spark, windows):
@@ -354,8 +387,8 @@ def test_p8_every_text_once_and_whole(spark, windows):
 
 
 # --- 9 ----------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("limit", [0, 4_000_000])
-def test_p9_matches_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "hot"), [(0, 10_000), (0, 2), (4_000_000, 10_000)])
+def test_p9_matches_brute_force(spark, limit, hot):
     rnd = random.Random(8)
     words = [f"w{k}" for k in range(400)]
     items = [(k, " ".join(rnd.choices(words, k=40)), " ".join(rnd.choices(words, k=14)), "clash") for k in range(12)] + [(50, None, " ", None), (None, "x", "y", None)]
@@ -379,7 +412,7 @@ def test_p9_matches_brute_force(spark, limit):
         for a in range(len(w) - 11):
             want |= {(k, i) for i in seen.get(tuple(w[a : a + 12]), ())} if k is not None else set()
     d, t = spark.createDataFrame(docs, "doc_id bigint, text string, item_id int"), spark.createDataFrame(items, "item_id bigint, passage string, question string, text string")
-    assert {tuple(r) for r in leaks.leaked(d, t, max_broadcast=limit).collect()} == want and want
+    assert {tuple(r) for r in leaks.leaked(d, t, max_broadcast=limit, hot=hot).collect()} == want and want
     assert leaks.leaked(d.limit(0), t).count() == 0 and leaks.leaked(d, t.limit(0)).count() == 0
 
 
@@ -447,9 +480,25 @@ def test_p10_blocks_and_edges(spark):
     assert sentences.found(df.limit(0)).count() == 0
 
 
-def test_every_query_is_registered():
-    from loreloom.llm import queries
+DATA = os.environ.get("LORELOOM_DATA", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(oracles.SQL))
+def test_query_agrees_with_sql(spark, name):
+    import duckdb
 
+    con = duckdb.connect()
+    for p in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    df = queries.queries()[name](spark, DATA)
+    r = con.execute(oracles.SQL[name])
+    at = [x[0] for x in r.description]
+    assert sorted(at) == sorted(df.columns)
+    assert sorted((tuple(x[c] for c in at) for x in df.collect()), key=repr) == sorted(r.fetchall(), key=repr)
+
+
+def test_every_query_is_registered():
     q = queries.queries()
     assert {f"p{n}_found" for n in (*range(1, 8), 9, 10)} <= set(q) and "p8_containers" in q
     assert F.lit(1) is not None
