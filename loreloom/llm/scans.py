@@ -15,11 +15,12 @@ import random
 import re
 from collections import ChainMap
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreloom.llm.learners import Boosted, Logistic
@@ -40,11 +41,18 @@ HYPHENS = "-‐‑–¬­="
 _EDGE = ".,;:!?\"“”‘’()[]{}—–…*•·«»_"
 _NUMBER = re.compile(r"^[\W_]*(?:page|p\.|pg\.|seite|s\.)?\s*(\d{1,5})[\W_]*$", re.I)
 _SIDE = re.compile(r"^[\W_]*(\d{1,5})(?=\s{2,}|\s*[—–|·-])|(?:\s{2,}|[—–|·-]\s*)(\d{1,5})[\W_]*$")
+_AT_SIDE = re.compile(r"^[\W_]*\d{1,5}(?=\s{2,}|\s*[—–|·-])|(?:\s{2,}|[—–|·-]\s*)\d{1,5}[\W_]*$")
+_DIGIT = re.compile(r"\d")
+#: A line less like every title than this is no running head.
+LIKE = 0.74
 _CHAPTER = re.compile(r"^\s*(?:chapter\s+(?:[ivxlcdm]+|\d+)\.?:?|(?:[ivxlcdm]+|\d+)\.)\s*", re.I)
 _LISTED = re.compile(r"^\s*(?:[*•—–-]|\d{1,3}[.)])\s")
 _WORD = re.compile(r"\S+")
+_PARAGRAPH = re.compile(r"[^\S\n]*\n\s*\n\s*")
 #: What a correction looks like.
-CLEAN = r"^[\p{L}'’-]{4,30}$"
+CLEAN = r"^[\p{L}'’-]{3,}$"
+#: Words with fewer characters are too like each other to tell a misreading from a word.
+SHORTEST = 3
 STRIPPED = "chunk_key bigint, noise array<string>, body string, asked array<string>"
 PARSED = "chunk_key bigint, noise array<string>, rare array<string>, clean string"
 
@@ -57,20 +65,31 @@ def fold(s: str) -> str:
     return s.translate(str.maketrans("015!968cfhyä", "olsigbbeebva"))
 
 
+_folded = lru_cache(maxsize=50_000)(fold)
+
+
 def similar(a: str, b: str) -> float:
-    """1 less the edit distance over the longer length; quick when the lengths differ much."""
+    """1 less the edit distance over the longer length, 0 when the lengths differ much; texts of up to three characters are alike only if equal. The distance is counted by columns of bits."""
     n = max(len(a), len(b))
     if not n or abs(len(a) - len(b)) > 0.3 * n:
         return 0.0
     if a == b:
         return 1.0
-    prev = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
-        prev = row
-    return 1 - prev[-1] / n
+    if min(len(a), len(b)) < 4:
+        return 0.0
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    last, full = 1 << len(a) - 1, (1 << len(a)) - 1
+    up, down, distance = full, 0, len(a)
+    for c in b:
+        x = at.get(c, 0)
+        d = ((x & up) + up ^ up | x | down) & full
+        plus, minus = down | ~(d | up) & full, d & up
+        distance += (plus & last != 0) - (minus & last != 0)
+        plus = (plus << 1 | 1) & full
+        up, down = minus << 1 & full | ~(d | plus) & full, plus & d
+    return 1 - distance / n
 
 
 def bare(token: str) -> str:
@@ -87,20 +106,28 @@ def word_counts(chunks: DataFrame) -> DataFrame:
 # --- line pairs -------------------------------------------------------------------------------------------------
 
 
-def furniture_features(line: str, before: str, after: str, names: list[tuple[str, bool]], pages: tuple[int | None, int | None], first: bool) -> list[float]:
-    """What tells a running head or page number from text: likeness to the titles, a number that is the page's, what stands about it."""
-    body = re.sub(r"^[\W_]*\d{1,5}(?=\s{2,}|\s*[—–|·-])|(?:\s{2,}|[—–|·-]\s*)\d{1,5}[\W_]*$", "", line)
+def likeness(line: str, names: list[tuple[str, bool]]) -> tuple[float, float, str]:
+    """How like a line without the number at its side is to the chunk's own titles and to others, and that line."""
+    body = _AT_SIDE.sub("", line) if _DIGIT.search(line) else line
     f = fold(body)
-    own = max((similar(f, x) for x, mine in names if mine), default=0.0) if 3 < len(f) < 90 else 0.0
-    other = max((similar(f, x) for x, mine in names if not mine), default=0.0) if 3 < len(f) < 90 and own < 0.8 else 0.0
-    m = _NUMBER.match(line) or _SIDE.search(line)
+    own = max((similar(f, x) for x, mine in names if mine), default=0.0) if f else 0.0
+    other = max((similar(f, x) for x, mine in names if not mine), default=0.0) if f and own < 0.8 else 0.0
+    return own, other, body
+
+
+def furniture_features(line: str, before: str, after: str, names: list[tuple[str, bool]], pages: tuple[int | None, int | None], first: bool, always: bool = False) -> list[float] | None:
+    """What tells a running head or page number from text: likeness to the titles, a number that is the page's, what stands about it. None for a line that is neither like a name nor a number, unless always."""
+    own, other, body = likeness(line, names)
+    lone = _NUMBER.match(line)
+    if own < LIKE and other < LIKE and not lone and not always:
+        return None
+    m = lone or _SIDE.search(line)
     number = int(next(g for g in m.groups() if g)) if m else None
     lo, hi = pages
     near = number is not None and lo is not None and lo <= number <= (hi if hi is not None else lo + 2)
     head = bool(re.match(r"[\W\d_]*[A-ZÀ-Þ]", body))
     between = bool(before.strip()) and bool(after.strip())
-    lone = bool(_NUMBER.match(line))
-    return [own**4, (other**4) * head * between, float(near), float(lone), float(lone and near), float(between), float(first), float(bool(_LISTED.match(line))), float(len(line) > 60)]
+    return [own**4, (other**4) * head * between, float(near), float(bool(lone)), float(bool(lone) and near), float(between), float(first), float(bool(_LISTED.match(line))), float(len(line) > 60)]
 
 
 def train_furniture(names: list[str], seed: int = 7) -> Logistic:
@@ -111,7 +138,8 @@ def train_furniture(names: list[str], seed: int = 7) -> Logistic:
     x, y = [], []
 
     def add(line: str, before: str, after: str, own: str, page: int, first: bool, label: int, known: bool = True) -> None:
-        x.append(furniture_features(line, before, after, [(fold(own), known), *[(fold(n), False) for n in rnd.sample(names, min(3, len(names)))]], (page, page + rnd.randint(0, 1)), first))
+        f = furniture_features(line, before, after, [(fold(own), known), *[(fold(n), False) for n in rnd.sample(names, min(3, len(names)))]], (page, page + rnd.randint(0, 1)), first, always=True)
+        x.append(f)
         y.append(label)
 
     for _ in range(250):
@@ -245,21 +273,26 @@ def _grams(c: str = "word"):
     n = F.length(w)
     at = F.sequence(F.lit(1), F.greatest(n - Q + 1, F.lit(1)))
     grams = F.transform(at, lambda i: F.when(i * 2 <= n - Q + 2, F.concat(F.lit("^"), i.cast("string"), F.lit(":"), F.substr(w, i, F.lit(Q)))).otherwise(F.concat(F.lit("$"), (n - i).cast("string"), F.lit(":"), F.substr(w, i, F.lit(Q)))))
-    # one change in the middle of a short word leaves no gram alone, but both ends
-    ends = F.when(n <= 7, F.array(F.concat(F.lit("^$"), F.left(w, F.lit(1)), F.right(w, F.lit(1))))).otherwise(F.array().cast("array<string>"))
-    return F.concat(grams, ends)
+    # one change in a short word leaves no gram alone, but both ends, or the letters at one
+    one = lambda mark, x: F.concat(F.lit(mark), x)
+    ends = F.when(n <= 7, F.array(one("^$", F.concat(F.left(w, F.lit(1)), F.right(w, F.lit(1)))))).otherwise(F.array().cast("array<string>"))
+    short = F.when(n <= 4, F.array(one("^^", F.left(w, F.lit(2))), one("$$", F.right(w, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    return F.concat(grams, ends, short)
 
 
 def corrections(counts: DataFrame, rare: DataFrame, model: Boosted) -> DataFrame:
     """(word, fixed): misread words with the best-ranked word of at least RATIO times their count, by an inverted join on q-grams."""
     shared = rare.sparkSession.sparkContext.broadcast(model)
     common = counts.filter((F.col("n") >= max(LEAST, RATIO)) & F.col("word").rlike(CLEAN)).select(F.col("word").alias("clean"), F.col("n").alias("n_clean"))
-    seen = rare.filter(F.length("word").between(4, 30)).join(counts, "word").filter(F.col("word").rlike(r"\p{L}"))
-    a = seen.select("word", "n", F.explode(F.array_distinct(_grams("word"))).alias("g"))
+    seen = rare.filter(F.length("word") >= SHORTEST).join(counts, "word").filter(F.col("word").rlike(r"\p{L}"))
     b = common.select("clean", "n_clean", F.explode(F.array_distinct(_grams("clean"))).alias("g"))
-    near = a.join(b, "g").filter((F.col("n_clean") >= RATIO * F.col("n")) & (F.abs(F.length("word") - F.length("clean")) <= 2) & (F.col("word") != F.col("clean")))
-    pairs = near.groupBy("word", "clean").agg(F.first("n").alias("n"), F.first("n_clean").alias("n_clean"), F.count("*").alias("common_grams"))
-    pairs = pairs.filter(F.levenshtein("word", "clean", 4) >= 0)
+    # of a long word only its rarest grams are looked up: one confusion spoils at most Q + 1 of them, so that a word with as many confusions as errors allows keeps one
+    errors = F.greatest(F.lit(2), F.floor(F.length("word") / 6))
+    a = seen.select("word", "n", F.explode(F.array_distinct(_grams("word"))).alias("g")).join(b.groupBy("g").agg(F.count("*").alias("words")), "g")
+    a = a.withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy("words", "g"))).filter(F.col("place") <= (Q + 1) * errors + 1).drop("place", "words")
+    n = F.length("word")
+    near = a.join(b, "g").filter((F.col("n_clean") >= RATIO * F.col("n")) & (F.abs(n - F.length("clean")) <= F.greatest(F.lit(2), n / 6)) & (F.col("word") != F.col("clean")))
+    pairs = near.select("word", "clean", "n", "n_clean").distinct().filter(F.levenshtein("word", "clean") <= F.greatest(F.lit(4), n / 3))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -280,15 +313,17 @@ def strip(text: str, title: str | None, chapter: str | None, others: list[str],
     noise: set[str] = set()
     lines = text.split("\n")
     kept: list[str] = []
-    names = [(fold(s), True) for s in dict.fromkeys([title or "", _CHAPTER.sub("", chapter or ""), chapter or ""]) if len(fold(s)) > 3]
-    names += [(fold(s), False) for s in others] if not chapter or len(fold(_CHAPTER.sub("", chapter))) < 4 or chapter.strip().lower() in ("unknown", "none", "n/a") else []
+    names = [(f, True) for f in dict.fromkeys(_folded(x) for x in (title or "", _CHAPTER.sub("", chapter or ""), chapter or "")) if f]
+    names += [(f, False) for f in map(_folded, others) if f] if not chapter or len(fold(_CHAPTER.sub("", chapter))) < 4 or chapter.strip().lower() in ("unknown", "none", "n/a") else []
+    # a line is like a name only if it is about as long; folding may shorten it by half, and letters may be set apart
+    longest = 4 * max((len(f) for f, _ in names), default=0) + 16
     filled = [k for k, x in enumerate(lines) if x.strip()]
     feats, at = [], []
     for k in filled:
         line = lines[k]
-        if len(line) < 75 or len(re.sub(r"\s", "", line)) < 60:
+        if len(line) <= longest or _NUMBER.match(line):
             f = furniture_features(line, lines[k - 1] if k else "", lines[k + 1] if k + 1 < len(lines) else "", names, pages, k == filled[0])
-            if f[0] > 0.3 or f[1] > 0.3 or f[3]:
+            if f and (f[0] > 0.3 or f[1] > 0.3 or f[3]):
                 feats.append(f)
                 at.append(k)
     out = set()
@@ -305,22 +340,28 @@ def strip(text: str, title: str | None, chapter: str | None, others: list[str],
     return sorted(noise), "\n".join(kept)
 
 
-def breaks(body: str, spans: list[tuple[int, int]], common: dict[str, int]) -> Iterator[tuple[int, str, str, bool, bool]]:
-    """(k, a, b, hyphen, space): where a line end, or the space it has become, may stand within the word a + b, from span k to the next."""
-    for k in range(len(spans) - 1):
-        (a0, a1), (b0, b1) = spans[k], spans[k + 1]
-        gap = body[a1:b0]
-        if gap.count("\n") > 1:
-            continue
-        left, right = body[a0:a1], body[b0:b1]
+def breaks(body: str, common: Mapping[str, int]) -> list[tuple[int, str, str, bool, bool]]:
+    """(k, a, b, hyphen, space): where a line end, or the space it has become, may stand within the word a + b, from token k to the next."""
+    tokens = body.split()
+    words = [w.strip(_EDGE).lower() for w in tokens]
+    known = [w in common for w in words]
+    # most neighbours are two common words that make no third one
+    some = [k for k in range(len(tokens) - 1) if tokens[k][-1] in HYPHENS or not (known[k] and known[k + 1]) or words[k] + words[k + 1] in common]
+    if not some:
+        return []
+    spans = [m.span() for m in _WORD.finditer(body)]
+    out = []
+    for k in some:
+        left, right = tokens[k], tokens[k + 1]
         hyphen = left[-1] in HYPHENS and len(left) > 1 and left[-2].isalnum()
-        a, b = bare(left[:-1] if hyphen else left), bare(right)
-        if not a or not b or not right[0].isalnum() or not hyphen and (not left[-1].isalnum() or right[0].isupper()):
-            continue
-        if not hyphen and a in common and b in common and a + b not in common:  # a whole that is rarer than its parts
+        if not right[0].isalnum() or not hyphen and (not left[-1].isalnum() or right[0].isupper()):
             continue
-        if a[-1].isalpha() and b[0].isalpha():
-            yield k, a, b, hyphen, "\n" not in gap
+        a, b = bare(left[:-1]) if hyphen else words[k], words[k + 1]
+        if a and b and a[-1].isalpha() and b[0].isalpha():
+            gap = body[spans[k][1] : spans[k + 1][0]]
+            if gap.count("\n") < 2:
+                out.append((k, a, b, hyphen, "\n" not in gap))
+    return out
 
 
 def one_word(a: str, b: str, known: Mapping[str, int], total: int) -> bool:
@@ -329,24 +370,23 @@ def one_word(a: str, b: str, known: Mapping[str, int], total: int) -> bool:
     return whole > 0 and whole >= 3 * min(ca, cb) and whole * total >= APART * ca * cb
 
 
-def asked(body: str, common: dict[str, int], total: int) -> list[str]:
+def asked(found: list[tuple[int, str, str, bool, bool]], common: Mapping[str, int], total: int) -> list[str]:
     """The words beyond the common ones whose counts mend() needs."""
     out: set[str] = set()
-    for _, a, b, hyphen, _ in breaks(body, [m.span() for m in _WORD.finditer(body)], common):
+    for _, a, b, hyphen, _ in found:
         if hyphen or a not in common or b not in common or one_word(a, b, common, total):
             out.update(w for w in (a, b, a + b, f"{a}-{b}") if w not in common)
     return sorted(out)
 
 
-def mend(body: str, common: dict[str, int], others: dict[str, int], total: int, top: int, joins: Logistic) -> tuple[bool, list[str], str]:
+def mend(body: str, common: dict[str, int], others: dict[str, int], total: int, misread: set[str] | frozenset[str], joins: Logistic) -> tuple[bool, list[str], str]:
     """(whether words were broken, words that may be misread, text with joined words and paragraphs on one line).
 
-    others: counts of words that aren't common. total: the count of all words. top: the largest count of a possible correction; a word over top / RATIO has none.
+    others: counts of words that aren't common. total: the count of all words. misread: the common words that have a correction; any word that isn't common may have one.
     """
     known = ChainMap(others, common)
-    spans = [m.span() for m in _WORD.finditer(body)]
     glue, met, where = {}, [], []
-    for k, a, b, hyphen, space in breaks(body, spans, common):
+    for k, a, b, hyphen, space in breaks(body, common):
         if not hyphen and not one_word(a, b, known, total):
             continue
         met.append(join_features(a, b, hyphen, space, known))
@@ -359,34 +399,23 @@ def mend(body: str, common: dict[str, int], others: dict[str, int], total: int,
                 broken = True
             elif hyphen and compound in known:
                 glue[k] = (False, "")
-    rebuilt, rare = [], set()
-    word = ""
-    last = 0
-    for k, (a, b) in enumerate(spans):
-        gap = body[last:a]
-        piece = body[a:b]
-        if k and k - 1 in glue:
-            word += piece
-        else:
-            if word:
-                rebuilt.append(word)
-            if k:
-                rebuilt.append("\n\n" if gap.count("\n") > 1 else " ")
-            word = piece
-        if k in glue and glue[k][0]:
-            word = word[:-1]
-        last = b
-    if word:
-        rebuilt.append(word)
-    clean = "".join(rebuilt)
-    for t in _WORD.findall(clean):
-        w = bare(t)
-        if len(w) > 3 and common.get(w, 0) * RATIO <= top and any(c.isalpha() for c in w):
-            rare.add(w)
-    return broken, sorted(rare), clean
-
-
-def parsed(chunks: DataFrame, books: DataFrame, counts: DataFrame, common: dict[str, int], key: str = "chunk_key") -> DataFrame:
+    paragraphs = []
+    k = -1
+    for part in _PARAGRAPH.split(body):
+        rebuilt: list[str] = []
+        for token in part.split():
+            k += 1
+            if k and k - 1 in glue and rebuilt:
+                rebuilt[-1] = (rebuilt[-1][:-1] if glue[k - 1][0] else rebuilt[-1]) + token
+            else:
+                rebuilt.append(token)
+        if rebuilt:
+            paragraphs.append(rebuilt)
+    rare = {w for w in {t.strip(_EDGE).lower() for p in paragraphs for t in p} if (w not in common or w in misread) and len(w) >= SHORTEST and any(c.isalpha() for c in w)}
+    return broken, sorted(rare), "\n\n".join(" ".join(p) for p in paragraphs)
+
+
+def parsed(chunks: DataFrame, books: DataFrame, counts: DataFrame, common: dict[str, int], misread: frozenset[str], key: str = "chunk_key") -> DataFrame:
     """One row per chunk key: its noise but for misread words, its words, and its text without furniture and with joined words."""
     sc = chunks.sparkSession.sparkContext
     one = by_key(chunks.filter(F.col(key).isNotNull() & F.col("text").isNotNull()).withColumn(key, F.col(key).cast("bigint")), key).groupBy(F.col(key).alias("chunk_key")).agg(F.min(F.struct("loaded_at", "book_id", "chapter", "page_start", "page_end", "text")).alias("r")).select("chunk_key", "r.book_id", "r.chapter", "r.page_start", "r.page_end", "r.text")
@@ -394,24 +423,24 @@ def parsed(chunks: DataFrame, books: DataFrame, counts: DataFrame, common: dict[
     heads = chunks.filter("chapter IS NOT NULL").select("book_id", F.trim(F.regexp_replace(F.lower("chapter"), _CHAPTER.pattern.replace("^", "^(?i)", 1), "")).alias("c")).filter(F.length("c") > 3).distinct().groupBy("book_id").agg(F.sort_array(F.collect_set("c")).alias("heads"))
     full = one.join(titles, "book_id", "left").join(heads, "book_id", "left").drop("book_id")
     sample = [r["title"] for r in titles.filter("title IS NOT NULL").orderBy(F.xxhash64("book_id")).limit(200).collect()]
-    held = sc.broadcast((common, train_furniture(sample), train_joins(common)))
-    total, top = (x or 0 for x in counts.agg(F.sum("n"), F.max(F.when(F.col("word").rlike(CLEAN), F.col("n")))).first())
+    held = sc.broadcast((common, train_furniture(sample), train_joins(common), misread))
+    total = counts.agg(F.sum("n")).first()[0] or 0
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, furniture, _ = held.value
+        common, furniture, *_ = held.value
         for b in batches:
             rows = []
             for r in b.to_pylist():
                 noise, body = strip(r["text"], r["title"], r["chapter"], r["heads"] or [], (r["page_start"], r["page_end"]), furniture)
-                rows.append({"chunk_key": r["chunk_key"], "noise": noise, "body": body, "asked": asked(body, common, total)})
+                rows.append({"chunk_key": r["chunk_key"], "noise": noise, "body": body, "asked": asked(breaks(body, common), common, total)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk_key", pa.int64()), ("noise", pa.list_(pa.string())), ("body", pa.string()), ("asked", pa.list_(pa.string()))]))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, _, joins = held.value
+        common, _, joins, misread = held.value
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                broken, rare, clean = mend(r["body"], common, dict(r["others"] or []), total, top, joins)
+                broken, rare, clean = mend(r["body"], common, dict(r["others"] or []), total, misread, joins)
                 rows.append({"chunk_key": r["chunk_key"], "noise": sorted([*r["noise"], *["hyphenation"] * broken]), "rare": rare, "clean": clean})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk_key", pa.int64()), ("noise", pa.list_(pa.string())), ("rare", pa.list_(pa.string())), ("clean", pa.string())]))
 
@@ -422,17 +451,21 @@ def parsed(chunks: DataFrame, books: DataFrame, counts: DataFrame, common: dict[
 
 def common_words(counts: DataFrame) -> dict[str, int]:
     """Words with at least COMMON_SHARE of all, hence at most 1 / COMMON_SHARE words, with their counts."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST, math.ceil(total * COMMON_SHARE))
-    return {r["word"]: r["n"] for r in counts.filter(F.col("n") >= least).toLocalIterator()}
+    return {r["word"]: r["n"] for r in counts.filter(F.col("n") >= _least_common(counts)).toLocalIterator()}
+
+
+def _least_common(counts: DataFrame) -> int:
+    return max(LEAST, math.ceil((counts.agg(F.sum("n")).first()[0] or 0) * COMMON_SHARE))
 
 
 def _stages(chunks: DataFrame, books: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     counts = cut(word_counts(spread(chunks.select("text"))))
     common = common_words(counts)
-    found = cut(parsed(chunks, books, counts, common, key))
-    rare = found.select(F.explode("rare").alias("word")).distinct()
-    return found, cut(corrections(counts, rare, train_ranking(common)))
+    # every word but those too frequent for any correction; what line ends are joined to is among them
+    top = counts.filter(F.col("word").rlike(CLEAN)).agg(F.max("n")).first()[0] or 0
+    fixes = cut(corrections(counts, counts.filter(F.col("n") * RATIO <= top).select("word"), train_ranking(common)))
+    misread = frozenset(r["word"] for r in fixes.join(counts.filter(F.col("n") >= _least_common(counts)), "word", "left_semi").select("word").toLocalIterator())
+    return cut(parsed(chunks, books, counts, common, misread, key)), fixes
 
 
 def noise(chunks: DataFrame, books: DataFrame, key: str = "chunk_key") -> DataFrame:
