@@ -54,6 +54,18 @@ def structured(df: DataFrame, kind: str, category: str, ord: str, by: tuple[str,
     return ordered_merge(df, {**{b: F.col(b) for b in by}, **{k: t.norm_ws(F.col(k)) for k in keys}}, ord, rest, sources=sources, keep_blank=True)
 
 
+def extracted(extractions: DataFrame, kind: str, key: str = "chunk_id", column: str = "extraction") -> dict[str, DataFrame]:
+    """The records of every category of a document type from extractions, one struct of arrays a chunk: each with the chunk as its one source and an order by chunk, then place in the array.
+
+    Merging each of these once gives what folding one extraction after another in the order of chunks would give.
+    """
+    out = {}
+    for category in schemas.profile(kind):
+        x = extractions.select(F.col(key).alias("_chunk"), F.posexplode(F.col(f"{column}.{category}")).alias("_pos", "_r"))
+        out[category] = x.select("_r.*", (F.col("_chunk").cast("bigint") * (1 << 32) + F.col("_pos")).alias("ord"), F.array(F.col("_chunk").cast("int")).alias("source_chunk_ids"))
+    return out
+
+
 def sources_of(df: DataFrame, ids: str, chunks: DataFrame, key: str, by: str = "book_id", batch: str | None = None) -> DataFrame:
     """(key, pos, chunk_id, ...): the chunks that a row names as its sources, once each, at the position where it first names them. chunks: by, chunk_id and what a source shows.
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreloom.functions import text as t
+from loreloom.session import cut
+
+#: Changed names that are broadcast; they take well under 100 MB.
+FEW_NAMES = 200_000
 
 
 def same_names(names: DataFrame, by: str = "book_id", name: str = "name", ord: str = "ord", strict_titles: bool = False) -> DataFrame:
@@ -53,14 +57,19 @@ def longest_names(names: DataFrame, by: str = "book_id", name: str = "name", ord
 
 
 def resolve(df: DataFrame, column: str, first: DataFrame, second: DataFrame | None = None, by: str = "book_id", key: Column | None = None) -> DataFrame:
-    """df with column replaced by its canonical name: from the first map, then the second, else as it is. The optimiser broadcasts a map when its size allows."""
-    k = df.withColumn("alias_key", key if key is not None else t.norm_nfkc(F.col(column)))
-    out = k.join(first.withColumnRenamed("canonical", "_c1"), [by, "alias_key"], "left")
+    """df with column replaced by its canonical name: from the first map, then the second, else as it is. key: how column is looked up.
+
+    Every different name is looked up once. The names that change are broadcast up to FEW_NAMES of them, so that rows need not be shuffled; more are joined by a shuffle.
+    """
+    d = df.select(by, column).filter(F.col(column).isNotNull()).distinct().withColumn("alias_key", key if key is not None else t.norm_nfkc(F.col(column)))
+    d = d.join(first.withColumnRenamed("canonical", "_c1"), [by, "alias_key"], "left")
     got = F.col("_c1")
     if second is not None:
-        out = out.join(second.withColumnRenamed("canonical", "_c2"), [by, "alias_key"], "left")
+        d = d.join(second.withColumnRenamed("canonical", "_c2"), [by, "alias_key"], "left")
         got = F.coalesce(got, F.col("_c2"))
-    return out.withColumn(column, F.coalesce(got, F.col(column))).drop("alias_key", "_c1", "_c2")
+    changed = cut(d.select(by, column, got.alias("_new")).filter(F.col("_new") != F.col(column)))
+    near = F.broadcast(changed) if changed.count() <= FEW_NAMES else changed
+    return df.join(near, [by, column], "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
 def valid_plan(groups: DataFrame, names: DataFrame, by: str = "book_id", ord: str = "ord") -> DataFrame:

@@ -86,6 +86,11 @@ def chunks(blocks: DataFrame, doc: str = "doc_id", order: tuple[str, str] = ("bl
     return numbered(kept, [doc], ["island", "seq"], "chunk_id").select(doc, F.col("chunk_id").cast("int").alias("chunk_id"), "page_start", "page_end", "chapter", "word_count", "text")
 
 
+def first_chunks(todo: DataFrame, most: int | None, *order: str) -> DataFrame:
+    """The first chunks in order, for a trial run; all of them where most is None."""
+    return todo if most is None else todo.orderBy(*order).limit(most)
+
+
 def batches(todo: DataFrame, done: DataFrame, key: str = "chunk_id", by: str = "book_id", size: int = 18) -> DataFrame:
     """Rows of todo not in done, with a batch number: runs of size rows in order of key within each group."""
     left = todo.join(done.select(by, key).distinct(), [by, key], "left_anti")

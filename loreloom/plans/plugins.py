@@ -142,6 +142,19 @@ def generate(df: DataFrame, prompt: str, generator: Generator | None = None, nam
     return df.withColumn(name, run(F.col(prompt)))
 
 
+def propose(contexts: DataFrame, planner: Generator, by: str = "book_id", context: str = "context", long_wait: float | None = None) -> DataFrame:
+    """(by, ord, canonical, aliases, confidence, reason): the merges a model proposes for each context; a text that is no plan stops the job. They count only as far as ``valid_plan`` accepts them."""
+    kind = dict(contexts.dtypes)[by]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({by: pdf[by], "_raw": [with_retries(lambda p=p: planner(p), long_wait=long_wait) for p in pdf["_context"]]})
+
+    raw = contexts.select(by, F.col(context).alias("_context")).mapInPandas(run, f"{by} {kind}, _raw string")
+    plan = F.from_json("_raw", "groups array<struct<canonical:string,aliases:array<string>,confidence:string,reason:string>>", {"mode": "FAILFAST"})
+    return raw.select(by, F.posexplode(plan["groups"]).alias("ord", "g")).select(by, "ord", "g.*")
+
+
 class EmptyExtractor:
     """Finds nothing, in a valid form."""
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import json
 import math
 import os
 import random
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from loreloom import session
 from loreloom.functions import text as t
 from loreloom.operators import evaluate, graph, index, merge, ordered, resolve, retrieve, segment, skew
 from loreloom.plans import facade, memory, plugins
@@ -345,6 +347,60 @@ def test_plugins(spark):
     assert plugins.generate(df, "prompt").first()["answer"] == t.UNKNOWN_RESPONSE
 
 
+def test_extraction_is_parsed_and_folded(spark):
+    """Two chunks, one with a record that the other tells at more length: the fold of the extractions, one source a chunk."""
+    def extractor(prompt):
+        name, text = prompt.split("|")
+        return json.dumps({"characters": [{"name": name, "description": text}], "locations": [], "relationships": [{"subject": name, "relation": "knows", "object": "Bo", "explanation": text}], "events": [], "facts": []})
+
+    df = spark.createDataFrame([(2, "ann |tall and old"), (1, "Ann|tall")], "chunk_id bigint, prompt string")
+    schema = ", ".join(f"{c} array<struct<{schemas.FIELDS[c].replace(' ', ':', 99).replace(',:', ',')}>>" for c in schemas.PROFILES["story"])
+    parts = merge.extracted(plugins.extract(df, "prompt", extractor, schema), "story")
+    c = merge.ordered_merge(parts["characters"], {"name": t.norm_ws(F.col("name"))}, "ord", ("name",), ("description",), "source_chunk_ids").collect()
+    assert [(r["name"], r["description"], r["sources"]) for r in c] == [("Ann", "tall and old", [1, 2])]
+    assert parts["relationships"].count() == 2 and parts["events"].count() == 0
+    with pytest.raises(Exception, match="MALFORMED|parse|broken"):
+        plugins.extract(df, "prompt", lambda p: "broken", schema).collect()
+    plan = plugins.propose(spark.createDataFrame([(1, "x")], "book_id bigint, context string"), lambda p: json.dumps({"groups": [{"canonical": "Ann", "aliases": ["ann"], "confidence": "high", "reason": "same"}]})).collect()
+    assert [(r["book_id"], r["ord"], r["canonical"], r["aliases"], r["confidence"]) for r in plan] == [(1, 0, "Ann", ["ann"], "high")]
+
+
+def test_first_chunks(spark):
+    assert [r["id"] for r in segment.first_chunks(spark.range(9), 2, "id").collect()] == [0, 1] and segment.first_chunks(spark.range(9), None, "id").count() == 9
+
+
+def test_pages_of_pdf_files(spark, tmp_path, monkeypatch):
+    """With a stand-in for the PDF library: pages are numbered from 1, blocks are the fifth field."""
+    (tmp_path / "fitz.py").write_text(
+        "class Page:\n    def __init__(self, t): self.t = t\n    def get_text(self, kind, sort): return self.t if kind == 'text' else [(0, 0, 0, 0, x) for x in self.t.split('/')]\n"
+        "class Doc(list):\n    def __enter__(self): return self\n    def __exit__(self, *a): pass\n"
+        "def open(stream, filetype): return Doc(Page(x) for x in stream.decode().split('\\f'))\n"
+    )
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"one/two\fthree")
+    with pytest.raises(RuntimeError, match="pymupdf"):
+        io.read_pages(spark, str(tmp_path / "in"))
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "fitz.py"))
+    got = [(r["page"], r["raw_text"], r["blocks"]) for r in io.read_pages(spark, str(tmp_path / "in")).orderBy("page").collect()]
+    assert got == [(1, "one/two", ["one", "two"]), (2, "three", ["three"])]
+
+
+def test_checkpoint_folder_must_be_shared(monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)
+
+
 def test_once(spark):
     df = spark.createDataFrame([(1, "a", T0), (1, "b", dt.datetime(2025, 1, 1)), (2, "c", None), (None, "d", T0)], "k bigint, v string, loaded_at timestamp")
     assert sorted((r["k"], r["v"]) for r in merge.once(df, "k").collect()) == [(1, "a"), (2, "c")]
