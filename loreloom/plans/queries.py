@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loreloom.functions import text as t
 from loreloom.operators import evaluate, graph, index, merge, resolve, retrieve, segment
+from loreloom.operators.ordered import numbered
 from loreloom.plans import prompts
 from loreloom.session import table
 from loreloom.sources.schemas import SOURCE
@@ -447,10 +448,11 @@ def world_items(spark: SparkSession, d: str) -> DataFrame:
     return index.dense_ids(i, ["type_rank", "ord"]).select("world_item_id", "type", "ord", "text_md5")
 
 
-@query(f"SELECT name, min(char_key) AS ord FROM {once_sql('character_extractions', 'char_key')} WHERE {norm_sql('name')} <> '' GROUP BY 1 ORDER BY lower(name), ord")
+@query(f"SELECT *, row_number() OVER (ORDER BY lower(name), ord) - 1 AS place FROM (SELECT name, min(char_key) AS ord FROM {once_sql('character_extractions', 'char_key')} WHERE {norm_sql('name')} <> '' GROUP BY 1)")
 def character_list(spark: SparkSession, d: str) -> DataFrame:
     c = merge.once(table(spark, d, "character_extractions"), "char_key").filter(t.norm_ws(F.col("name")) != "")
-    return c.groupBy("name").agg(F.min("char_key").alias("ord")).orderBy(F.lower("name"), "ord")
+    n = c.groupBy("name").agg(F.min("char_key").alias("ord")).withColumn("_low", F.lower("name"))
+    return numbered(n, [], ["_low", "ord"], "place").drop("_low")
 
 
 # --- contexts ---------------------------------------------------------------------------------------------------
