@@ -32,6 +32,7 @@ SHORT_FORMS = (
     "lawrence larry laurie lawrie", "louisa lou lulu", "margaret meg peggy maggie madge greta daisy", "martha mattie patty", "mary molly polly may mamie", "matthew matt", "michael mick mike mickey micky", "nathaniel nat nate", "nicholas nick nicky", "oliver ollie noll", "oswald oz ozzie ossie", "patrick paddy pat", "peter pete", "philip phil",
     "rebecca becky becca", "richard dick rick rich richie", "robert bob rob bobby robbie", "rosalind roz ros rosie", "samuel sam sammy", "sarah sally sadie", "stephen steve", "susannah sue sukey susie susan", "theodora thea dora theo", "theodore ted theo teddy", "thomas tom tommy", "victoria vicky vic tori", "vincent vin vince vinny", "walter wally walt",
     "wilhelmina mina minnie willa billie", "william will bill billy willy", "zachary zack zach zac",
+    "johannes hans hannes johann", "friedrich fritz", "josef sepp jupp", "elisabeth lisl elsbeth lisbeth", "margarete gretchen grete", "heinrich heinz heiner", "jose pepe", "francisco paco pancho curro", "guadalupe lupe", "dolores lola", "ignacio nacho", "jesus chucho", "mercedes merche", "giuseppe beppe peppino", "giovanni gianni nino", "mikhail misha", "aleksandr sasha shura", "yekaterina katya", "dmitri mitya dima", "nikolai kolya", "tatyana tanya", "ivan vanya",
 )
 #: Titles, and the sex they tell.
 TITLES = {"mr": "m", "mister": "m", "sir": "m", "lord": "m", "master": "m", "herr": "m", "mrs": "f", "ms": "f", "miss": "f", "madam": "f", "madame": "f", "mme": "f", "lady": "f", "dame": "f", "frau": "f", "dr": "", "doctor": "", "capt": "", "captain": "", "prof": "", "professor": "", "rev": "", "reverend": "", "col": "", "colonel": "", "hon": "", "judge": "", "major": ""}
@@ -242,9 +243,9 @@ def parse(name: str) -> dict | None:
         if more:
             out["givens"] = more[:1]
             out["kind"] = "person"
-    elif t.endswith(".") and w not in CANON:
-        out["givens"] = [w + "*"]
-        out["initials"] = [w[0]]
+    elif t.endswith("."):  # cut short, unless it is a short form with a stop
+        out["givens"] = [w + "*", *([w] if w in CANON else [])]
+        out["initials"] = [w[0], *([x[0] for x in given_forms(w)] if w in CANON else [])]
         out["kind"] = "person"
     else:
         out["givens"] = [w, *([first[-1][1]] if nick and len(first) > 1 else [])]

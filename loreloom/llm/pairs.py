@@ -59,6 +59,9 @@ FUNCTION_WORDS = {
     "en": "the a an of and was were is are to with at which what who why how did does do where when that this his her he she it in on by from for but until because while after before near into beneath page pages so not you tell me about us",
     "de": "der die das und ist nicht wo wer warum hat dem den des ein eine einen im am zum zur mit von auf um nach vor bei sich er sie es wie was wann zu ging kam sah sagte fragte schon niemand sein ihre herr frau kostete",
     "fr": "le la les et est un une des du de au aux qui que où pourquoi dans ne pas se sa son ses il elle à ce cette avec par sur vers avant après personne était était-il comment mon ma encore quand quoi m mme",
+    "it": "il lo gli le e è un una di del della al che chi dove perché per con non si suo sua nel nella era ma più da dal questo questa come quando",
+    "pt": "o os as e é um uma de do da ao que quem onde por para com não se seu sua no na era mas mais este esta como quando",
+    "nl": "de het een en is niet wie waar waarom van met op in aan bij naar voor zijn haar hij zij was dat maar toen deze dit hoe wat",
     "es": "el la los las y es un una de del al que quién qué dónde por para con sin en no su sus se vio antes después nadie como cómo lo le él ella sr sra doña don cuando más volvió está este esta",
 }
 #: Abbreviations that cannot close a text.
@@ -111,7 +114,9 @@ def _words(c: Column) -> Column:
 
 def hits(words: Column) -> Column:
     """How many different frequent words of each language occur, in the order of FUNCTION_WORDS."""
-    return let(words, lambda w: F.array(*[F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in v.split()]))) for v in FUNCTION_WORDS.values()]))
+    some = lambda xs: F.array(*[F.lit(x) for x in xs])
+    every = some(dict.fromkeys(x for v in FUNCTION_WORDS.values() for x in v.split()))
+    return let(F.array_intersect(every, words), lambda w: F.array(*[F.size(F.array_intersect(some(v.split()), w)) for v in FUNCTION_WORDS.values()]))
 
 
 def language(hits_: Column) -> Column:
