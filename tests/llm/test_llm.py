@@ -336,6 +336,55 @@ def test_p6_ranking_on_held_out_words():
     assert hit.mean() > 0.9 and miss.mean() < 0.05
 
 
+def test_p6_more_text_gives_the_same(spark):
+    """The same chunks once and twenty times: the same kinds of noise, for frequent misreadings, short words, long lines and breaks between frequent fragments."""
+    rnd = random.Random(12)
+    vocab = "the and lantern window garden harbour stranger forgotten merchant telegram village evening carried walked towards behind market bridge captain letter some thing other winter".split()
+    book = "The Remarkably Long and Winding Chronicle of the Old Harbour Village beside the Forgotten Northern Market Bridge"
+    texts = []
+    for k in range(90):
+        lines = [" ".join(rnd.choices(vocab, k=11)) for _ in range(6)]
+        if k % 9 == 0:
+            lines[2] = lines[2] + " thc lantcrn"
+        if k % 9 == 1:
+            lines[1], lines[2] = lines[1] + " stran-", "ger " + lines[2]
+        if k % 9 == 2:
+            lines.insert(3, book.upper())
+        if k % 9 == 3:
+            lines.insert(3, str(k))
+        texts.append("\n".join(lines))
+    rows = lambda n: [(k + 1000 * r, 1, k, k, k, "Chapter 1 Rain", x, T0, None) for r in range(n) for k, x in enumerate(texts)]
+    books = spark.createDataFrame([(1, book)], "book_id bigint, title string")
+    one, many = ({(r["chunk_key"] % 1000, r["noise"]) for r in scans.noise(spark.createDataFrame(rows(n), CHUNK), books).collect()} for n in (1, 20))
+    assert one == many == {(k, n) for k in range(90) for m, n in enumerate(("misread", "hyphenation", "header", "page_number")) if k % 9 == m}
+
+
+def test_p6_likeness_is_the_edit_distance():
+    rnd = random.Random(3)
+    for _ in range(300):
+        a = "".join(rnd.choices("abcd", k=rnd.randint(4, 70)))
+        b = "".join(c if rnd.random() > 0.15 else rnd.choice(["", "x", c + "y"]) for c in a)
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+            prev = row
+        n = max(len(a), len(b))
+        assert scans.similar(a, b) == (pytest.approx(1 - prev[-1] / n) if abs(len(a) - len(b)) <= 0.3 * n and min(len(a), len(b)) > 3 else float(a == b))
+
+
+def test_p6_quick_costs_agree():
+    rnd = random.Random(1)
+    for _ in range(3000):
+        w = x = rnd.choice(["lantern", "window", "clinic", "million", "minister", "riddle", "cluster"])
+        for _ in range(rnd.randint(0, 4)):
+            x = scans.corrupt(x, rnd)
+        x = x if rnd.random() > 0.3 else x[:2] + rnd.choice("xqz") + x[3:]
+        full, quick = scans.confusion_cost(w, x), scans.confusions(w, x, scans.MOST_COST)
+        assert quick == (pytest.approx(full) if full < scans.MOST_COST - 1e-9 else None)
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------
 def test_p7_groups_by_letters_and_digits(spark):
     raw = '{"Object" : "BO", "explanation":"x", "SUBJECT":"a.nn", "relation":"likes"}'
