@@ -35,6 +35,8 @@ RATIO = 6
 #: Two parts without a hyphen may be one word if it is this many times as frequent as they would meet by chance.
 APART = 1000
 Q = 3
+#: Less than what any change that is no known confusion costs.
+MOST_COST = 0.95
 #: Characters and what scanning makes of them.
 CONFUSIONS = (("e", "c"), ("a", "ä"), ("d", "cl"), ("o", "0"), ("l", "1"), ("n", "ri"), ("s", "5"), ("i", "!"), ("h", "b"), ("u", "ii"), ("g", "9"), ("b", "6"), ("w", "vv"), ("m", "rn"), ("v", "y"), ("li", "h"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("i", "1"), ("l", "i"), ("b", "8"), ("e", "f"), ("z", "2"), ("t", "+"), ("i", "l"), ("o", "c"), ("c", "e"), ("in", "m"), ("nn", "rm"), ("cl", "d"), ("q", "9"), ("o", "ö"), ("u", "ü"), ("l", "|"), ("i", "|"), ("s", "$"), ("y", "v"), ("t", "f"), ("n", "u"), ("u", "n"))
 HYPHENS = "-‐‑–¬­="
@@ -53,7 +55,8 @@ _PARAGRAPH = re.compile(r"[^\S\n]*\n\s*\n\s*")
 CLEAN = r"^[\p{L}'’-]{3,}$"
 #: Words with fewer characters are too like each other to tell a misreading from a word.
 SHORTEST = 3
-STRIPPED = "chunk_key bigint, noise array<string>, body string, asked array<string>"
+BREAK = "struct<k:int,a:string,b:string,hyphen:boolean,space:boolean>"
+STRIPPED = f"chunk_key bigint, noise array<string>, body string, breaks array<{BREAK}>, asked array<string>"
 PARSED = "chunk_key bigint, noise array<string>, rare array<string>, clean string"
 
 
@@ -97,10 +100,9 @@ def bare(token: str) -> str:
 
 
 def word_counts(chunks: DataFrame) -> DataFrame:
-    """(word, n): how often each word stands in all texts, letter case and outer punctuation ignored."""
-    tokens = F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\s\p{Z}]+")
-    edge = r"[.,;:!?\"“”‘’()\[\]{}—–…*•·«»_]+"
-    return chunks.select(F.explode(F.transform(tokens, lambda t: F.regexp_replace(t, f"^{edge}|{edge}$", ""))).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n): how often each word stands in all texts, letter case and outer punctuation ignored. Tokens are counted as they stand, and stripped once for each different token."""
+    tokens = chunks.select(F.explode(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\s\p{Z}]+")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    return tokens.select(F.btrim("t", F.lit(_EDGE)).alias("word"), "n").filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 # --- line pairs -------------------------------------------------------------------------------------------------
@@ -240,6 +242,26 @@ def confusion_cost(clean: str, seen: str) -> float:
     return best[n][m]
 
 
+def confusions(clean: str, seen: str, most: float) -> float | None:
+    """The cost of reading clean as seen by known confusions alone, None if that takes most or more. As confusion_cost, but quick to give up."""
+    best = most
+    open_ = [(0, 0, 0.0)]
+    while open_:
+        i, j, cost = open_.pop()
+        while i < len(clean) and j < len(seen) and clean[i] == seen[j]:
+            i, j = i + 1, j + 1
+        if i == len(clean) and j == len(seen):
+            best = min(best, cost)
+            continue
+        for a in (1, 2):
+            for b in (1, 2):
+                if i + a <= len(clean) and j + b <= len(seen):
+                    c = _COST.get((clean[i : i + a], seen[j : j + b]))
+                    if c is not None and cost + c < best:
+                        open_.append((i + a, j + b, cost + c))
+    return best if best < most else None
+
+
 def rank_features(seen: str, clean: str, n_seen: int, n_clean: int) -> list[float]:
     odd = sum(not c.isalpha() for c in seen) - sum(not c.isalpha() for c in clean)
     return [confusion_cost(clean, seen), math.log1p(n_clean) - math.log1p(n_seen), float(odd > 0), float(len(seen)), float(abs(len(seen) - len(clean))), float(any(ord(c) > 127 for c in seen) and not any(ord(c) > 127 for c in clean))]
@@ -297,11 +319,13 @@ def corrections(counts: DataFrame, rare: DataFrame, model: Boosted) -> DataFrame
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
+            # only words that confusions alone explain can be corrections
+            pdf = pdf[[confusions(c, w, MOST_COST) is not None for w, c in zip(pdf["word"], pdf["clean"], strict=True)]]
             if len(pdf):
                 f = np.array([rank_features(*r) for r in zip(pdf["word"], pdf["clean"], pdf["n"], pdf["n_clean"], strict=True)])
                 yield pdf[["word", "clean"]].assign(p=m.predict(f), cost=f[:, 0])
 
-    ranked = pairs.mapInPandas(score, "word string, clean string, p double, cost double").filter("p >= 0.5 AND cost < 0.95")
+    ranked = pairs.mapInPandas(score, "word string, clean string, p double, cost double").filter((F.col("p") >= 0.5) & (F.col("cost") < MOST_COST))
     return ranked.groupBy("word").agg(F.max_by("clean", F.struct(F.col("p"), -F.col("cost"), F.col("clean"))).alias("fixed"))
 
 
@@ -379,14 +403,14 @@ def asked(found: list[tuple[int, str, str, bool, bool]], common: Mapping[str, in
     return sorted(out)
 
 
-def mend(body: str, common: dict[str, int], others: dict[str, int], total: int, misread: set[str] | frozenset[str], joins: Logistic) -> tuple[bool, list[str], str]:
+def mend(body: str, common: dict[str, int], others: dict[str, int], total: int, misread: set[str] | frozenset[str], joins: Logistic, found: list[tuple[int, str, str, bool, bool]] | None = None) -> tuple[bool, list[str], str]:
     """(whether words were broken, words that may be misread, text with joined words and paragraphs on one line).
 
-    others: counts of words that aren't common. total: the count of all words. misread: the common words that have a correction; any word that isn't common may have one.
+    others: counts of words that aren't common. total: the count of all words. misread: the common words that have a correction; any word that isn't common may have one. found: the breaks of body, if they are known.
     """
     known = ChainMap(others, common)
     glue, met, where = {}, [], []
-    for k, a, b, hyphen, space in breaks(body, common):
+    for k, a, b, hyphen, space in breaks(body, common) if found is None else found:
         if not hyphen and not one_word(a, b, known, total):
             continue
         met.append(join_features(a, b, hyphen, space, known))
@@ -432,15 +456,16 @@ def parsed(chunks: DataFrame, books: DataFrame, counts: DataFrame, common: dict[
             rows = []
             for r in b.to_pylist():
                 noise, body = strip(r["text"], r["title"], r["chapter"], r["heads"] or [], (r["page_start"], r["page_end"]), furniture)
-                rows.append({"chunk_key": r["chunk_key"], "noise": noise, "body": body, "asked": asked(breaks(body, common), common, total)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk_key", pa.int64()), ("noise", pa.list_(pa.string())), ("body", pa.string()), ("asked", pa.list_(pa.string()))]))
+                met = breaks(body, common)
+                rows.append({"chunk_key": r["chunk_key"], "noise": noise, "body": body, "breaks": [dict(zip(("k", "a", "b", "hyphen", "space"), x, strict=True)) for x in met], "asked": asked(met, common, total)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk_key", pa.int64()), ("noise", pa.list_(pa.string())), ("body", pa.string()), ("breaks", pa.list_(pa.struct([("k", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("hyphen", pa.bool_()), ("space", pa.bool_())]))), ("asked", pa.list_(pa.string()))]))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, _, joins, misread = held.value
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                broken, rare, clean = mend(r["body"], common, dict(r["others"] or []), total, misread, joins)
+                broken, rare, clean = mend(r["body"], common, dict(r["others"] or []), total, misread, joins, [(x["k"], x["a"], x["b"], x["hyphen"], x["space"]) for x in r["breaks"]])
                 rows.append({"chunk_key": r["chunk_key"], "noise": sorted([*r["noise"], *["hyphenation"] * broken]), "rare": rare, "clean": clean})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk_key", pa.int64()), ("noise", pa.list_(pa.string())), ("rare", pa.list_(pa.string())), ("clean", pa.string())]))
 
