@@ -40,7 +40,7 @@ DEPTHS = (8, 12, 16, 24, 32, 48, 64, 96)
 #: Pairs with a budget over this have none but the full one: their sketches are too full to tell them apart.
 MOST_BUDGET = 256
 #: Tries with more records than this are worked on as pairs of parts.
-PART = 2048
+PART = 4096
 #: Node pairs with at most this many record pairs are compared at once.
 LEAF = 32
 #: Up to this many records with candidates, their ids (8 bytes each) are broadcast to keep the others out of the check's shuffle.
@@ -80,8 +80,8 @@ def budgets(loss: float) -> np.ndarray:
     return out
 
 
-def _plant(batches: Iterator[pa.RecordBatch], n_trees: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """One row per record and tree: the trie it is in, its id, its sketch and its number of words."""
+def _plant(batches: Iterator[pa.RecordBatch], n_trees: int, rows: int, paths_only: bool = False) -> Iterator[pa.RecordBatch]:
+    """One row per record and tree: the trie it is in, its id, its sketch and its number of words; or only the trie."""
     rng = np.random.default_rng(20240229)
     mult = rng.integers(1, 1 << 63, n_trees * (rows + 1), dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 1 << 63, n_trees * (rows + 1), dtype=np.uint64)
@@ -105,9 +105,14 @@ def _plant(batches: Iterator[pa.RecordBatch], n_trees: int, rows: int) -> Iterat
                     k = (k ^ np.minimum.reduceat(h, starts)) * _MIX
                     k ^= k >> np.uint64(31)
                 keys[:, t] = k
+                if paths_only:
+                    continue
                 bit = ((flat + add[t * (rows + 1) + rows]) * mult[t * (rows + 1) + rows] >> np.uint64(57)).astype(np.int64)
                 flips = np.bincount(owner + bit, minlength=len(n) * BITS).reshape(len(n), BITS) & 1
                 sketch[:, t] = np.packbits(flips.astype(np.uint8), axis=1).view(">u8")
+            if paths_only:
+                yield pa.RecordBatch.from_pydict({"trie": pa.array(keys.reshape(-1).view(np.int64))})
+                continue
             ids = c.column(0).to_numpy(zero_copy_only=False)
             s = sketch.reshape(-1, 2)
             yield pa.RecordBatch.from_pydict(
@@ -271,30 +276,35 @@ def _walk(batches: Iterator[pa.RecordBatch], share: float, loss: float) -> Itera
         yield from join(pa.Table.from_batches(held).combine_chunks())
 
 
-def _hot(planted: DataFrame, part: int) -> DataFrame:
-    """(trie, size, most) of the tries of more than part records. Where there are few partitions, only tries that are large in one of them are counted over all: every hot trie is."""
-    parts = max(1, planted.rdd.getNumPartitions())
-    least = part // parts
+def _may_be_hot(reps: DataFrame, n_trees: int, rows: int, part: int) -> DataFrame | None:
+    """(trie) of all tries of more than part records, and some smaller ones; None where there are too many partitions to tell: a trie of more than part records has more than its share of them in one partition."""
+    least = part // max(1, reps.rdd.getNumPartitions())
+    if least < 8:
+        return None
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = [b.column(0).to_numpy() for b in batches]
+        tries = [b.column(0).to_numpy() for b in _plant(batches, n_trees, rows, paths_only=True)]
         if tries:
             t, n = np.unique(np.concatenate(tries), return_counts=True)
             yield pa.RecordBatch.from_pydict({"trie": pa.array(t[n > least])})
 
-    rows = planted
-    if least >= 8:
-        some = cut(planted.select("trie").mapInArrow(large, "trie bigint").distinct())
-        rows = planted.join(F.broadcast(some) if some.count() <= 100_000 else some, "trie", "left_semi")
-    return rows.groupBy("trie").agg(F.count("*").alias("size"), F.max("n").alias("most")).filter(F.col("size") > part)
+    return cut(reps.mapInArrow(large, "trie bigint").distinct())
 
 
-def _split_hot(planted: DataFrame, part: int, share: float, loss: float) -> DataFrame:
+def _node_pairs(reps: DataFrame, n_trees: int, rows: int, part: int, share: float, loss: float) -> DataFrame:
     """(trie, id, s0, s1, code) of every record in each of its node pairs, see ``_walk``. A trie of more than part records is cut at a depth that makes its nodes small; its node pairs within the budget of that depth are worked on apart.
 
     Where one node still holds more, because its records are alike, the trie's nodes are cut once more by a hash of the id, so that no task holds more than two pieces of about part records.
     """
-    sizes = cut(_hot(planted, part))
+    planted = reps.mapInArrow(lambda b: _plant(b, n_trees, rows), "trie bigint, id bigint, s0 bigint, s1 bigint, n int")
+    whole = lambda df: df.select("trie", "id", "s0", "s1", (F.col("n") * 4).alias("code"))
+    some = _may_be_hot(reps, n_trees, rows, part)
+    number = None if some is None else some.count()
+    if number == 0:
+        return whole(planted)
+    planted = cut(planted)
+    counted = planted if some is None else planted.join(F.broadcast(some) if number <= 100_000 else some, "trie", "left_semi")
+    sizes = cut(counted.groupBy("trie").agg(F.count("*").alias("size"), F.max("n").alias("most")).filter(F.col("size") > part))
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         caps = budgets(loss)
@@ -315,14 +325,14 @@ def _split_hot(planted: DataFrame, part: int, share: float, loss: float) -> Data
     mine, other = F.col("own") * F.col("pieces") + F.col("piece"), F.col("own").bitwiseXOR(F.col("mask")) * F.col("pieces") + F.col("there")
     apart = (mine != other).cast("int")
     split = met.select(F.xxhash64("trie", F.least(mine, other), F.greatest(mine, other)).alias("trie"), "id", "s0", "s1", (F.col("n") * 4 + 2 * apart + apart * (mine > other).cast("int")).alias("code"))
-    whole = planted.join(near(hot.select("trie")), "trie", "left_anti").select("trie", "id", "s0", "s1", (F.col("n") * 4).alias("code"))
-    return whole.unionByName(split)
+    return whole(planted.join(near(hot.select("trie")), "trie", "left_anti")).unionByName(split)
 
 
 def event_words(events: DataFrame, key: str = "event_key", texts: tuple[str, ...] = ("summary", "explanation")) -> DataFrame:
     """(key, at, words, h) of every delivery; null keys are left out, null texts count as empty. h: 128 bits of hash of the set of words."""
     rows = events.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col("loaded_at").alias("at"), words_of(*texts).alias("words"))
-    return rows.withColumn("h", F.struct(F.xxhash64("words").alias("x"), F.xxhash64(F.lit(7), "words").alias("y")))
+    # words are taken out of the texts once; what follows reads them three times
+    return cut(rows.withColumn("h", F.struct(F.xxhash64("words").alias("x"), F.xxhash64(F.lit(7), "words").alias("y"))))
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -346,8 +356,7 @@ def links(rows: DataFrame, threshold: float = 0.8, n_rows: int = ROWS, miss: flo
     loss = LOSS if 0 < miss and threshold < 1 else 0.0
     share = (1 - threshold) / (1 + threshold)
     n_trees, n_rows = trees(threshold, n_rows, miss), n_rows if miss > 0 else 0
-    planted = cut(spread(reps.select("rep", "words")).mapInArrow(lambda b: _plant(b, n_trees, n_rows), "trie bigint, id bigint, s0 bigint, s1 bigint, n int"))
-    ready = _split_hot(planted, part, share, loss)
+    ready = _node_pairs(spread(reps.select("rep", "words")), n_trees, n_rows, part, share, loss)
     sorted_ = ready.repartition("trie").sortWithinPartitions("trie")
     near = cut(sorted_.mapInArrow(lambda b: _walk(b, share, loss), "a bigint, b bigint").distinct())
     ids = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
