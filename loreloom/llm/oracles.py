@@ -35,6 +35,13 @@ def _p4(kind: str, name: str, key: str) -> str:
   FROM {name} t LEFT JOIN extractors x ON x.extractor = t.extractor WHERE {key} IS NOT NULL AND {_NAME} <> '')) GROUP BY book_id, norm HAVING count(DISTINCT key) > 1 AND bool_or(ok)"""
 
 
+def _p4_sources(kind: str, name: str, key: str) -> str:
+    same = "i.book_id IS NOT DISTINCT FROM g.book_id AND i.norm = g.norm"
+    return rf"""SELECT g.kind, g.first_key, g.best_key, coalesce(to_json(i.ids)::VARCHAR, '[]') AS source_chunk_ids FROM ({_p4(kind, name, key).replace("SELECT '", "SELECT book_id, norm, '", 1).replace(" AND bool_or(ok)", "")}) g LEFT JOIN
+ (SELECT book_id, norm, list_sort(list(DISTINCT id)) AS ids FROM (SELECT book_id, {_NAME} AS norm, unnest(source_chunk_ids) AS id FROM {name} WHERE {key} IS NOT NULL AND {_NAME} <> '') WHERE id IS NOT NULL GROUP BY 1, 2) i ON {same}"""
+
+
+P4_SOURCES = " UNION ALL ".join(_p4_sources(*x) for x in (("character", "character_extractions", "char_key"), ("location", "location_extractions", "loc_key")))
 P4 = _p4("character", "character_extractions", "char_key") + " UNION ALL " + _p4("location", "location_extractions", "loc_key")
 
 P5 = f"""SELECT DISTINCT chunk_key FROM chunks WHERE len(list_filter(string_split_regex(coalesce(text, ''), '{WS}+'), lambda w: w <> '')) > (SELECT limit_value FROM limits WHERE limit_name = 'chunk_max')"""
@@ -65,4 +72,4 @@ def _grams(x: str) -> str:
 P9 = f"""WITH i AS (SELECT item_id, {_words('passage')} AS w FROM test_items UNION ALL SELECT item_id, {_words('question')} FROM test_items), ig AS (SELECT DISTINCT item_id, unnest({_grams('w')}) AS g FROM i WHERE len(w) >= 12),
  d AS (SELECT doc_id, {_words('text')} AS w FROM documents), dg AS (SELECT doc_id, unnest({_grams('w')}) AS g FROM d WHERE len(w) >= 12) SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 
-SQL = {"p1_found": P1, "p1_groups": P1_GROUPS, "p5_invariants": P5_INVARIANTS, "p8_invariants": P8_INVARIANTS, "p8_usage": P8_USAGE, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p7_collapsed": P7_COLLAPSED, "p9_found": P9}
+SQL = {"p1_found": P1, "p1_groups": P1_GROUPS, "p4_sources": P4_SOURCES, "p5_invariants": P5_INVARIANTS, "p8_invariants": P8_INVARIANTS, "p8_usage": P8_USAGE, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p7_collapsed": P7_COLLAPSED, "p9_found": P9}

@@ -51,6 +51,12 @@ def p4_locations(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "location_extractions"), table(spark, d, "extractors"), "loc_key")
 
 
+def p4_sources(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, first_key, best_key, source_chunk_ids as JSON) of every survivor, whether or not a member has a usable description."""
+    one = lambda df, kind: df.select(F.lit(kind).alias("kind"), "first_key", "best_key", F.coalesce(F.to_json("source_chunk_ids"), F.lit("[]")).alias("source_chunk_ids"))
+    return one(p4_characters(spark, d), "character").unionByName(one(p4_locations(spark, d), "location"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.found(table(spark, d, "chunks"), limit_of(spark, d, "chunk_max"), limit_of(spark, d, "chunk_overlap"))
 
