@@ -35,4 +35,4 @@ def items(parts: dict[str, DataFrame]) -> DataFrame:
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "world_item_id") -> DataFrame:
     """df with ids from 0 in the given order (which must be unique): ranges are sorted apart, and each starts where the sizes of those before end."""
-    return numbered(df, [], order, name)
+    return numbered(df, order, name)

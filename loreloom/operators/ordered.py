@@ -1,4 +1,8 @@
-"""Numbers and carried values along an order, without one task for each group: rows are sorted by ranges, and each range starts where the one before ended."""
+"""Numbers and carried values along an order, without one task for each group.
+
+Within groups, rows are worked on in buckets: runs of the order that the caller names, so small that each fits a task. What a bucket starts with is worked out from one row for each bucket.
+Without groups, rows are sorted by ranges, and each range starts where the one before ended.
+"""
 
 from __future__ import annotations
 
@@ -6,135 +10,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreloom.session import cut
 
-START = "\x00start"
-
-
-def ranges(df: DataFrame, order: list[str]) -> DataFrame:
-    """df sorted into ranges of order, with the number of its range in _p. A large group lies in several ranges."""
-    return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
-
-
-def _runs(b: pa.RecordBatch, by: list[str], last: object) -> tuple[np.ndarray, list]:
-    """Where a group begins in a batch, and the key of each row; last: the key of the row before the batch."""
-    keys = list(zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in by], strict=True)) if by else [()] * b.num_rows
-    before = [last, *keys[:-1]]
-    return np.array([x != y for x, y in zip(keys, before, strict=True)]), keys
-
 
-def _with(b: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
-    names = [n for n in b.schema.names if n != "_p"]
-    return pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), *columns.values()], [*names, *columns])
-
-
-def _schema(df: DataFrame, added: str) -> str:
-    return ", ".join([*(f"`{n}` {k}" for n, k in df.dtypes if n != "_p"), added])
-
-
-def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+def placed(df: DataFrame, by: str, order: list[str], name: str, bucket: Column) -> DataFrame:
     """df with name, a bigint: the position of each row, from 0, among the rows of its group in the given order, which must be unique in the group.
 
-    by may be empty; then all rows are one group. The driver holds one number for each range.
+    bucket must not fall as the order rises. Rows of a null group are left out.
     """
-    parts = ranges(df, [*by, *order])
-    # the group that a range begins with may have begun before; all others begin in their range
-    edges = parts.groupBy("_p", *by).agg(F.count("*").alias("n"))
-    if by:
-        head = parts.groupBy("_p").agg(F.min(F.struct(*by)).alias("lo"), F.max(F.struct(*by)).alias("hi"))
-        e, h = edges.alias("e"), head.alias("h")
-        at = F.struct(*[F.col(f"e.{c}") for c in by])
-        edges = e.join(h, F.col("e._p") == F.col("h._p")).filter(at.eqNullSafe(F.col("h.lo")) | at.eqNullSafe(F.col("h.hi"))).select("e.*")
-    sizes: dict[int, dict[tuple, int]] = {}
-    for r in edges.collect():  # at most two rows for each range
-        sizes.setdefault(r["_p"], {})[tuple(r[c] for c in by)] = r["n"]
-    seen: dict[tuple, int] = {}
-    start: dict[int, dict[tuple, int]] = {}
-    for p in sorted(sizes):
-        start[p] = {k: seen.get(k, 0) for k in sizes[p]}
-        for k, n in sizes[p].items():
-            seen[k] = seen.get(k, 0) + n
+    d = df.filter(F.col(by).isNotNull()).withColumn("_b", bucket)
+    d = d.withColumn("_at", F.row_number().over(Window.partitionBy(by, "_b").orderBy(*order)))
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    s = d.groupBy(by, "_b").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return d.join(s.select(by, "_b", "_base"), [by, "_b"]).withColumn(name, F.col("_base") + F.col("_at") - 1).drop("_b", "_at", "_base")
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, at, p = START, 0, -1
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ps = b.column(b.schema.get_field_index("_p")).to_numpy()
-            new, keys = _runs(b, by, last)
-            new |= np.diff(ps, prepend=p) != 0
-            bounds = np.unique(np.concatenate([[0], np.flatnonzero(new), [b.num_rows]]))
-            out = np.empty(b.num_rows, np.int64)
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                if new[s]:
-                    at = start.get(int(ps[s]), {}).get(keys[s], 0)
-                out[s:e] = np.arange(at, at + e - s)
-                at += int(e - s)
-            last, p = keys[-1], ps[-1]
-            yield _with(b, **{name: pa.array(out)})
-
-    return parts.mapInArrow(number, _schema(parts, f"`{name}` bigint"))
 
-
-def carried(df: DataFrame, by: list[str], order: list[str], value: str, default: str, name: str, runs: str) -> DataFrame:
+def carried(df: DataFrame, by: str, order: list[str], value: str, default: str, name: str, runs: str, bucket: Column) -> DataFrame:
     """df with name, the last non-null value so far in its group (default before the first), and runs, the number of times that changed since the group's first row.
 
-    The first pass tells of each range how its last group ends; the driver holds one row for each range.
+    bucket must not fall as the order rises, and the order must be unique in the group. Rows of a null group are left out.
     """
-    parts = ranges(df, [*by, *order])
+    d = df.filter(F.col(by).isNotNull()).withColumn("_b", bucket)
+    w = Window.partitionBy(by, "_b").orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    v, o = F.col(value), F.struct(*order)
+    d = d.withColumn("_in", F.last(value, ignorenulls=True).over(so_far))
+    d = d.withColumn("_step", F.when(v != F.lag("_in").over(w), 1).otherwise(0)).withColumn("_steps", F.sum("_step").over(so_far))
+    told = F.when(v.isNotNull(), o)
+    s = d.groupBy(by, "_b").agg(F.min_by(v, o).alias("_first"), F.min_by(v, told).alias("_opens"), F.max_by(v, told).alias("_ends"), F.sum("_step").alias("_inner"))
+    whole = Window.partitionBy(by).orderBy("_b")
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    # the first row of a group changes nothing
+    s = s.withColumn("_carry", F.coalesce(F.last("_ends", ignorenulls=True).over(before), F.when(F.row_number().over(whole) == 1, F.col("_first")), F.lit(default)))
+    s = s.withColumn("_enters", F.when(F.col("_opens") != F.col("_carry"), 1).otherwise(0))
+    s = s.withColumn("_base", F.coalesce(F.sum(F.col("_inner") + F.col("_enters")).over(before), F.lit(0)))
+    out = d.join(s.select(by, "_b", "_carry", "_enters", "_base"), [by, "_b"])
+    count = F.col("_base") + F.col("_steps") + F.when(F.col("_in").isNotNull(), F.col("_enters")).otherwise(0)
+    return out.withColumn(name, F.coalesce("_in", "_carry")).withColumn(runs, count.cast("int")).drop("_b", "_in", "_step", "_steps", "_carry", "_enters", "_base")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with name, a bigint: the position of each row, from 0, in the given order, which must be unique. The driver holds one number for each range."""
+    parts = cut(cut(df).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect()}
+    start = dict(zip(sorted(sizes), np.cumsum([0, *[sizes[p] for p in sorted(sizes)]])[:-1].tolist(), strict=True))
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, list, list]]:
-        """Each batch with the range, the key and the value of its rows."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for b in batches:
-            if b.num_rows:
-                col = lambda c, b=b: b.column(b.schema.get_field_index(c)).to_pylist()
-                yield b, col("_p"), list(zip(*[col(c) for c in by], strict=True)), col(value)
-
-    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each range: its first and last key, and of the last one whether its first row has a value, its first value, its last value and its changes after the first."""
-        rows: dict[int, list] = {}
-        for _, ps, keys, values in walk(batches):
-            for p, key, v in zip(ps, keys, values, strict=True):
-                r = rows.get(p)
-                if r is None:
-                    r = rows[p] = [key, key, v is not None, None, None, 0]
-                elif r[1] != key:
-                    r[1:] = [key, v is not None, None, None, 0]
-                if v is not None:
-                    if r[3] is None:
-                        r[3] = v
-                    elif v != r[4]:
-                        r[5] += 1
-                    r[4] = v
-        yield pa.RecordBatch.from_pylist([{"p": p, "first": repr(r[0]), "last": repr(r[1]), "at_once": r[2], "opens": r[3], "ends": r[4], "changes": r[5]} for p, r in rows.items()], pa.schema([("p", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("at_once", pa.bool_()), ("opens", pa.string()), ("ends", pa.string()), ("changes", pa.int32())]))
-
-    told = parts.select("_p", *by, value).mapInArrow(summary, "p int, first string, last string, at_once boolean, opens string, ends string, changes int").collect()
-    begin: dict[int, tuple[str, str, int]] = {}
-    state = (START, default, 0)
-    for r in sorted(told, key=lambda r: r["p"]):
-        begin[r["p"]] = state
-        goes_on = r["first"] == r["last"] == state[0]
-        now, count = state[1:] if goes_on else (r["opens"] if r["at_once"] else default, 0)
-        count += (r["opens"] is not None and r["opens"] != now) + r["changes"]
-        state = (r["last"], r["ends"] if r["ends"] is not None else now, count)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, now, count = (None, START), default, 0
-        for b, ps, keys, values in walk(batches):
-            names, counts = [], []
-            for p, key, v in zip(ps, keys, values, strict=True):
-                if at != (p, key):
-                    at = (p, key)
-                    k, now, count = begin.get(p, (START, default, 0))
-                    if k != repr(key):
-                        now, count = default if v is None else v, 0
-                if v is not None and v != now:
-                    now, count = v, count + 1
-                names.append(now)
-                counts.append(count)
-            yield _with(b, **{name: pa.array(names, pa.string()), runs: pa.array(counts, pa.int32())})
-
-    return parts.mapInArrow(run, _schema(parts, f"`{name}` string, `{runs}` int"))
+            at = b.schema.get_field_index("_p")
+            ps = b.column(at).to_numpy()
+            out = np.empty(b.num_rows, np.int64)
+            for p in np.unique(ps).tolist():  # one, unless ranges were put together
+                rows = np.flatnonzero(ps == p)
+                out[rows] = start[p] + seen.get(p, 0) + np.arange(len(rows))
+                seen[p] = seen.get(p, 0) + len(rows)
+            rest = [k for k in range(b.num_columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(out)], [*(b.schema.names[k] for k in rest), name])
+
+    return parts.mapInArrow(number, ", ".join([*(f"`{n}` {k}" for n, k in parts.dtypes if n != "_p"), f"`{name}` bigint"]))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.functions import text as t
-from loreloom.operators.ordered import carried, numbered
+from loreloom.operators.ordered import carried, placed
 
 TARGET, MOST, LEAST, PIECE = 220, 300, 25, 220
 FIRST_CHAPTER = "Story Beginning"
@@ -23,11 +23,11 @@ def story_start(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     return pages.groupBy(doc).agg(F.coalesce(F.min(F.when(~toc & headed, F.col("page"))), F.min(F.when(~toc & full, F.col("page"))), F.lit(1)).alias("start"))
 
 
-def carry_chapters(blocks: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("page", "block_ord")) -> DataFrame:
-    """blocks with is_heading, chapter (the last heading so far) and island (runs of one chapter). A very long document lies in many tasks."""
+def carry_chapters(blocks: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("page", "block_ord"), span: int = 64) -> DataFrame:
+    """blocks with is_heading, chapter (the last heading so far) and island (runs of one chapter). A task takes span of the first column of the order, so a very long document lies in many. Blocks without a document are left out."""
     h = blocks.withColumn("is_heading", t.is_heading(F.col("text")))
     h = h.withColumn("_heading", F.when(F.col("is_heading"), t.clean_text(F.col("text"))))
-    return carried(h, [doc], list(order), "_heading", FIRST_CHAPTER, "chapter", "island").drop("_heading")
+    return carried(h, doc, list(order), "_heading", FIRST_CHAPTER, "chapter", "island", F.floor(F.col(order[0]) / span)).drop("_heading")
 
 
 def headings(blocks: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("page", "block_ord")) -> DataFrame:
@@ -83,7 +83,7 @@ def chunks(blocks: DataFrame, doc: str = "doc_id", order: tuple[str, str] = ("bl
         F.min_by("page", o).alias("page_start"), F.max_by("page", o).alias("page_end"), F.min_by("chapter", o).alias("chapter"), F.sum("words").cast("int").alias("word_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), "text"))), lambda x: x["text"]), "\n\n").alias("text")
     )
     kept = g.filter(F.col("word_count") >= LEAST)
-    return numbered(kept, [doc], ["island", "seq"], "chunk_id").select(doc, F.col("chunk_id").cast("int").alias("chunk_id"), "page_start", "page_end", "chapter", "word_count", "text")
+    return placed(kept, doc, ["island", "seq"], "chunk_id", F.col("island")).select(doc, F.col("chunk_id").cast("int").alias("chunk_id"), "page_start", "page_end", "chapter", "word_count", "text")
 
 
 def first_chunks(todo: DataFrame, most: int | None, *order: str) -> DataFrame:
@@ -92,6 +92,6 @@ def first_chunks(todo: DataFrame, most: int | None, *order: str) -> DataFrame:
 
 
 def batches(todo: DataFrame, done: DataFrame, key: str = "chunk_id", by: str = "book_id", size: int = 18) -> DataFrame:
-    """Rows of todo not in done, with a batch number: runs of size rows in order of key within each group."""
+    """Rows of todo not in done, with a batch number: runs of size rows in order of key (a number) within each group. Rows of a null group are left out."""
     left = todo.join(done.select(by, key).distinct(), [by, key], "left_anti")
-    return numbered(left, [by], [key], "_n").withColumn("batch", F.floor(F.col("_n") / size).cast("int")).drop("_n")
+    return placed(left, by, [key], "_n", F.floor(F.col(key) / 4096)).withColumn("batch", F.floor(F.col("_n") / size).cast("int")).drop("_n")

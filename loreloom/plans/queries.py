@@ -99,7 +99,7 @@ PIECES = f"""{CHAPTERS}, w AS (SELECT *, {words_sql('text')} AS ws FROM isl),
 
 def chaptered(spark: SparkSession, d: str) -> DataFrame:
     """The blocks from the start of each story on, with their chapters."""
-    return segment.carry_chapters(segment.from_start(blocks(spark, d), story_starts(spark, d)), order=("block_ord",))
+    return segment.carry_chapters(segment.from_start(blocks(spark, d), story_starts(spark, d)), order=("block_ord",), span=64 * PLACE)
 
 
 def names(spark: SparkSession, d: str, name: str = "character_extractions", key: str = "char_key") -> DataFrame:
@@ -452,7 +452,7 @@ def world_items(spark: SparkSession, d: str) -> DataFrame:
 def character_list(spark: SparkSession, d: str) -> DataFrame:
     c = merge.once(table(spark, d, "character_extractions"), "char_key").filter(t.norm_ws(F.col("name")) != "")
     n = c.groupBy("name").agg(F.min("char_key").alias("ord")).withColumn("_low", F.lower("name"))
-    return numbered(n, [], ["_low", "ord"], "place").drop("_low")
+    return numbered(n, ["_low", "ord"], "place").drop("_low")
 
 
 # --- contexts ---------------------------------------------------------------------------------------------------
