@@ -53,9 +53,15 @@ def word_count(c: Column) -> Column:
     return F.size(words(c))
 
 
+def _may_be_heading(c: Column) -> Column:
+    """Whether the text may have at most 150 characters when it is cleaned: of a long one, its beginning tells."""
+    x = text_or_empty(c)
+    return (F.length(x) <= 150) | (F.length(clean_text(F.left(x, F.lit(400)))) <= 150)
+
+
 def is_primary_heading(c: Column) -> Column:
     x = clean_text(c)
-    return (x != "") & (F.length(x) <= 150) & x.rlike(r"(?i)^(chapter|part|book)\s+([0-9]+|[ivxlcdm]+)\.?(\s+.*)?$")
+    return _may_be_heading(c) & (x != "") & (F.length(x) <= 150) & x.rlike(r"(?i)^(chapter|part|book)\s+([0-9]+|[ivxlcdm]+)\.?(\s+.*)?$")
 
 
 def is_heading(c: Column) -> Column:
@@ -63,7 +69,7 @@ def is_heading(c: Column) -> Column:
     x = clean_text(c)
     n = F.size(F.split(x, " "))
     capitals = n.between(2, 10) & (F.upper(x) == x) & ~x.rlike(r"\p{Nd}") & x.rlike(r"\p{L}")
-    return is_primary_heading(c) | (x != "") & (F.length(x) <= 150) & (x.rlike(r"^[IVXLCDM]+\.\s+[A-Za-z]") | capitals)
+    return _may_be_heading(c) & (is_primary_heading(c) | (x != "") & (F.length(x) <= 150) & (x.rlike(r"^[IVXLCDM]+\.\s+[A-Za-z]") | capitals))
 
 
 def is_toc_page(c: Column) -> Column:
@@ -71,7 +77,10 @@ def is_toc_page(c: Column) -> Column:
     low = F.lower(text_or_empty(c))
     lines = F.filter(F.transform(F.split(text_or_empty(c), r"\r\n|[\n\x0b\f\r]"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
     many = lambda p, k: F.size(F.filter(lines, lambda x: x.rlike(p))) >= k
-    return low.contains("table of contents") | low.rlike(r"\bcontents\b") | many(r"\.{4,}", 2) | many(r"\s\d{1,4}\s*$", 5)
+    # lines are looked at one by one only where the whole text has what they need
+    dots = low.contains("....") & many(r"\.{4,}", 2)
+    numbers = (F.regexp_count(low, F.lit(r"\d\s*(?:[\n\x0b\f\r]|$)")) >= 5) & many(r"\s\d{1,4}\s*$", 5)
+    return low.contains("contents") & (low.contains("table of contents") | low.rlike(r"\bcontents\b")) | dots | numbers
 
 
 def is_text_block(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loreloom.functions import text as t
 from loreloom.operators.ordered import carried, placed
+from loreloom.session import cut
 
 TARGET, MOST, LEAST, PIECE = 220, 300, 25, 220
 FIRST_CHAPTER = "Story Beginning"
@@ -20,7 +21,7 @@ def story_start(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     toc = t.is_toc_page(F.col("raw_text"))
     headed = F.exists("blocks", lambda b: t.is_primary_heading(b))
     full = F.size(F.filter(F.split(F.array_join("blocks", " "), t.WS), lambda w: w != "")) >= 150
-    return pages.groupBy(doc).agg(F.coalesce(F.min(F.when(~toc & headed, F.col("page"))), F.min(F.when(~toc & full, F.col("page"))), F.lit(1)).alias("start"))
+    return pages.groupBy(doc).agg(F.coalesce(F.min(F.when(headed & ~toc, F.col("page"))), F.min(F.when(full & ~toc, F.col("page"))), F.lit(1)).alias("start"))
 
 
 def carry_chapters(blocks: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("page", "block_ord"), span: int = 64) -> DataFrame:
@@ -44,8 +45,8 @@ def split_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks over MOST words as pieces of PIECE words; other blocks as piece 0. Adds piece and words."""
     w = blocks.withColumn("_w", t.words(F.col("text")))
     n = F.size("_w")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PIECE)), lambda i: F.array_join(F.slice(F.col("_w"), i + 1, F.lit(PIECE)), " "))
-    out = w.select("*", F.posexplode(F.when(n > MOST, cut).otherwise(F.array("text"))).alias("piece", "_text")).drop("_w", "text").withColumnRenamed("_text", "text")
+    slices = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PIECE)), lambda i: F.array_join(F.slice(F.col("_w"), i + 1, F.lit(PIECE)), " "))
+    out = w.select("*", F.posexplode(F.when(n > MOST, slices).otherwise(F.array("text"))).alias("piece", "_text")).drop("_w", "text").withColumnRenamed("_text", "text")
     return out.withColumn("words", t.word_count(F.col("text")))
 
 
@@ -77,6 +78,7 @@ def chunk_members(blocks: DataFrame, doc: str = "doc_id", order: tuple[str, str]
 
 def chunks(blocks: DataFrame, doc: str = "doc_id", order: tuple[str, str] = ("block_ord", "piece")) -> DataFrame:
     """(doc, chunk_id, page_start, page_end, chapter, word_count, text) from blocks with doc, their order, page, chapter, island, words, text. Chunks under LEAST words are dropped before ids are given."""
+    blocks = cut(blocks)  # read by the fold and for the texts
     m = chunk_members(blocks, doc, order).join(blocks, [doc, "island", *order])
     o = F.struct(*order)
     g = m.groupBy(doc, "island", "seq").agg(

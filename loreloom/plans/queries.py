@@ -11,7 +11,7 @@ from loreloom.functions import text as t
 from loreloom.operators import evaluate, graph, index, merge, resolve, retrieve, segment
 from loreloom.operators.ordered import numbered
 from loreloom.plans import prompts
-from loreloom.session import table
+from loreloom.session import cut, table
 from loreloom.sources.schemas import SOURCE
 from loreloom.streaming import incremental
 
@@ -360,14 +360,17 @@ def _statements_sql(where: str) -> str:
 
 
 def maps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The alias maps of characters and of locations."""
-    return resolve.alias_map(resolve.same_names(names(spark, d))), resolve.longest_names(names(spark, d, "location_extractions", "loc_key"))
+    """The alias maps of characters and of locations, written down since several columns are looked up in them."""
+    return cut(resolve.alias_map(resolve.same_names(names(spark, d)))), cut(resolve.longest_names(names(spark, d, "location_extractions", "loc_key")))
 
 
 def _statements(spark: SparkSession, d: str, where: str) -> DataFrame:
     first, second = maps(spark, d)
     r = resolve.resolve(resolve.resolve(relations(spark, d).filter(where), "subject", first, second), "object", first, second)
-    by = {"book": F.col("book_id"), "s": t.norm_nfkc(F.col("subject")), "r": t.norm_nfkc(F.col("relation")), "o": t.norm_nfkc(F.col("object"))}
+    keys = {"s": "subject", "r": "relation", "o": "object"}
+    # keys are worked out once for the merge and for the sources
+    r = cut(r.select("book_id", "rel_key", "subject", "object", "explanation", "source_chunk_ids", *[t.norm_nfkc(F.col(c)).alias(f"_{k}") for k, c in keys.items()]))
+    by = {"book": F.col("book_id"), **{k: F.col(f"_{k}") for k in keys}}
     out = merge.ordered_merge(r, by, "rel_key", ("subject", "object", "explanation"), sources="source_chunk_ids", keep_blank=True).withColumn("sources", F.to_json("sources"))
     return out.withColumns({c: t.text_or_empty(F.col(c)) for c in ("subject", "object", "explanation")})
 
