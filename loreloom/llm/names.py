@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreloom.operators.skew import halves
-from loreloom.session import by_key, cut
+from loreloom.session import by_key, cut, shuffled
 
 #: Given names with their usual short forms.
 SHORT_FORMS = (
@@ -387,18 +387,18 @@ def resolve(characters: DataFrame, aliases: DataFrame) -> DataFrame:
         members = nodes.groupBy("book_id", "entity").agg(F.max_by("kind", _rank(F.col("kind"))).alias("kind"), *[F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in MERGED[1:]], F.max("fresh").alias("fresh"))
         profiles = cut(members.select("book_id", "entity", "fresh", "kind", F.to_json(F.struct(*MERGED)).alias("p"), _keys("surnames", "acronyms", "kind").alias("keys")))
         x, y = halves(profiles.select("book_id", "entity", "fresh", F.explode("keys").alias("key")), ["book_id", "key"], "entity")
-        met = x.withColumnsRenamed({"entity": "a", "fresh": "fa"}).join(y.withColumnsRenamed({"entity": "b", "fresh": "fb"}), ["book_id", "key", "_part"]).filter("a <> b")
+        met = x.withColumnsRenamed({"entity": "a", "fresh": "fa"}).join(shuffled(y.withColumnsRenamed({"entity": "b", "fresh": "fb"})), ["book_id", "key", "_part"]).filter("a <> b")
         if not weak:  # two profiles that stayed as they were differ as they did before
             met = met.filter("fa OR fb")
         pairs = met.select("book_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        of = lambda e, p: profiles.select("book_id", F.col("entity").alias(e), F.col("p").alias(p))
+        of = lambda e, p: shuffled(profiles.select("book_id", F.col("entity").alias(e), F.col("p").alias(p)))
         verdicts = pairs.join(of("a", "pa"), ["book_id", "a"]).join(of("b", "pb"), ["book_id", "b"]).mapInArrow(_compare, "book_id bigint, a bigint, b bigint, v int")
         if not weak:
             edges = verdicts.filter("v = 1").select("book_id", "a", "b")
         else:
             verdicts = cut(verdicts)
             fits = verdicts.filter("v > 1").select("book_id", F.when(F.col("v") == 2, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(F.col("v") == 2, F.col("b")).otherwise(F.col("a")).alias("f"))
-            strength = profiles.select("book_id", F.col("entity").alias("f"), _rank(F.col("kind")).alias("rank"))
+            strength = shuffled(profiles.select("book_id", F.col("entity").alias("f"), _rank(F.col("kind")).alias("rank")))
             best = fits.join(strength, ["book_id", "f"]).groupBy("book_id", "s").agg(F.max_by(F.col("f"), F.col("rank")).alias("f"), F.sum(F.when(F.col("rank") == 3, 1).otherwise(0)).alias("full"), F.count("*").alias("n"))
             one = best.filter("full = 1 OR full = 0 AND n = 1").select("book_id", F.least("s", "f").alias("a"), F.greatest("s", "f").alias("b"))
             edges = verdicts.filter("v = 1").select("book_id", "a", "b").unionByName(one)
@@ -411,7 +411,7 @@ def resolve(characters: DataFrame, aliases: DataFrame) -> DataFrame:
             continue
         # both the entities that moved and those they moved to have new profiles
         touched = moves.select("book_id", "entity").unionByName(moves.select("book_id", F.col("to").alias("entity"))).distinct().withColumn("new", F.lit(True))
-        moved = nodes.join(moves.join(touched, ["book_id", "entity"], "right"), ["book_id", "entity"], "left")
+        moved = nodes.join(shuffled(moves.join(shuffled(touched), ["book_id", "entity"], "right")), ["book_id", "entity"], "left")
         nodes = cut(moved.withColumn("entity", F.coalesce("to", "entity")).withColumn("fresh", F.coalesce("new", F.lit(False))).select(nodes.columns))
 
 
@@ -419,6 +419,6 @@ def found(characters: DataFrame, aliases: DataFrame) -> DataFrame:
     """(book_id, name_a, name_b): the pairs of different strings of one entity, the first one earlier in code-point order."""
     r = resolve(characters, aliases)
     a, b = halves(r, ["book_id", "entity"], "name")
-    both = a.withColumnRenamed("name", "name_a").join(b.withColumnRenamed("name", "name_b"), ["book_id", "entity", "_part"])
+    both = a.withColumnRenamed("name", "name_a").join(shuffled(b.withColumnRenamed("name", "name_b")), ["book_id", "entity", "_part"])
     # every pair meets twice, once from either side
     return both.filter("name_a < name_b").select("book_id", "name_a", "name_b")

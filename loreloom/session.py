@@ -53,6 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as the side of an equi-join that is sorted and merged, never broadcast: for sides that grow with the input, of which Spark only guesses the size.
+    Its guess for a checkpoint comes from the compressed files that were first read and does not know what explode makes of a row, so it may be a hundredth."""
+    return df.hint("merge")
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """df in at least as many partitions as the session has cores, for CPU-bound Python stages over small files; larger inputs keep their splits."""
     want = least or df.sparkSession.sparkContext.defaultParallelism

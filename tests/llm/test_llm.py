@@ -135,6 +135,24 @@ def test_p2_words_no_table_has(spark, monkeypatch):
     assert {tuple(r) for r in names.found(c, a).collect()} == {(1, *sorted((p, q))) for g in groups for i, p in enumerate(g) for q in g[i + 1 :]}
 
 
+def test_p2_broadcasts_nothing_that_grows(spark, monkeypatch, tmp_path):
+    """Profiles, their keys and linked names are shuffled however small Spark takes a checkpoint of them to be; without hot blocks no join has a broadcast side."""
+    monkeypatch.setattr(names, "cut", lambda df, cut=names.cut: plans.append(df) or cut(df))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for k, strings in enumerate((["Dorothy Jelmicktree", "Dolly Jelmicktree", "D. Jelmicktree"], ["Harriet Orbowcroft", "Susan Vekyarup"])):
+            spark.createDataFrame([(k, 1, None, n, None, None, None, None, T0, None) for k, n in enumerate(strings)], CHAR).write.parquet(f"{tmp_path}/c{k}")
+            spark.createDataFrame([], ALIAS).write.parquet(f"{tmp_path}/a{k}")
+            plans: list = []
+            links = names.found(spark.read.parquet(f"{tmp_path}/c{k}"), spark.read.parquet(f"{tmp_path}/a{k}"))
+            told = [df._jdf.queryExecution().executedPlan().toString() for df in [*plans, links]]
+            assert sum("SortMergeJoin" in x for x in told) > 1 and not any("BroadcastExchange" in x for x in told)
+            assert {r[1:] for r in links.collect()} == ({(p, q) for p in strings for q in strings if p < q} if k == 0 else set())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_p2_near():
     for a, b, ok in [("jelmick", "jelmikc", True), ("jelmick", "jelmck", True), ("abc", "abd", False), ("jelmick", "jxlmixk", False), ("henry", "herny", True)]:
         assert names.near(a, b) is ok and names.near(b, a) is ok
